@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stagewise.llm import language_id, matroska, packing, token_store
+from stagewise.llm import decontaminate, language_id, matroska, packing, pii, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_text_media(_table(spark, sf_dir, "documents"))
 
@@ -28,15 +31,21 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_table(spark, sf_dir, "documents"))
 
 
+def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_disclosure_sanitising": op1_disclosure_sanitising,
         "op2_matroska": op2_matroska,
         "op3_language_id": op3_language_id,
         "op5_token_store": op5_token_store,
+        "op6_positional_index": op6_positional_index,
         "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     }
 
