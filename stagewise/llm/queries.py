@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.llm import decontaminate, language_id, matroska, packing, pii, token_store
+from stagewise.llm import decontaminate, language_id, matroska, near_dedup, packing, pii, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_disclosure_sanitising": op1_disclosure_sanitising,
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_store": op5_token_store,
         "op6_positional_index": op6_positional_index,
         "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
+        "op9_minhash_forest": op9_minhash_forest,
     }
 
 
