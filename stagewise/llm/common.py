@@ -148,7 +148,12 @@ WORDS = {"space": _SPACE, "alnum": _ALNUM}
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some documents, and n + 1 offsets of each document's words.
+    """``word_table`` without the endings."""
+    return word_table(data, offsets, kind)[:2]
+
+
+def word_table(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some documents, n + 1 offsets of each document's words, and the words' last two bytes.
 
     ``kind`` "space": words are ``[^\\x20\\x09-\\x0D]+``; "alnum":
     ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; both after lower-casing A-Z. UTF-8 keeps
@@ -162,14 +167,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nd
     first[cuts] = inside[cuts]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     begin = np.flatnonzero(first[at])
     lengths = np.diff(np.append(begin, len(at)))
     place = np.arange(len(at)) - np.repeat(begin, lengths)
     with np.errstate(over="ignore"):
         values = BYTE_VALUES[low[at]] * _powers(int(lengths.max()))[place]
         hashes = mix64(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
-    return hashes, np.searchsorted(at[begin], offsets, "left")
+    last = begin + lengths - 1
+    ending = low[at[last]].astype(np.int64) * 256 + np.where(lengths > 1, low[at[last - 1]], 0)
+    return hashes, np.searchsorted(at[begin], offsets, "left"), ending
 
 
 def joined_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

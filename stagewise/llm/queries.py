@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.llm import decontaminate, language_id, matroska, near_dedup, packing, pii, token_store
+from stagewise.llm import decontaminate, language_id, lm_score, matroska, near_dedup, packing, pii, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_disclosure_sanitising": op1_disclosure_sanitising,
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_positional_index": op6_positional_index,
         "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
         "op9_minhash_forest": op9_minhash_forest,
+        "op10_log_bilinear": op10_log_bilinear,
     }
 
 
