@@ -1,8 +1,60 @@
-"""Corpus pipeline; its stages follow as their operators land."""
+"""The corpus pipeline: five stages from raw documents to packed training sequences.
 
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and
+returns a table that is written as Parquet and read again as the next one's docs. All
+but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stagewise.llm import decontaminate, language_id, near_dedup, packing, pii
+from stagewise.llm.common import stored
+
+#: Not expressible: a learned classifier, tokenisation and packing; tested against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no language that the labelled ones teach."""
+    return language_id.keep_identified(docs, language_id.train(docs, language_id.remainder("doc_id", 4) != 2))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group of near copies: five-word shingles, similarity 0.8."""
+    return near_dedup.keep_first(docs, words=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which a twentieth or more repeats windows of the benchmark."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def take_out_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data, and generalise or remove terms that disclose it."""
+    return pii.sanitise(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces placed in sequences of 2048."""
+    return packing.best_fit_pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", take_out_personal_data),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.llm import decontaminate, language_id, lm_score, matroska, near_dedup, packing, pii, token_store
+from stagewise.llm import chat, decontaminate, language_id, lm_score, matroska, near_dedup, packing, pii, site_style, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model)
 
 
+def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_snapshots(_table(spark, sf_dir, "conversations"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_disclosure_sanitising": op1_disclosure_sanitising,
         "op2_matroska": op2_matroska,
         "op3_language_id": op3_language_id,
+        "op4_snapshot_collapse": op4_snapshot_collapse,
         "op5_token_store": op5_token_store,
         "op6_positional_index": op6_positional_index,
+        "op7_site_style_tree": op7_site_style_tree,
         "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
         "op9_minhash_forest": op9_minhash_forest,
         "op10_log_bilinear": op10_log_bilinear,
@@ -61,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_snapshot_collapse": chat.ORACLE}
