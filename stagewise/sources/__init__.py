@@ -1,0 +1 @@
+"""Sources and sinks: splits, metadata, logs, checkpoints, reports, manifests."""
