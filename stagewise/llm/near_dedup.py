@@ -36,7 +36,9 @@ VALUES, TREES, MIN_DEPTH, MAX_DEPTH, REGION = 128, 24, 4, 8, 16
 #: differs in 12.8 with a standard deviation of 3.4.
 SKETCH_BITS = 30
 #: Members compared with one document by one task.
-STAR = 256
+STAR = 64
+#: Bits of the filter that keeps texts in no pair from being sent anywhere: a fixed size.
+FILTER_BITS = 26
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
 FOREST = "tree int, near long, deep long, doc long, size long, sketch_a long, sketch_b long"
 LINKS = f"kind int, a long, b long, {FOREST.replace('doc long, ', '')}"
@@ -236,6 +238,31 @@ def candidates(classes: DataFrame) -> DataFrame:
     return stored(pairs.join(heads, "b", "left").select("a", "b", (F.col("kind") == 0).__and__(F.col("a") == F.col("head")).alias("first")), "candidate-pairs")
 
 
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """Bit set of the hashed ids of all documents in pairs, gathered as 64-bit words: 2^20 rows at most."""
+    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+    ids = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc")))
+    words = ids.withColumn("bit", bit).select(F.shiftrightunsigned("bit", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc and text of the documents in pairs (and of few others whose bits are theirs)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = column(batch, "bit").to_numpy()
+            there = shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.select(["doc", "text"]).filter(pa.array(there.astype(bool)))
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+    return named.withColumn("bit", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))).mapInArrow(run, "doc long, text string")
+
+
 def similar(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity.
 
@@ -246,8 +273,8 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
     members = pairs.join(counts, "a").select(F.col("b").alias("doc"), "a", part, F.lit(1).alias("side"))
     heads = counts.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-    rows = members.unionAll(heads).join(texts, "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    # always a merge join: what is moved follows the input alike at every size
+    rows = members.unionAll(heads).hint("merge").join(_texts_of(docs, pairs), "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, heads_ = None, []
