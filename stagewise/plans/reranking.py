@@ -1 +1,266 @@
-"""To come."""
+"""Rerankers, fusion of orders, reply parsing, prompts and learning-to-rank frames."""
+
+from __future__ import annotations
+
+from stagewise.functions import parse
+from stagewise.operators import prepare, rerank, split
+from stagewise.plans.base import F, Frames, W, pair_hash_sql, query, rounded
+
+
+def _order(order: str, cand: str = "cand", where: str = "rank <= 30") -> str:
+    return f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rank, item_id FROM (SELECT * FROM {cand} WHERE {where})"
+
+
+def _w(f: Frames):
+    return f.cand.where("rank <= 30")
+
+
+def _out(df):
+    return df.select("user_id", "rank", "item_id")
+
+
+@query("rerank_identity", _order("rank"))
+def _(f: Frames):
+    return _out(rerank.identity(_w(f)))
+
+
+@query("rerank_score", _order("CASE WHEN item_id % 5 = 0 THEN -1e9 ELSE score END DESC, rank"))
+def _(f: Frames):
+    return _out(rerank.by_score(_w(f).withColumn("score", F.when(F.col("item_id") % 5 != 0, F.col("score")))))
+
+
+@query("rerank_reverse", _order("rank DESC"))
+def _(f: Frames):
+    return _out(rerank.reverse(_w(f)))
+
+
+@query("rerank_random", _order(f"{pair_hash_sql()}, item_id"))
+def _(f: Frames):
+    return _out(rerank.shuffled(_w(f)))
+
+
+@query("rerank_popularity", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(n, 0) DESC, rank) AS rank, item_id FROM (SELECT * FROM cand WHERE rank <= 30) LEFT JOIN (SELECT item_id, count(*) AS n FROM mtrain GROUP BY item_id) USING (item_id)")
+def _(f: Frames):
+    return _out(rerank.by_popularity(_w(f), prepare.activity(f.mtrain, "item_id")))
+
+
+@query("rerank_oracle", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY hit DESC, rank) AS rank, item_id FROM (SELECT c.*, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS hit FROM mcand c LEFT JOIN mtruth t USING (user_id, item_id))")
+def _(f: Frames):
+    return _out(rerank.oracle(f.mcand, f.mtruth))
+
+
+@query("rerank_jitter", _order(f"round(score + ({pair_hash_sql()} / 4294967296.0 - 0.5) * (0.01 * sqrt(12.0)), 12) DESC, rank"))
+def _(f: Frames):
+    return _out(rerank.jittered(_w(f)))
+
+
+@query("rrf_orders", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(1 / (60 + place + 1) + 1 / (60 + new_place + 1), 12) DESC, place) AS rank, item_id FROM places")
+def _(f: Frames):
+    return _out(rerank.fused_with_places(f.places))
+
+
+@query("convex_grid", """
+SELECT user_id, weight_id, row_number() OVER (PARTITION BY user_id, weight_id ORDER BY round(weight_id * (1 - place / (n - 1)) + (1 - weight_id) * (1 - new_place / (n - 1)), 9) DESC, place) AS rank, item_id
+FROM (SELECT p.*, count(*) OVER (PARTITION BY user_id) AS n, w.weight_id FROM places p, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) w(weight_id))""")
+def _(f: Frames):
+    grid = f.places.withColumn("w", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])))
+    return rerank.convex(grid, F.col("w"))
+
+
+@query("rank_average", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY (place + new_place) / 2, place) AS rank, item_id FROM places")
+def _(f: Frames):
+    return _out(rerank.rank_average(f.places))
+
+
+@query("scaled_weighted", """
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(0.5 * a + 0.5 * b, 9) DESC, item_id) AS rank, item_id FROM (
+ SELECT user_id, item_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE score END AS a, (29 - new_place - min(29 - new_place) OVER w) / (max(29 - new_place) OVER w - min(29 - new_place) OVER w) AS b FROM places WINDOW w AS (PARTITION BY user_id))""")
+def _(f: Frames):
+    return _out(rerank.scaled_sum(f.places.withColumn("other", (29 - F.col("new_place")).cast("double"))))
+
+
+@query("route_rules", "SELECT user_id, item_id, CASE WHEN u.n < 20 OR u.n < 10 OR coalesce(p.n, 0) < 10 THEN 1 ELSE 0 END AS expert FROM (SELECT * FROM cand WHERE rank <= 30) JOIN (SELECT user_id, count(*) AS n FROM train GROUP BY user_id) u USING (user_id) LEFT JOIN pop p USING (item_id)")
+def _(f: Frames):
+    users = prepare.activity(f.train).select("user_id", F.col("n").alias("user_degree"), (F.col("n") < 20).alias("cold"))
+    items = f.pop.select("item_id", F.col("n").alias("item_degree"))
+    return rerank.route(_w(f).join(users, "user_id").join(items, "item_id", "left").fillna(0, ["item_degree"])).select("user_id", "item_id", "expert")
+
+
+@query("cascade", f"SELECT c.user_id, c.rank, c.item_id FROM cand c JOIN (SELECT user_id, count(*) AS n FROM train GROUP BY user_id) u USING (user_id) WHERE c.rank <= 30 AND u.n > 30 UNION ALL SELECT r.user_id, r.rank, r.item_id FROM ({_order('rank DESC')}) r JOIN (SELECT user_id, count(*) AS n FROM train GROUP BY user_id) u USING (user_id) WHERE u.n <= 30")
+def _(f: Frames):
+    return _out(rerank.cascade(_w(f), rerank.reverse(_w(f)), prepare.activity(f.train), 30))
+
+
+_POP = "coalesce(p.n, 0)"
+
+
+@query("ltr_features5", f"SELECT user_id, item_id, rank, round(score, 6) AS f_score, round((rank - 1) / c.n, 6) AS f_place, round(ln(1 + {_POP}), 6) AS f_pop, round(ln(1 + coalesce(h.n, 0)), 6) AS f_hist, round(1 / rank, 6) AS f_recip FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM cand WHERE rank <= 30) c LEFT JOIN pop p USING (item_id) LEFT JOIN (SELECT user_id, count(*) AS n FROM train GROUP BY user_id) h USING (user_id)")
+def _(f: Frames):
+    return rounded(rerank.features(_w(f), f.pop, f.train))
+
+
+@query("ltr_vector_features", """
+SELECT * FROM (WITH v AS (SELECT vec_id AS item_id, embedding FROM embeddings),
+h AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train WHERE user_id IN (SELECT user_id FROM sample)),
+p AS (SELECT user_id, d, avg(CAST(embedding[d] AS DOUBLE)) AS u, coalesce(avg(CAST(embedding[d] AS DOUBLE)) FILTER (back <= 10), 0) AS l FROM h JOIN v USING (item_id), range(1, 65) r(d) GROUP BY user_id, d),
+c AS (SELECT user_id, item_id FROM cand WHERE rank <= 30 AND user_id IN (SELECT user_id FROM sample))
+SELECT c.user_id, c.item_id, round(sum(p.u * CAST(embedding[p.d] AS DOUBLE)) / sqrt(sum(p.u * p.u)) / sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_cos, round(sum(p.l * CAST(embedding[p.d] AS DOUBLE)), 6) AS f_late, round(sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_norm
+FROM c JOIN v USING (item_id) JOIN p ON p.user_id = c.user_id GROUP BY c.user_id, c.item_id)""")
+def _(f: Frames):
+    vectors = f.table("embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    own = _w(f).join(f.sample, "user_id", "left_semi")
+    history = split.history_tail(f.train.join(f.sample, "user_id", "left_semi"), 10**6)
+    return rounded(rerank.vector_features(own, history, vectors))
+
+
+_GROUPS = "SELECT c.user_id, c.rank, c.item_id, CASE WHEN c.item_id = l.item_id THEN 1 ELSE 0 END AS label, count(*) OVER (PARTITION BY c.user_id) AS group_size FROM mcand c JOIN (SELECT user_id, min(item_id) AS item_id FROM mtruth GROUP BY user_id) l USING (user_id)"
+
+
+def groups(f: Frames):
+    return rerank.labelled_groups(f.mcand, f.mtruth.groupBy("user_id").agg(F.min("item_id").alias("label_item")))
+
+
+@query("ltr_groups", _GROUPS)
+def _(f: Frames):
+    return groups(f)
+
+
+@query("ranknet_pairs", f"SELECT p.user_id, p.item_id AS positive, n.item_id AS negative, n.nth FROM ({_GROUPS}) p JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS nth FROM ({_GROUPS}) WHERE label = 0) n USING (user_id) WHERE p.label = 1 AND n.nth <= 5")
+def _(f: Frames):
+    return rerank.preference_pairs(groups(f))
+
+
+@query("weighted_features", f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(0.4 * score + 0.3 / rank + 0.2 * (item_id % 3) / 3 + 0.1 * {_POP} / (SELECT max(n) FROM pop), 9) DESC, rank) AS rank, item_id FROM (SELECT * FROM cand WHERE rank <= 30) LEFT JOIN pop p USING (item_id)")
+def _(f: Frames):
+    most = f.pop.agg(F.max("n").alias("most"))
+    rows = _w(f).join(f.pop, "item_id", "left").join(F.broadcast(most)).select("*", (1 / F.col("rank")).alias("cosine"), (F.col("item_id") % 3 / 3).alias("overlap"), (F.coalesce("n", F.lit(0)) / F.col("most")).alias("pop"))
+    return _out(rerank.weighted_features(rows))
+
+
+@query("attention_smoothed")
+def _(f: Frames):
+    own = _w(f).join(f.sample, "user_id", "left_semi")
+    return rerank.attention_smoothed(rounded(rerank.features(own, f.pop, f.train)), ["f_score", "f_place", "f_pop", "f_hist", "f_recip"])
+
+
+@query("denoised_scores")
+def _(f: Frames):
+    return _out(rerank.denoised(_w(f)))
+
+
+# replies ------------------------------------------------------------------------------
+
+_ORDER_ = "SELECT user_id, string_agg(place, ',' ORDER BY new_place) AS order_ FROM places GROUP BY user_id"
+
+
+def _text(c):
+    return F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+
+
+def _sized(f: Frames):
+    return f.replies.join(_w(f).groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+
+
+@query("parse_positional", _ORDER_)
+def _(f: Frames):
+    return _sized(f).select("user_id", _text(parse.positions(F.col("reply"), F.col("n"))).alias("order_"))
+
+
+def _parsed_sql(values: str) -> str:
+    return f"""
+SELECT * FROM (WITH v AS (SELECT user_id, list_filter(list_transform(list_filter({values}, lambda s: length(s) <= 9), lambda s: CAST(s AS INTEGER) - 1), lambda x: x >= 0 AND x < 30) AS x FROM replies),
+f AS (SELECT user_id, place, min(pl) AS pl FROM (SELECT user_id, unnest(x) AS place, generate_subscripts(x, 1) AS pl FROM v) GROUP BY user_id, place)
+SELECT r.user_id, string_agg(g.i, ',' ORDER BY f.pl NULLS LAST, g.i) AS order_ FROM replies r CROSS JOIN range(0, 30) g(i) LEFT JOIN f ON f.user_id = r.user_id AND f.place = g.i GROUP BY r.user_id)"""
+
+
+_CLEAN = "regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g')"
+
+
+@query("parse_mixed", _parsed_sql(f"CASE WHEN len(regexp_extract_all({_CLEAN}, '(?m)^\\s*#?([0-9]+)[.):]?', 1)) > 0 THEN regexp_extract_all({_CLEAN}, '(?m)^\\s*#?([0-9]+)[.):]?', 1) ELSE regexp_extract_all({_CLEAN}, '[0-9]+') END"))
+def _(f: Frames):
+    return f.replies.select("user_id", _text(parse.positions_from_lines(F.col("reply"), F.lit(30))).alias("order_"))
+
+
+@query("parse_commas", _parsed_sql("list_filter(list_transform(string_split(reply, ','), lambda s: trim(s)), lambda s: regexp_full_match(s, '[0-9]+'))"))
+def _(f: Frames):
+    return f.replies.select("user_id", _text(parse.positions_from_commas(F.col("reply"), F.lit(30))).alias("order_"))
+
+
+@query("parse_ids", """
+SELECT * FROM (WITH c AS (SELECT user_id, rank, item_id FROM cand WHERE rank <= 10),
+t AS (SELECT user_id, 'Item ' || max(item_id) FILTER (rank = 3) || ', then #' || max(item_id) FILTER (rank = 7) || ' and ID: ' || max(item_id) FILTER (rank = 2) || ', item 999999' AS reply FROM c GROUP BY user_id)
+SELECT user_id, string_agg(item_id, ',' ORDER BY CASE rank WHEN 3 THEN -3 WHEN 7 THEN -2 WHEN 2 THEN -1 ELSE rank END) AS ids FROM c GROUP BY user_id)""")
+def _(f: Frames):
+    g = f.cand.where("rank <= 10").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("r")).select("user_id", F.transform("r", lambda x: x["item_id"]).alias("c"))
+    reply = F.concat(F.lit("Item "), F.col("c")[2].cast("string"), F.lit(", then #"), F.col("c")[6].cast("string"), F.lit(" and ID: "), F.col("c")[1].cast("string"), F.lit(", item 999999"))
+    return g.select("user_id", _text(parse.item_ids(reply, F.col("c"), 10)).alias("ids"))
+
+
+@query("parse_status", f"SELECT user_id, k AS found, CASE WHEN user_id % 50 = 7 THEN 'api_timeout' WHEN k = 0 THEN 'parse_empty' WHEN k < 3 THEN 'degenerate' WHEN k < 10 THEN 'short' ELSE 'ok' END AS status FROM (SELECT user_id, len(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all({_CLEAN}, '[0-9]+'), lambda s: length(s) <= 9), lambda s: CAST(s AS INTEGER)), lambda v: v >= 1 AND v <= 30))) AS k FROM replies)")
+def _(f: Frames):
+    found = parse.numbers_found(F.col("reply"), F.lit(30)).cast("long")
+    rows = f.replies.select("user_id", "reply", found.alias("found"))
+    return rows.select("user_id", "found", parse.status(F.col("reply"), F.col("found"), F.when(F.col("user_id") % 50 == 7, "timeout")).alias("status"))
+
+
+@query("apply_permutation", "SELECT c.user_id, coalesce(p.new_place + 1, c.rank) AS rank, c.item_id FROM cand c LEFT JOIN places p USING (user_id, item_id)")
+def _(f: Frames):
+    orders = _sized(f).select("user_id", parse.positions(F.col("reply"), F.col("n")).alias("order"))
+    return _out(parse.apply_order(f.cand, orders, 30))
+
+
+# prompts ------------------------------------------------------------------------------
+
+_HIST = "SELECT t.user_id, row_number() OVER (PARTITION BY t.user_id ORDER BY back DESC) AS pl, x.text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train) t JOIN item_text x USING (item_id) WHERE back <= 10"
+
+
+def _prompt_sql(tail: str) -> str:
+    return f"""
+SELECT c.user_id, 'The user chose:' || chr(10) || coalesce(h.h, '') || chr(10) || chr(10) || 'Candidates:' || chr(10) || c.c || chr(10) || chr(10) || '{tail}' AS prompt
+FROM (SELECT user_id, string_agg(rank || '. ' || substring(text, 1, 60), chr(10) ORDER BY rank) AS c FROM cand JOIN item_text USING (item_id) WHERE rank <= 30 GROUP BY user_id) c
+LEFT JOIN (SELECT user_id, string_agg(pl || '. ' || substring(text, 1, 60), chr(10) ORDER BY pl) AS h FROM ({_HIST}) GROUP BY user_id) h USING (user_id)"""
+
+
+def history_lines(f: Frames):
+    w = W.partitionBy("user_id").orderBy(F.desc("back"))
+    return split.history_tail(f.train).withColumn("at", F.row_number().over(w)).join(f.item_text, "item_id")
+
+
+def _sql_text(s: str) -> str:
+    return s.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+def _register(family: str, tail: str) -> None:
+    @query(f"prompt_{family}", _prompt_sql(_sql_text(tail)))
+    def _(f: Frames):
+        return parse.plain_prompt(history_lines(f), _w(f).join(f.item_text, "item_id"), family)
+
+
+for _family, _tail in parse.TEMPLATES.items():
+    _register(_family, _tail)
+
+
+@query("prompt_scoreaware", """
+SELECT user_id, string_agg(rank || '. ' || substring(text, 1, 60) || ' [rank ' || rank || ', score ' || printf('%.2f', round(s, 4) + 1e-9) || ', popularity ' || pct || '%]', chr(10) ORDER BY rank) AS candidates FROM (
+ SELECT c.user_id, c.rank, x.text, CAST(round(q.p * 99) AS BIGINT) AS pct, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) AS s FROM cand c JOIN item_text x USING (item_id)
+ JOIN (SELECT item_id, (rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2) / count(*) OVER () AS p FROM pop) q USING (item_id) WHERE c.rank <= 30 WINDOW w AS (PARTITION BY c.user_id)) WHERE s IS NOT NULL GROUP BY user_id""")
+def _(f: Frames):
+    w = W.partitionBy("user_id")
+    s = (F.col("score") - F.min("score").over(w)) / F.nullif(F.max("score").over(w) - F.min("score").over(w), F.lit(0.0))
+    pct = split.popularity_percentile(f.train).select("item_id", F.col("pct_scaled").alias("pct"))
+    shown = _w(f).withColumn("score", F.round(s, 4)).join(f.item_text, "item_id").join(pct, "item_id").where("score is not null")
+    return parse.score_aware_lines(shown)
+
+
+@query("sft_examples", f"""
+SELECT g.user_id, g.item_id, g.label, 'The user chose: ' || h.h || chr(10) || 'Will the user choose "' || x.text || '"? Answer yes or no.' AS prompt, CASE WHEN g.label = 1 THEN 'yes' ELSE 'no' END AS answer
+FROM (SELECT user_id, item_id, label FROM (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY rank) AS nth, max(label) OVER (PARTITION BY user_id) AS any_ FROM ({_GROUPS})) WHERE any_ = 1 AND (label = 1 OR nth <= 5)) g
+JOIN (SELECT user_id, string_agg(text, ', ' ORDER BY back DESC) AS h FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM mtrain) JOIN item_text USING (item_id) WHERE back <= 5 GROUP BY user_id) h USING (user_id)
+JOIN item_text x USING (item_id)""")
+def _(f: Frames):
+    w = W.partitionBy("user_id", "label").orderBy("rank")
+    rows = groups(f).withColumn("nth", F.row_number().over(w)).withColumn("some", F.max("label").over(W.partitionBy("user_id"))).where("some = 1 and (label = 1 or nth <= 5)")
+    g = split.history_tail(f.mtrain, 5).join(f.item_text, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), "text"))).alias("h"))
+    history = g.select("user_id", F.array_join(F.transform("h", lambda x: x["text"]), ", ").alias("history"))
+    rows = rows.join(history, "user_id").join(f.item_text, "item_id")
+    return rows.select("user_id", "item_id", "label", parse.pointwise_prompt(F.col("history"), F.col("text")).alias("prompt"), F.when(F.col("label") == 1, "yes").otherwise("no").alias("answer"))
