@@ -15,20 +15,58 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Pieces kept per worker before the cache starts afresh, and the longest piece kept.
-CACHE_PIECES, CACHE_LENGTH = 300_000, 64
+#: Pieces of a generation of the cache (two are kept per worker), and the longest piece kept.
+CACHE_PIECES, CACHE_LENGTH = 350_000, 64
 _HARD = re.compile(r"\s (?:\s|\Z)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The vocabulary's letter for each byte: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*plain}))}
+
+
+_LETTERS = {b: ord(letter) for b, letter in _byte_letters().items()}
+#: Letters up to here are the same to every version of Unicode in use.
+_LATIN = "\u024f"
+
+
 class _Pieces(dict):
-    def __init__(self, tokenizer: Tokenizer, prefix: str) -> None:
-        self.tokenizer, self.prefix = tokenizer, prefix
+    """Ids of pieces that follow ``prefix``, encoded when first met.
+
+    A run of Latin letters is one pre-token and goes to the library's model as it is; one
+    with a last mark is that run's ids and the mark's. A single line feed between two
+    that aren't white space is a pre-token of its own.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, prefix: str, plain: _Pieces | None = None) -> None:
+        self.plain = self if plain is None else plain
+        self.tokenizer, self.tokenize, self.prefix = tokenizer, tokenizer.model.tokenize, prefix
+        self.older: dict[str, bytes] = {}
+        self.start = prefix.translate(_LETTERS)
+        self.marks = {m: self._whole(m, "") for m in ".,;:!?"}
+        self.line_feed = self._whole("\n", "")
+
+    def _whole(self, piece: str, prefix: str) -> bytes:
+        return array("I", self.tokenizer.encode(prefix + piece, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
+        out = self.older.get(piece)
+        if out is not None:
+            pass
+        elif piece.isalpha() and (piece.isascii() or max(piece) <= _LATIN):
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+            out = array("I", [t.id for t in self.tokenize(self.start + letters)]).tobytes()
+        elif piece and piece[-1] in self.marks and piece[:-1].isalpha() and (piece.isascii() or max(piece) <= _LATIN):
+            out = self[piece[:-1]] + self.marks[piece[-1]]
+        elif "\n" in piece and all(r and not r[0].isspace() and not r[-1].isspace() for r in piece.split("\n")):
+            first, *rest = piece.split("\n")
+            return self.line_feed.join([self[first], *[self.plain[r] for r in rest]])
+        else:
+            out = self._whole(piece, self.prefix)
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -40,7 +78,10 @@ class Encoder:
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        self.spaced, self.plain = _Pieces(tokenizer, " "), _Pieces(tokenizer, "")
+        # the library's own cache only costs time here: every piece comes to it once
+        tokenizer.model._resize_cache(1)
+        self.plain = _Pieces(tokenizer, "")
+        self.spaced = _Pieces(tokenizer, " ", self.plain)
 
     def encode(self, text: str) -> bytes:
         if not text:
