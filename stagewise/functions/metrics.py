@@ -6,6 +6,9 @@ of the truth; one without candidates scores 0.
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,15 +20,8 @@ def gain(rank: Column) -> Column:
 
 def ideal(n: Column, k: int = 10) -> Column:
     """Sum of the first min(n, k) gains."""
-    table = F.array(*[F.lit(0.0), *[sum_of_gains(j) for j in range(1, k + 1)]])
-    return F.element_at(table, (F.least(n, F.lit(k)) + 1).cast("int"))
-
-
-def sum_of_gains(n: int) -> Column:
-    out = F.lit(0.0)
-    for j in range(1, n + 1):
-        out = out + gain(F.lit(float(j)))
-    return out
+    sums = [0.0, *accumulate(1 / log2(j + 1) for j in range(1, k + 1))]
+    return F.element_at(F.array(*map(F.lit, sums)), (F.least(n, F.lit(k)) + 1).cast("int"))
 
 
 def hits(ranked: DataFrame, truth: DataFrame) -> DataFrame:

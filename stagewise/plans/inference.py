@@ -1 +1,114 @@
-"""To come."""
+"""Intervals, tests, effect sizes and off-policy estimates on per-user metrics."""
+
+from __future__ import annotations
+
+from stagewise.functions import stats
+from stagewise.plans.base import F, Frames, hash_sql, query, rounded
+
+_N = "(SELECT count(*) FROM two_arms)"
+
+
+def _means(value: str, draws: int = 200) -> str:
+    return f"SELECT i // {_N} AS draw, avg({value}) AS mean FROM (SELECT i, {hash_sql('i', 7)} % {_N} AS pl FROM range(0, {draws} * {_N}) r(i)) JOIN (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS pl FROM two_arms) USING (pl) GROUP BY 1"
+
+
+@query("bootstrap_hash_ci", f"SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS draws FROM ({_means('a')})")
+def _(f: Frames):
+    return rounded(stats.bootstrap_ci(f.two_arms, "a"))
+
+
+@query("bootstrap_diff", f"SELECT round((SELECT avg(a - b) FROM two_arms), 6) AS diff, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(least(1.0, 2 * least(avg(CASE WHEN mean <= 0 THEN 1 ELSE 0 END), avg(CASE WHEN mean >= 0 THEN 1 ELSE 0 END))), 6) AS p FROM ({_means('a - b')})")
+def _(f: Frames):
+    return rounded(stats.bootstrap_difference(f.two_arms, "a", "b"))
+
+
+@query("permutation_test", f"SELECT round(any_value(d), 6) AS diff, round(avg(CASE WHEN abs(round(mean, 12)) >= abs(round(d, 12)) THEN 1 ELSE 0 END), 6) AS p FROM (SELECT g, avg((a - b) * CASE WHEN {hash_sql('user_id * 10007 + g', 7)} % 65536 < 32768 THEN -1 ELSE 1 END) AS mean FROM two_arms, range(0, 200) r(g) GROUP BY g), (SELECT avg(a - b) AS d FROM two_arms)")
+def _(f: Frames):
+    return rounded(stats.permutation_test(f.two_arms, "a", "b"))
+
+
+def _phi(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1 / (1 + 0.3275911 * {x}))"
+    e = f"(1 - {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x}))"
+    return f"(0.5 * (1 + CASE WHEN {z} < 0 THEN -{e} ELSE {e} END))"
+
+
+_SIGNED = "SELECT d, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r, count(*) OVER (PARTITION BY s) AS t FROM (SELECT round(a - b, 12) AS d, abs(round(a - b, 12)) AS s FROM two_arms) WHERE d <> 0"
+
+
+@query("wilcoxon_z", f"""
+SELECT n, round(least(w, n * (n + 1) / 2 - w), 6) AS w, round(z, 6) AS z, round(2 * (1 - {_phi('abs(z)')}), 6) AS p FROM (
+ SELECT n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM (
+  SELECT count(*) AS n, sum(r) FILTER (d > 0) AS w, sum(t * t - 1) AS t FROM ({_SIGNED})))""")
+def _(f: Frames):
+    return rounded(stats.wilcoxon(f.two_arms, "a", "b"))
+
+
+@query("paired_t", f"SELECT n, round(mean, 6) AS mean, round(t, 6) AS t, round(coalesce(2 * (1 - {_phi('abs(t)')}), 1.0), 6) AS p FROM (SELECT count(*) AS n, avg(a - b) AS mean, avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0) AS t FROM two_arms)")
+def _(f: Frames):
+    return rounded(stats.paired_t(f.two_arms, "a", "b"))
+
+
+@query("spearman", "SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY n_hist) + (count(*) OVER (PARTITION BY n_hist) - 1) / 2 AS ra, rank() OVER (ORDER BY round(a, 9)) + (count(*) OVER (PARTITION BY round(a, 9)) - 1) / 2 AS rb FROM two_arms)")
+def _(f: Frames):
+    return rounded(stats.spearman(f.two_arms.select("n_hist", F.round("a", 9).alias("a")), "n_hist", "a"))
+
+
+_TESTS = f"SELECT 'group ' || g AS name, round(2 * (1 - {_phi('abs(t)')}), 9) AS p FROM (SELECT user_id % 6 AS g, coalesce(avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0), 0) AS t FROM two_arms GROUP BY 1)"
+
+
+@query("holm", f"SELECT name, round(p, 6) AS p, round(least(1.0, max((m - pl + 1) * p) OVER w), 6) AS p_adjusted, bool_and(p <= 0.05 / (m - pl + 1)) OVER w AS rejected FROM (SELECT *, row_number() OVER (ORDER BY p, name) AS pl, count(*) OVER () AS m FROM ({_TESTS})) WINDOW w AS (ORDER BY p, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def _(f: Frames):
+    d = F.col("a") - F.col("b")
+    g = f.two_arms.groupBy((F.col("user_id") % 6).alias("g")).agg(F.coalesce(F.avg(d) / F.nullif(F.stddev_samp(d) / F.sqrt(F.count("*")), F.lit(0.0)), F.lit(0.0)).alias("t"))
+    return rounded(stats.holm(g.select(F.concat(F.lit("group "), F.col("g").cast("string")).alias("name"), F.round(stats.two_sided(F.col("t")), 9).alias("p"))))
+
+
+@query("cohens_d", "SELECT round((avg(a) - avg(b)) / nullif(sqrt((var_samp(a) + var_samp(b)) / 2), 0), 6) AS d_pooled, round((avg(a) - avg(b)) / nullif(stddev_samp(a - b), 0), 6) AS d_paired, round((avg(a) - avg(b)) / nullif(stddev_pop(a), 0), 6) AS d_one_arm FROM two_arms")
+def _(f: Frames):
+    return rounded(stats.cohens_d(f.two_arms, "a", "b"))
+
+
+@query("effect_labels", "SELECT g, round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS label FROM (SELECT user_id % 9 AS g, round(coalesce(avg(a - b) / nullif(stddev_samp(a - b), 0), 0), 9) AS d FROM two_arms GROUP BY 1)")
+def _(f: Frames):
+    d = F.col("a") - F.col("b")
+    g = f.two_arms.groupBy((F.col("user_id") % 9).alias("g")).agg(F.round(F.coalesce(F.avg(d) / F.nullif(F.stddev_samp(d), F.lit(0.0)), F.lit(0.0)), 9).alias("d"))
+    return rounded(g.select("g", "d", stats.effect_label(F.col("d")).alias("label")))
+
+
+_Z = "1.959963984540054"
+
+
+@query("power_normal", f"SELECT n, effect, round({_phi(f'(effect * sqrt(n) - {_Z})')} + {_phi(f'(-effect * sqrt(n) - {_Z})')}, 6) AS power, CAST(ceil((({_Z} + 0.8416212335729143) / effect) * (({_Z} + 0.8416212335729143) / effect)) AS BIGINT) AS required, round(({_Z} + 0.8416212335729143) / sqrt(n), 6) AS detectable FROM (VALUES (100), (500), (2000)) a(n), (VALUES (0.05::DOUBLE), (0.126), (0.5)) b(effect)")
+def _(f: Frames):
+    grid = f.spark.range(1).select(F.explode(F.array(F.lit(100), F.lit(500), F.lit(2000))).alias("n")).select("n", F.explode(F.array(F.lit(0.05), F.lit(0.126), F.lit(0.5))).alias("effect"))
+    return rounded(grid.select("n", "effect", stats.power_paired(F.col("effect"), F.col("n")).alias("power"), stats.required_n(F.col("effect")).cast("long").alias("required"), stats.detectable(F.col("n")).alias("detectable")))
+
+
+_LOGS = "SELECT CAST(event_type = 'purchase' AS INTEGER) AS reward, (event_id % 7 + 1) / 8.0 AS pt, (event_id % 5 + 1) / 6.0 AS pl, (event_id % 3) / 4.0 AS q FROM events"
+
+
+@query("ips_snips_dr", f"SELECT round(avg(reward), 6) AS direct, round(avg(w * reward), 6) AS ips, round(sum(w * reward) / nullif(sum(w), 0), 6) AS snips, round(avg(q + w * (reward - q)), 6) AS dr FROM (SELECT *, least(pt / (pl + 1e-8), 100.0) AS w FROM ({_LOGS}))")
+def _(f: Frames):
+    e = F.col("event_id")
+    logs = f.table("events").select((F.col("event_type") == "purchase").cast("int").alias("reward"), ((e % 7 + 1) / 8).alias("p_target"), ((e % 5 + 1) / 6).alias("p_logging"), (e % 3 / 4).alias("q_hat"))
+    return rounded(stats.off_policy(logs))
+
+
+@query("auc_ranksum", "SELECT round((sum(r) FILTER (y = 1) - p * (p + 1) / 2) / (p * (n - p)), 6) AS auc, p AS positives, n - p AS negatives FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r, CAST(sum(y) OVER () AS BIGINT) AS p, count(*) OVER () AS n FROM (SELECT round(value, 1) AS s, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y FROM events)) GROUP BY p, n")
+def _(f: Frames):
+    rows = f.table("events").select(F.round("value", 1).alias("s"), (F.col("event_type") == "purchase").cast("int").alias("y"))
+    return rounded(stats.auc(rows, "s", "y"))
+
+
+@query("accuracy", "SELECT round(avg(CASE WHEN (value > 50) = (event_type = 'purchase') THEN 1 ELSE 0 END), 6) AS accuracy FROM events")
+def _(f: Frames):
+    return rounded(f.table("events").agg(F.avg(((F.col("value") > 50) == (F.col("event_type") == "purchase")).cast("int")).alias("accuracy")))
+
+
+@query("score_spread", "SELECT round(quantile_cont(recall_20, 0.025), 6) AS p2_5, round(quantile_cont(recall_20, 0.5), 6) AS median, round(quantile_cont(recall_20, 0.975), 6) AS p97_5 FROM mu")
+def _(f: Frames):
+    return rounded(stats.score_spread(f.mu, "recall_20"))
+
+

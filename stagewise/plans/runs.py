@@ -1 +1,119 @@
-"""To come."""
+"""Sources, checkpoints, costs, reports and traces."""
+
+from __future__ import annotations
+
+from stagewise.plans.base import F, Frames, query, rounded
+from stagewise.sources import runs, tables
+from stagewise.streaming import detector, logs
+
+_LAST = "SELECT * EXCLUDE nth FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS nth FROM events) WHERE nth = 1"
+
+
+@query("checkpoint_last_wins", _LAST)
+def _(f: Frames):
+    return runs.last_record(f.table("events"), "ts").select(F.col("user_id").cast("string").alias("user_id"), "event_id", "value")
+
+
+@query("resume_pending", "SELECT DISTINCT c_custkey AS user_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events)")
+def _(f: Frames):
+    return runs.pending(f.table("customer").select(F.col("c_custkey").alias("user_id")).distinct(), f.table("events").select("user_id"))
+
+
+@query("reconcile_aggregates", "SELECT e.event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, round(avg(value) + CASE WHEN e.event_type < 'd' THEN 0 ELSE 1 END, 6) AS expected, e.event_type < 'd' AS agrees FROM events e GROUP BY e.event_type")
+def _(f: Frames):
+    rows = f.table("events").select(F.col("event_type").alias("name"), "value")
+    told = rows.groupBy("name").agg(F.avg("value").alias("v")).select("name", (F.col("v") + F.when(F.col("name") < "d", 0).otherwise(1)).alias("expected"))
+    return rounded(runs.reconcile(rows, told))
+
+
+@query("cost_rollup", "SELECT model, calls, tokens_in, tokens_out, round((tokens_in * usd_in + tokens_out * usd_out) / 1e6, 6) AS usd FROM (SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id % 900 + 100) AS BIGINT) AS tokens_in, CAST(sum(event_id % 90) AS BIGINT) AS tokens_out FROM events GROUP BY 1) JOIN (SELECT DISTINCT event_type AS model, length(event_type) * 0.1::DOUBLE AS usd_in, length(event_type) * 0.4::DOUBLE AS usd_out FROM events) USING (model)")
+def _(f: Frames):
+    e = f.table("events")
+    prices = e.select(F.col("event_type").alias("model")).distinct().select("model", (F.length("model") * 0.1).alias("usd_in"), (F.length("model") * 0.4).alias("usd_out"))
+    return rounded(runs.cost(e.select(F.col("event_type").alias("model"), (F.col("event_id") % 900 + 100).alias("n_in"), (F.col("event_id") % 90).alias("n_out")), prices))
+
+
+@query("report_json", "SELECT event_type, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def _(f: Frames):
+    rows = f.table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.lit(float("nan")).alias("nothing"))
+    return runs.report(rows, ["event_type"]).select("event_type", F.get_json_object("report", "$.n").cast("long").alias("n"))
+
+
+@query("id_collisions", "SELECT 0 AS as_number, 0 AS n WHERE false")
+def _(f: Frames):
+    return runs.id_collisions(f.table("events"))
+
+
+@query("news_scan", "SELECT 'N' || p_partkey AS news_id, p_brand AS category, p_type AS subcategory, p_name AS title, 'size ' || p_size AS abstract, p_name || '. size ' || p_size AS text FROM part WHERE p_partkey % 4 > 0")
+def _(f: Frames):
+    p = f.table("part")
+    line = F.concat_ws("\t", F.concat(F.lit("N"), F.col("p_partkey").cast("string")), "p_brand", "p_type", "p_name", F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    return tables.news(p.select(F.when(F.col("p_partkey") % 4 > 0, line).otherwise("broken\tline").alias("value")))
+
+
+@query("behaviour_scan", """
+SELECT * FROM (WITH b AS (SELECT o_orderkey AS k, 'U' || o_custkey AS u, o_orderkey % 6 = 0 AS bad, CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE 1577836800 + (o_orderkey % 1000) * 60 END AS t FROM orders)
+SELECT u AS raw_user, 'I' || (k % 17) AS raw_item, t AS ts FROM b UNION ALL SELECT u, 'H' || (k % 13), t - 2 FROM b UNION ALL SELECT u, 'H' || (k % 11), t - 1 FROM b)""")
+def _(f: Frames):
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    when = F.date_format(F.timestamp_seconds(F.lit(1577836800) + (k % 1000) * 60), "M/d/yyyy h:mm:ss a")
+    line = F.concat_ws("\t", text(k), F.concat(F.lit("U"), text(F.col("o_custkey"))), F.when(k % 6 == 0, "no time").otherwise(when), F.concat(F.lit("H"), text(k % 13), F.lit(" H"), text(k % 11)), F.concat(F.lit("I"), text(k % 17), F.lit("-1 J"), text(k % 5), F.lit("-0")))
+    return tables.behaviours(f.table("orders").select(line.alias("value")))
+
+
+@query("json_metadata", "SELECT p_partkey AS item_id, p_name AS title, substring(p_name || ' ' || p_type, 1, 12) AS text FROM part")
+def _(f: Frames):
+    p = f.table("part")
+    value = F.to_json(F.map_from_arrays(F.array(F.col("p_partkey").cast("string")), F.array(F.struct(F.col("p_name").alias("title"), F.concat_ws(" ", "p_name", "p_type").alias("text")))))
+    return tables.item_metadata(p.select(value.alias("value")), 12).select("item_id", "title", "text")
+
+
+@query("title_metadata", "SELECT item_id, title FROM (SELECT item_id, 'order ' || k1 AS title, row_number() OVER (PARTITION BY item_id ORDER BY ts, k1, k2, user_id, k3) AS nth FROM inter) WHERE nth = 1")
+def _(f: Frames):
+    rows = f.inter.withColumn("title", F.concat(F.lit("order "), F.col("k1").cast("string")))
+    return tables.metadata_from_titles(rows, ["ts", "k1", "k2", "user_id", "k3"])
+
+
+def trace(f: Frames):
+    return f.table("events").select((F.col("event_id") % 3).alias("run_id"), F.col("event_id").alias("step"), F.when(F.floor(F.col("event_id") / 150) % 2 == 0, F.lit(5.0) + (F.col("event_id") % 7) * 0.01).otherwise(F.col("value")).alias("value"))
+
+
+_TRACE = "SELECT event_id % 3 AS run_id, event_id AS step, CASE WHEN (event_id // 150) % 2 = 0 THEN 5.0 + (event_id % 7) * 0.01 ELSE value END AS value FROM events"
+
+
+@query("plateau_jumps", f"""
+SELECT * FROM (WITH t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS pl FROM ({_TRACE})),
+f AS (SELECT *, coalesce(count(*) OVER w = 20 AND stddev_pop(value) OVER w < 0.5 AND abs(regr_slope(value, pl) OVER w) < 0.1, false) AS flat FROM t WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+i AS (SELECT *, sum(CASE WHEN flat THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY step) AS island FROM f),
+g AS (SELECT run_id, island, count(*) AS flat_points, avg(value) AS mean, stddev_pop(value) AS dev FROM i WHERE flat GROUP BY run_id, island HAVING count(*) >= 5)
+SELECT i.run_id, i.step, i.value, g.flat_points, round(abs(i.value - g.mean) / (g.dev + 1e-10), 6) AS z FROM i JOIN g ON g.run_id = i.run_id AND g.island = i.island - 1 WHERE NOT i.flat AND abs(i.value - g.mean) / (g.dev + 1e-10) > 2)""")
+def _(f: Frames):
+    return detector.jumps(trace(f))
+
+
+@query("emergence_points", f"SELECT run_id, step, round(rise, 6) AS rise FROM (SELECT run_id, step, count(*) OVER w AS n, value - avg(value) OVER w AS rise FROM ({_TRACE}) WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)) WHERE n >= 5 AND rise > 0.1")
+def _(f: Frames):
+    return detector.emergence(trace(f))
+
+
+@query("epoch_jumps", f"SELECT run_id, min(step) AS step FROM (SELECT run_id, step, value, count(*) OVER w AS n, avg(value) OVER w AS mean, var_pop(value) OVER w AS v FROM ({_TRACE}) WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE n = 10 AND v < 0.01 AND value - mean > 0.05 GROUP BY run_id")
+def _(f: Frames):
+    return detector.epoch_jumps(trace(f), variance=0.01)
+
+
+@query("half_jump", f"SELECT run_id, round((avg(value) FILTER (b <= 50) - avg(value) FILTER (b > 50)) / (stddev_pop(value) FILTER (b > 50) + 1e-10), 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS b FROM ({_TRACE})) WHERE b <= 100 GROUP BY run_id")
+def _(f: Frames):
+    return detector.half_jump(trace(f), 100)
+
+
+@query("events_tumbling", "SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def _(f: Frames):
+    return logs.tumbling(f.table("events"))
+
+
+@query("events_sessions", """
+SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (
+ SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def _(f: Frames):
+    return logs.sessions(f.table("events"))
