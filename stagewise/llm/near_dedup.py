@@ -5,7 +5,10 @@ are sorted; documents with a common prefix of ``MIN_DEPTH`` values or more are
 neighbours. In a region of at most ``REGION`` documents every pair is a candidate; a
 denser region is split at the next depth, down to ``MAX_DEPTH`` values, and keeps the
 links from each document to the region's smallest one and to its next neighbours in
-order. Set sizes and a 128-bit sketch drop candidates far below the similarity.
+order. Once these have shown components, the members of a dense region outside its
+largest component are joined with all its members of other components: no pair of a
+region is lost, while a group of copies costs one link a member. Set sizes and a 128-bit
+sketch drop candidates far below the similarity.
 
 Equal sets are one class, so copies never form pairs. Candidates are confirmed on the
 full sets in two rounds: first one candidate per document, then those that join
@@ -130,7 +133,9 @@ def _alike(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndar
     """Whether sizes and sketches let the pairs reach the similarity; never true for a row and itself."""
     size = rows["size"]
     fit = (100 * np.minimum(size[i], size[j]) >= 80 * np.maximum(size[i], size[j])) & (rows["doc"][i] != rows["doc"][j])
-    apart = np.bitwise_count(rows["sketch_a"][i] ^ rows["sketch_a"][j]).astype(int) + np.bitwise_count(rows["sketch_b"][i] ^ rows["sketch_b"][j])
+    # as unsigned: of a negative number the bits of its size would be counted
+    a, b = (rows[c].view(np.uint64) for c in ("sketch_a", "sketch_b"))
+    apart = np.bitwise_count(a[i] ^ a[j]).astype(int) + np.bitwise_count(b[i] ^ b[j])
     return fit & (apart <= SKETCH_BITS)
 
 
@@ -189,7 +194,8 @@ _LINK_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int6
 
 
 def _link_rows(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
-    """Links of sorted rows; with ``ends`` also the outer rows of the first and the last region (kind 2)."""
+    """Links of sorted rows; with ``ends`` also the outer rows of the first and the last region (kind 2),
+    and all rows of these and of dense regions (kind 3)."""
 
     def links(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for kind, a, b in region_links(rows):
@@ -198,11 +204,19 @@ def _link_rows(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Rec
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 5], schema=_LINK_SCHEMA)
 
+    def whole(rows: dict[str, np.ndarray], at: np.ndarray, kind: int) -> pa.RecordBatch:
+        r = {k: v[at] for k, v in rows.items()}
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(r["doc"]), kind, np.int32)), pa.array(r["doc"]), pa.array(r["doc"]), pa.array(r["tree"]), *[pa.array(r[n]) for n in ("near", "deep", "size", "sketch_a", "sketch_b")]], schema=_LINK_SCHEMA)
+
     def stub(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n = len(rows["doc"])
-        at = np.unique(np.concatenate([np.arange(min(n, REGION)), np.arange(max(0, n - REGION), n), [rows["doc"].argmin()]]))
-        r = {k: v[at] for k, v in rows.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2, np.int32)), pa.array(r["doc"]), pa.array(r["doc"]), pa.array(r["tree"]), *[pa.array(r[n]) for n in ("near", "deep", "size", "sketch_a", "sketch_b")]], schema=_LINK_SCHEMA)
+        yield whole(rows, np.unique(np.concatenate([np.arange(min(n, REGION)), np.arange(max(0, n - REGION), n), [rows["doc"].argmin()]])), 2)
+        yield whole(rows, np.arange(n), 3)
+
+    def dense(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        many = np.flatnonzero(_labels(_same(rows["tree"], rows["near"]))[1] > REGION)
+        if len(many):
+            yield whole(rows, many, 3)
 
     held: dict[str, np.ndarray] | None = None
     first = True
@@ -214,10 +228,13 @@ def _link_rows(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Rec
         begin = np.flatnonzero(np.append(True, ~_same(held["tree"], held["near"])))
         last = begin[-1]
         if last:
+            done = {n: v[:last] for n, v in held.items()}
             if first and ends:
                 yield from stub({n: v[: begin[1]] for n, v in held.items()})
+            if ends:
+                yield from dense({n: v[begin[1] if first else 0 :] for n, v in done.items()})
             first = False
-            yield from links({n: v[:last] for n, v in held.items()})
+            yield from links(done)
             held = {n: v[last:] for n, v in held.items()}
     if held is not None:
         if ends:
@@ -225,8 +242,8 @@ def _link_rows(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Rec
         yield from links(held)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b with ``first`` true for each b's pair with its smallest region head."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b with ``first`` true for each b's pair with its smallest region head; and the rows of dense regions."""
     keys = ["tree", "near", "deep", "doc"]
     rows = forest(classes).repartitionByRange(*keys).sortWithinPartitions(*keys)
     found = stored(rows.mapInArrow(lambda it: _link_rows(it, True), LINKS), "forest-links")
@@ -235,7 +252,26 @@ def candidates(classes: DataFrame) -> DataFrame:
     pairs = found.where("kind < 2").unionAll(across).groupBy("a", "b").agg(F.min("kind").alias("kind"))
     pairs = stored(pairs, "candidates")
     heads = pairs.where("kind = 0").groupBy("b").agg(F.min("a").alias("head"))
-    return stored(pairs.join(heads, "b", "left").select("a", "b", (F.col("kind") == 0).__and__(F.col("a") == F.col("head")).alias("first")), "candidate-pairs")
+    first = ((F.col("kind") == 0) & (F.col("a") == F.col("head"))).alias("first")
+    dense = found.where("kind = 3").select("tree", "near", F.col("a").alias("doc"), "size", "sketch_a", "sketch_b")
+    return stored(pairs.join(heads, "b", "left").select("a", "b", first), "candidate-pairs"), dense
+
+
+def across_components(dense: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs a < b of one dense region in different components that sizes and sketches let through.
+
+    One side are the members outside the region's largest component, the other all.
+    """
+    own = labels.select(F.col("node").alias("doc"), "root")
+    rows = stored(dense.join(own, "doc", "left").withColumn("root", F.coalesce("root", "doc")), "dense-regions")
+    counts = rows.groupBy("tree", "near", "root").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("tree", "near").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    few = rows.join(largest.select("tree", "near", F.col("most.root").alias("main")), ["tree", "near"]).where("root <> main")
+    few = few.select("tree", "near", *[F.col(c).alias(f"{c}_") for c in ("doc", "size", "sketch_a", "sketch_b", "root")])
+    apart = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_a_"))) + F.bit_count(F.col("sketch_b").bitwiseXOR(F.col("sketch_b_")))
+    fit = (100 * F.least("size", "size_") >= 80 * F.greatest("size", "size_")) & (apart <= SKETCH_BITS)
+    alike = (rows.tree == few.tree) & (rows.near == few.near) & (F.col("root") != F.col("root_")) & fit
+    return rows.join(few, alike).select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct()
 
 
 def _wanted(pairs: DataFrame) -> np.ndarray:
@@ -345,7 +381,7 @@ def near_duplicates(df: DataFrame, words: int = 4, percent: int = 80) -> DataFra
     named = rows.where("n_shingles > 0 and doc_id is not null")
     heads = stored(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("head")), "classes")
     classes = named.join(heads.select(F.col("head").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    pairs = candidates(classes)
+    pairs, dense = candidates(classes)
     first = stored(similar(docs, pairs.where("first"), words, percent), "links")
     # rows of one doc_id with different sets are one node already: their classes are linked
     shared = named.join(heads, ["set_a", "set_b"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
@@ -354,7 +390,8 @@ def near_duplicates(df: DataFrame, words: int = 4, percent: int = 80) -> DataFra
     for c in ("a", "b"):
         own = labels.select(F.col("node").alias(f"via_{c}"), F.col("root").alias(f"root_{c}"))
         rest = rest.join(own, F.col(c) == F.col(f"via_{c}"), "left")
-    rest = stored(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-pairs")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = stored(rest.unionAll(across_components(dense, labels)).distinct(), "open-pairs")
     if not rest.isEmpty():
         second = stored(similar(docs, rest, words, percent), "links")
         if not second.isEmpty():
