@@ -5,6 +5,7 @@ python tests/compare.py SF_DIR [NAME...]
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -55,7 +56,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.master("local[6]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{os.environ.get('CPUS', '6')}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles, con = entry.queries(), entry.oracle_sql(), connection(sys.argv[1])
     bad = 0
