@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from stagewise.llm.common import column, documents_of, mix64, remainder, ship, steps, stored, utf8, word_table
 
 SINGLES, ENDINGS, HEAD = 448, 64, 1 << 18
-WIDTH, BATCH, NOISE, RATE, ROUNDS = 32, 1024, 128, 0.05, 2
+WIDTH, BATCH, NOISE, RATE, ROUNDS = 32, 2048, 64, 0.05, 2
 END = np.uint64(0x5DEECE66D5DEECE6)
 #: Fixed point of averaged parameters: sums of whole numbers don't depend on their order.
 POINT = float(1 << 20)
