@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from stagewise.llm.common import column, documents_of, mix64, remainder, ship, steps, stored, utf8, word_table
 
 SINGLES, ENDINGS, HEAD = 448, 64, 1 << 18
-WIDTH, BATCH, NOISE, RATE, ROUNDS = 32, 2048, 64, 0.05, 2
+WIDTH, BATCH, NOISE, RATE, ROUNDS = 32, 1024, 128, 0.05, 2
 END = np.uint64(0x5DEECE66D5DEECE6)
 #: Fixed point of averaged parameters: sums of whole numbers don't depend on their order.
 POINT = float(1 << 20)
@@ -168,17 +168,22 @@ class Bilinear:
 
 
 def _scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index."""
-    order = np.argsort(at, kind="stable")
+    """Sums of rows by index; rows have an even number of float32, which are added as pairs."""
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
     ranked = at[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    out = np.zeros((n, *values.shape[1:]), np.float32)
-    out[ranked[first]] = np.add.reduceat(values[order], first)
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[ranked[first]] = np.add.reduceat(values.take(order, axis=0).view(np.complex64), first).view(np.float32)
     return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of ``x``."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -194,15 +199,21 @@ class Trainer:
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
         m, size = self.model, len(self.offset)
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), size - 1)
-        r1, r2, qw, qn = m.r[c1], m.r[c2], m.q[w], m.q[noise]
-        context = r1 @ m.c1 + r2 @ m.c2
-        real = _sigmoid(-(np.einsum("ij,ij->i", context, qw) + m.b[w] - self.offset[w])).astype(np.float32)
-        fake = -_sigmoid(context @ qn.T + m.b[noise] - self.offset[noise]).astype(np.float32)
-        dcontext = real[:, None] * qw + fake @ qn
-        dq = _scatter(w, real[:, None] * context, size) + _scatter(noise, fake.T @ context, size)
-        db = _scatter(w, real, size) + _scatter(noise, fake.sum(axis=0), size)
-        dr = _scatter(c1, dcontext @ m.c1.T, size + 1) + _scatter(c2, dcontext @ m.c2.T, size + 1)
-        for p, g, s in zip(m.parts(), (dr, r1.T @ dcontext, r2.T @ dcontext, dq, db), self.squares, strict=True):
+        # products with the position matrices by class, not by token: there are fewer classes
+        context = (m.r @ m.c1).take(c1, axis=0)
+        context += (m.r @ m.c2).take(c2, axis=0)
+        qw, qn = m.q.take(w, axis=0), m.q[noise]
+        real = _sigmoid((self.offset - m.b)[w] - np.einsum("ij,ij->i", context, qw))
+        fake = context @ qn.T
+        fake += m.b[noise] - self.offset[noise]
+        _sigmoid(fake)
+        dcontext = real[:, None] * qw
+        dcontext -= fake @ qn
+        dq = _scatter(w, real[:, None] * context, size) - _scatter(noise, fake.T @ context, size)
+        db = (np.bincount(w, real, size) - np.bincount(noise, fake.sum(axis=0), size)).astype(np.float32)
+        d1, d2 = _scatter(c1, dcontext, size + 1), _scatter(c2, dcontext, size + 1)
+        dr = d1 @ m.c1.T + d2 @ m.c2.T
+        for p, g, s in zip(m.parts(), (dr, m.r.T @ d1, m.r.T @ d2, dq, db), self.squares, strict=True):
             g /= len(w)
             s += g * g
             p += RATE * g / np.sqrt(s)

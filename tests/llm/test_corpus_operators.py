@@ -289,6 +289,53 @@ def test_class_probabilities_are_normalised():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def _trained(batch, noise):
+    """Mean log10 probability of unseen tokens after training on 60,000 tokens of a chain, and the steps taken."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    follow = rng.dirichlet(np.full(64, 0.05), 64).cumsum(axis=1)
+    chain = [0]
+    for x in rng.random(70_000):
+        chain.append(min(int(np.searchsorted(follow[chain[-1]], x)), 63))
+    chain = np.array(chain)
+    c2, c1, w = chain[:-2], chain[1:-1], chain[2:]
+    share = (np.bincount(w[:60_000], minlength=64) + 1) / (60_000 + 64)
+    trainer = lm_score.Trainer(lm_score.Bilinear.start(share), share, 1)
+    for k in range(0, 60_000, batch):
+        trainer.step(*(x[k : min(k + batch, 60_000)] for x in (c1, c2, w)))
+    return lm_score.Scorer.of(trainer.model).log10(c1[60_000:], c2[60_000:], w[60_000:]).mean(), trainer.steps
+
+
+def test_training_is_not_thinned(monkeypatch):
+    got, steps = _trained(lm_score.BATCH, lm_score.NOISE)
+    monkeypatch.setattr(lm_score, "NOISE", 64)
+    thinned, fewer = _trained(2048, 64)
+    assert steps >= 2 * fewer - 1 and got > thinned + 0.01
+
+
+def test_training_step_equals_plain_gradient():
+    rng = np.random.Generator(np.random.PCG64(4))
+    share = rng.dirichlet(np.ones(30))
+    trainer, model = lm_score.Trainer(lm_score.Bilinear.start(share), share, 9), lm_score.Bilinear.start(share)
+    c1, c2, w = rng.integers(0, 31, 200), rng.integers(0, 31, 200), rng.integers(0, 30, 200)
+    noise = np.searchsorted(np.cumsum(share), np.random.Generator(np.random.PCG64(9)).random(lm_score.NOISE))
+    grads = [np.zeros(p.shape) for p in model.parts()]
+    for a, b, target in zip(c1, c2, w, strict=True):
+        context = model.r[a] @ model.c1 + model.r[b] @ model.c2
+        for k, real in [(target, 1), *((k, 0) for k in noise)]:
+            miss = real - 1 / (1 + np.exp(np.log(lm_score.NOISE * share[k]) - model.b[k] - context @ model.q[k]))
+            back = miss * model.q[k]
+            grads[0][a] += back @ model.c1.T
+            grads[0][b] += back @ model.c2.T
+            grads[1] += np.outer(model.r[a], back)
+            grads[2] += np.outer(model.r[b], back)
+            grads[3][k] += miss * context
+            grads[4][k] += miss
+    trainer.step(c1, c2, w)
+    for p, old, g in zip(trainer.model.parts(), model.parts(), grads, strict=True):
+        g /= len(w)
+        assert p == pytest.approx(old + lm_score.RATE * g / np.sqrt(1e-6 + g * g), abs=1e-4)
+
+
 def test_rare_words_are_joined(spark, docs, monkeypatch):
     whole = {r["doc_id"]: r["base_score"] for r in _rows(lm_score.score_texts(docs))}
     monkeypatch.setattr(lm_score.head_of, "__defaults__", (5,))
