@@ -5,9 +5,10 @@ Over the whole corpus it is counted how often each term stands within a few word
 each entity and how often it stands anywhere. A term t discloses an entity e by
 PMI(t; e) = log2(p(e|t) / p(e)); set against the entity's own information
 IC(e) = -log2 p(e) this is 1 for a term that stands by e and nowhere else and 0 for one
-independent of it. Terms at or above ``threshold``, seen with e in ``support`` different
-contexts, are spans of kind "term" wherever they stand near e, and are generalised or
-removed.
+independent of it. Terms at or above ``threshold`` for any entity, seen with it in
+``support`` different contexts, are spans of kind "term" wherever they stand, near an
+entity or not, and are generalised or removed: a second pass over whole texts finds them
+by a filter of fixed size and then an exact join. Words within base spans are not terms.
 
 Base patterns match leftmost and without overlap per kind; a match that fails its check
 (ip parts, Luhn, digit counts) is dropped and not retried. Positions count code points.
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"
 THRESHOLD, SUPPORT, CONTEXT_WORDS, CONTEXT_CHARS = 0.95, 3, 8, 160
 #: Bits of the filter that lets the counting pass skip terms near no entity: a fixed size.
 FILTER_BITS = 20
+#: Bits of the filter of revealing terms, and rows of each in their join: frequent terms are dealt to as many tasks.
+TERM_BITS, DEALT = 22, 16
 
 # Fixed patterns. Possessive parts and the look-behinds only spare retries that can't match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -151,6 +156,13 @@ def scan(df: DataFrame) -> DataFrame:
     return documents_of(df).select(*_key(), "doc_id", "text").mapInArrow(run, _SCAN_DDL)
 
 
+def _filter(terms: DataFrame, width: int) -> np.ndarray:
+    """Which values of the last ``width`` bits the terms have."""
+    bits = np.zeros(1 << width, bool)
+    bits[terms.select(F.pmod("term", F.lit(1 << width)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    return bits
+
+
 def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """How often each term that the filter lets through stands anywhere, and (term null) all words."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -177,10 +189,7 @@ def disclosures(df: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD,
     by_context = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= support)
     pairs = stored(pairs, "term-entity")
-    places = pairs.select(F.pmod("term", F.lit(1 << FILTER_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[places] = True
-    counts = stored(_occurrences(documents_of(df), bits), "term-counts")
+    counts = stored(_occurrences(documents_of(df), _filter(pairs, FILTER_BITS)), "term-counts")
     total = counts.where("term is null").agg(F.sum("n_term")).first()[0] or 1
     windows = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
     p_entity = F.col("n_entity") / F.lit(float(total))
@@ -190,17 +199,50 @@ def disclosures(df: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD,
     return scored.select("entity", "term", (F.log2(p_given / p_entity) / ic).alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def term_spans(scanned: DataFrame, revealing: DataFrame) -> DataFrame:
-    """key_a, key_b, terms: the ordered spans of revealing terms near their entity."""
-    near = scanned.where(F.size("near") > 0).select("key_a", "key_b", F.explode("near").alias("x")).select("key_a", "key_b", "x.entity", "x.term", "x.a", "x.b")
-    hit = near.join(revealing.select("entity", "term"), ["entity", "term"]).select("key_a", "key_b", F.struct("a", "b").alias("span"))
+def _places(df: DataFrame, bits: np.ndarray) -> DataFrame:
+    """key_a, key_b, term, a, b of all words outside base spans that the filter lets through."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    names = ("key_a", "key_b", "term", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, key_a, key_b = (column(batch, c) for c in ("text", "key_a", "key_b"))
+            data, offsets = utf8(texts)
+            for i, j in steps(offsets):
+                own, at = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "alnum")
+                hits = np.flatnonzero(shared.value[own & np.uint64((1 << TERM_BITS) - 1)])
+                cuts = np.searchsorted(hits, at)
+                rows = []
+                for d in np.flatnonzero(np.diff(cuts)).tolist():
+                    text = texts[i + d].as_py()
+                    spans = sorted((x, y) for _, x, y in base_spans(text))
+                    begins, ends = [x for x, _ in spans], list(accumulate((y for _, y in spans), max))
+                    words = [m.span() for m in _WORD.finditer(text)]
+                    keys = key_a[i + d].as_py(), key_b[i + d].as_py()
+                    for h in hits[cuts[d] : cuts[d + 1]].tolist():
+                        x, y = words[h - int(at[d])]
+                        before = bisect_left(begins, y)
+                        if y - x >= 3 and not (before and ends[before - 1] > x):
+                            rows.append((*keys, int(own[h].view(np.int64)), x, y))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names)
+
+    return documents_of(df).select(*_key(), "text").mapInArrow(run, "key_a long, key_b long, term long, a int, b int")
+
+
+def term_spans(df: DataFrame, revealing: DataFrame) -> DataFrame:
+    """key_a, key_b, terms: the ordered spans of revealing terms, wherever they stand."""
+    terms = stored(revealing.select("term").distinct(), "revealing-terms")
+    dealt = terms.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    places = _places(df, _filter(terms, TERM_BITS)).withColumn("deal", F.pmod("key_a", F.lit(DEALT)).cast("int"))
+    hit = places.join(dealt, ["term", "deal"]).select("key_a", "key_b", F.struct("a", "b").alias("span"))
     return hit.groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set("span")).alias("terms"))
 
 
 def find_personal_data(df: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """Counts and spans per row: the base kinds, then terms that disclose an entity near them."""
+    """Counts and spans per row: the base kinds, then terms that disclose an entity."""
     scanned = stored(scan(df), "pii-scan")
-    spans = term_spans(scanned, disclosures(df, scanned, threshold, support))
+    spans = term_spans(df, disclosures(df, scanned, threshold, support))
     terms = F.transform("terms", lambda s: F.concat(F.lit("term:"), s["a"].cast("string"), F.lit(":"), s["b"].cast("string")))
     joined = scanned.drop("near").join(spans, ["key_a", "key_b"], "left")
     every = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.concat_ws(",", terms))
@@ -227,7 +269,7 @@ def rewritten(text: str, terms: list[tuple[int, int]]) -> str:
 def sanitise(df: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """All rows and columns, with personal data and revealing terms taken out of ``text``."""
     scanned = stored(scan(df), "pii-scan")
-    spans = stored(term_spans(scanned, disclosures(df, scanned, threshold, support)), "term-spans").select(F.col("key_a").alias("stagewise_a"), F.col("key_b").alias("stagewise_b"), F.col("terms").alias("stagewise_terms"))
+    spans = stored(term_spans(df, disclosures(df, scanned, threshold, support)), "term-spans").select(F.col("key_a").alias("stagewise_a"), F.col("key_b").alias("stagewise_b"), F.col("terms").alias("stagewise_terms"))
     a, b = _key()
     keyed = df.join(spans, (F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("stagewise_a")) & (F.xxhash64(F.col("text").cast("string"), F.col("doc_id").cast("long"), F.lit(7)) == F.col("stagewise_b")), "left").drop("stagewise_a", "stagewise_b")
     at, names = df.columns.index("text"), df.columns

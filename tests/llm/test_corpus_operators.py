@@ -179,6 +179,20 @@ def test_revealing_terms_and_rewriting(spark, docs, empty):
     assert pii.find_personal_data(empty).count() == 0 and pii.sanitise(empty).count() == 0
 
 
+def test_revealing_terms_are_found_wherever_they_stand(spark):
+    far = " ".join(["word"] * 40)
+    texts = [f"ask Zorblax about {'x' * (i + 3)} eve@mail.example.com" for i in range(40)]
+    texts += [f"\u00e9 zorblax! {far} eve@mail.example.com {far}\nZORBLAX again, zorblax@other.example.org", "we met Zorblax, and Zorblax sang", "Zorblaxian", " ".join(f"w{i}" for i in range(4000)), "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, clean = ({r["doc_id"]: r for r in _rows(f(df))} for f in (pii.find_personal_data, pii.sanitise))
+    for i, t in enumerate(texts):
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\bzorblax\b(?!@)", t or "", re.I)]
+        assert [s for s in got[i]["spans"].split(",") if s in want] == want
+        assert not re.search(r"\bzorblax\b", clean[i]["text"] or "", re.I)
+    assert got[41]["n_term"] == 2 and clean[41]["text"] == "we met <NAME>, and <NAME> sang" and clean[42]["text"] == "Zorblaxian"
+    assert clean[44]["text"] == "" and clean[45]["text"] is None
+
+
 def _brute_contamination(texts, items, size=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", LOWER(t))
     asked = {}
