@@ -5,8 +5,9 @@ of all its words and, per word, the ascending positions at which it stands; segm
 rows of a table, so the index is partitioned by documents and no posting list of a
 frequent word gathers in one task. A test window is answered inside each segment: its
 terms' position lists, shifted by their offset in the window, are intersected from the
-rarest term on. Proximity matches ask instead that all terms stand within ``slop`` words
-of a posting of the rarest one.
+rarest term on. Proximity matches ask instead that all terms stand in one document within
+``slop`` words of a posting of one of them, whichever; documents of a segment lie further
+apart than that.
 
 The query set (the benchmark) is taken in blocks of bounded size.
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from stagewise.llm.common import column, documents_of, ship, steps, stored, utf8, word_hashes
 
 WINDOW = 13
+#: Words of distance in the registered query's proximity matches: exact matches are near, and those with words put in or moved.
+SLOP = WINDOW
 #: Characters of benchmark text that one pass carries to the executors.
 BLOCK_CHARS = 4_000_000
 INDEX = "segment long, doc_ids array<long>, word_at array<int>, terms binary, posting_at binary, positions binary"
@@ -56,6 +59,11 @@ class Windows:
     size: int
 
 
+def gap_of(size: int, slop: int) -> int:
+    """Positions between documents that neither a window nor a proximity match spans."""
+    return max(size, slop + 1)
+
+
 def build_segment(data: np.ndarray, offsets: np.ndarray, gap: int) -> Segment:
     words, at = word_hashes(data, offsets, "alnum")
     order = np.argsort(words, kind="stable")
@@ -83,6 +91,16 @@ def build_windows(items: list[tuple[str, str]], size: int) -> Windows:
     return Windows(vocabulary, places, list(asked.values()), size)
 
 
+def _within(around: np.ndarray, lists: list[np.ndarray], slop: int) -> np.ndarray:
+    """The positions that have one of each list within ``slop``."""
+    for own in lists:
+        lo = np.searchsorted(own, around - slop)
+        around = around[(lo < len(own)) & (own[np.minimum(lo, len(own) - 1)] <= around + slop)]
+        if not len(around):
+            break
+    return around
+
+
 def search(segment: Segment, asked: Windows, slop: int = 0) -> tuple[dict[int, np.ndarray], dict[int, set[str]], dict[int, set[str]]]:
     """Per document of the segment with any: hit word numbers, exact items, items in proximity."""
     hits: dict[int, list[np.ndarray]] = {}
@@ -93,7 +111,7 @@ def search(segment: Segment, asked: Windows, slop: int = 0) -> tuple[dict[int, n
     place = np.minimum(np.searchsorted(segment.terms, asked.vocabulary), len(segment.terms) - 1)
     there = segment.terms[place] == asked.vocabulary
     size = np.append(np.where(there, segment.posting_at[place + 1] - segment.posting_at[place], 0), len(segment.positions) + 1)
-    begins = segment.word_at[:-1] + np.arange(len(segment.word_at) - 1) * asked.size
+    begins = segment.word_at[:-1] + np.arange(len(segment.word_at) - 1) * gap_of(asked.size, slop)
 
     def postings(term: int) -> np.ndarray:
         return segment.positions[segment.posting_at[place[term]] : segment.posting_at[place[term] + 1]]
@@ -107,13 +125,14 @@ def search(segment: Segment, asked: Windows, slop: int = 0) -> tuple[dict[int, n
         ranked = sorted(range(length), key=lambda o: (size[terms[o]], o))
         starts = postings(terms[ranked[0]]) - ranked[0]
         if slop:
-            around = starts + ranked[0]
-            for term in {int(t) for t in terms[:length]}:
-                own = postings(term)
-                lo = np.searchsorted(own, around - slop)
-                around = around[(lo < len(own)) & (own[np.minimum(lo, len(own) - 1)] <= around + slop)]
-            for d in set(docs_at(around).tolist()):
-                near.setdefault(d, set()).update(asked.items[k])
+            lists = [postings(t) for t in dict.fromkeys(terms[o] for o in ranked)]
+            # all within slop of one posting are within twice that of the rarest term's, so most windows end here
+            about = _within(lists[0], lists, 2 * slop)
+            if len(about):
+                for own in lists:
+                    at = np.minimum(np.searchsorted(about, own - slop), len(about) - 1)
+                    for d in set(docs_at(_within(own[np.abs(about[at] - own) <= slop], lists, slop)).tolist()):
+                        near.setdefault(d, set()).update(asked.items[k])
         for offset in ranked[1:]:
             if not len(starts):
                 break
@@ -139,8 +158,8 @@ def query_blocks(benchmark: DataFrame, size: int) -> Iterator[Windows]:
         yield build_windows([tuple(r) for r in part.orderBy("item_id", "text").toLocalIterator()], size)
 
 
-def build_index(df: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The stored index over all documents: one row per segment."""
+def build_index(df: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
+    """The stored index over all documents, for proximity matches up to ``slop``: one row per segment."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +168,7 @@ def build_index(df: DataFrame, size: int = WINDOW) -> DataFrame:
             data, offsets = utf8(column(batch, "text"))
             ids = column(batch, "doc_id")
             for i, j in steps(offsets):
-                s = build_segment(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                s = build_segment(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], gap_of(size, slop))
                 words = np.diff(s.positions.astype(np.int64), prepend=0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([s.word_at.astype(np.int32)], pa.list_(pa.int32())), pa.array([s.terms.tobytes()], pa.binary()), pa.array([s.posting_at.astype(np.uint32).tobytes()], pa.binary()), pa.array([words.astype(np.int32).tobytes()], pa.binary())],
@@ -170,7 +189,7 @@ def _segment(row: dict) -> Segment:
 
 
 def search_index(index: DataFrame, asked: Windows, slop: int = 0) -> DataFrame:
-    """One row per indexed document with its hit words and items for one block of queries."""
+    """One row per indexed document with its hit words and items for one block of queries; ``slop`` as the index was built for."""
     ship(index.sparkSession)
     shared = index.sparkSession.sparkContext.broadcast(asked)
 
@@ -194,7 +213,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop:
     A document is contaminated if it has hit words and they are a twentieth of its words
     or more.
     """
-    index = stored(build_index(df, size), "positional-index", parquet__block__size=16 << 20)
+    index = stored(build_index(df, size, slop), "positional-index", parquet__block__size=16 << 20)
     parts = [search_index(index, asked, slop) for asked in query_blocks(benchmark, size)]
     found = parts[0]
     for part in parts[1:]:
@@ -229,7 +248,7 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataF
                 data, offsets = utf8(batch.column(at))
                 before, counts, found = batch.column(len(fields)).to_pylist(), [], []
                 for i, j in steps(offsets):
-                    segment = build_segment(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                    segment = build_segment(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], gap_of(size, 0))
                     hits = search(segment, shared.value)[0]
                     counts.append(np.diff(segment.word_at))
                     found += [sorted({*before[i + d], *hits.get(d, np.zeros(0, int)).tolist()}) for d in range(j - i)]

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stagewise.llm import chat, decontaminate, language_id, lm_score, matroska, near_dedup, packing, pii, site_style, token_store
+from stagewise.llm import chat, decontaminate, language_id, lm_score, matroska, near_dedup, packing, pii, queries, site_style, token_store
 from stagewise.llm.tokens import default_vocabulary, encoder
 
 LOWER = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -250,6 +250,31 @@ def _brute_components(texts, words, percent=80):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("slop", [3, 5, 20])
+def test_near_items_equal_brute_force(spark, slop):
+    r = random.Random(slop)
+    texts = [" ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(r.randint(0, 30))) for _ in range(60)]
+    items = [(str(i), " ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(r.choice([2, 3, 6])))) for i in range(25)]
+    got = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id string, text string"), size=4, slop=slop)
+    for row in _rows(got):
+        words = texts[row["doc_id"]].split()
+        want = set()
+        for item, text in items:
+            asked = text.split()
+            for w in (set(asked[i : i + 4]) for i in range(max(1, len(asked) - 3))):
+                if any(t in w and w <= set(words[max(0, p - slop) : p + slop + 1]) for p, t in enumerate(words)):
+                    want.add(item)
+        assert row["near_items"] == ",".join(sorted(want))
+
+
+def test_registered_index_query_answers_proximity(spark, tmp_path):
+    bench = " ".join(f"word{i}" for i in range(13))
+    spark.createDataFrame([(1, bench.replace("word5", "and word5")), (2, "word1 word2")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("7", bench)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in _rows(queries.queries()["op6_positional_index"](spark, str(tmp_path)))}
+    assert (got[1]["near_items"], got[1]["n_hit"], got[2]["near_items"]) == ("7", 0, "")
+
+
 def test_near_duplicates_equal_brute_force(spark, docs, empty):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
