@@ -61,14 +61,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop path and the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at, files = _files(df.sparkSession, path)
+            files.delete(at, True)
+
+
 def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What ``discard`` hasn't deleted by then goes when the application ends.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     for key, value in options.items():
         writer = writer.option(key.replace("__", "."), value)
     writer.parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

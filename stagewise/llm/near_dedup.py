@@ -2,17 +2,31 @@
 
 A signature of 16-bit minima is read in several orders (trees). Per tree the signatures
 are sorted; documents with a common prefix of ``MIN_DEPTH`` values or more are
-neighbours. In a region of at most ``REGION`` documents every pair is a candidate; a
-denser region is split at the next depth, down to ``MAX_DEPTH`` values, and keeps the
-links from each document to the region's smallest one and to its next neighbours in
-order. Once these have shown components, the members of a dense region outside its
-largest component are joined with all its members of other components: no pair of a
-region is lost, while a group of copies costs one link a member. Set sizes and a 128-bit
-sketch drop candidates far below the similarity.
+neighbours, and form a region. In a region of at most ``REGION`` documents every pair is
+a candidate. A denser region is split at the next depth, down to ``MAX_DEPTH`` values;
+parts that are still dense keep the links to the region's smallest document and to the
+next neighbours in order. Set sizes and a 128-bit sketch drop candidates far below the
+similarity.
+
+Dense regions lose no pair and never list all their pairs. Up to three central documents
+of the region's largest component are its hubs: every member is compared with them. Let
+M be the shingles that most hubs have, q = p / (1 + p) for a similarity p, and x be a
+document linked with no hub. x & y must hold q(|x| + |y|) shingles, so a link of x and y
+needs one of three things:
+
+* a shingle outside M that both have;
+* else |x & y| is |x & M| less the shingles of M that y misses and x has. Those are fewer
+  than B = min over hubs h of q(|h| - |y|) + |M - h|, so that of any B missing shingles of
+  y one is missing in x as well;
+* or y misses fewer than B of M. Then x reaches the similarity with M.
+
+So each document gives the region's index a prefix, in the order of hashes, of its
+shingles outside M (long enough that two documents that need k in common share one) and
+of its missing ones; only pairs of different components that meet there are candidates.
+Entries that many documents give are regions of their own and are treated alike.
 
 Equal sets are one class, so copies never form pairs. Candidates are confirmed on the
-full sets in two rounds: first one candidate per document, then those that join
-different components.
+full sets: first one candidate per document, then those that join different components.
 
 Rows are sorted by range over (tree, values, doc_id), so a group of copies of any size
 is spread over tasks; the ends of every range are compared again across ranges.
@@ -32,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import BASE, column, documents_of, joined_hashes, mix64, ship, steps, stored, utf8, word_hashes
+from stagewise.llm.common import BASE, column, discard, documents_of, joined_hashes, mix64, ship, steps, stored, utf8, word_hashes
 
 VALUES, TREES, MIN_DEPTH, MAX_DEPTH, REGION = 128, 24, 4, 8, 16
 #: Differing bits of 128 beyond which a pair is no candidate: at similarity 0.8 a pair
@@ -40,6 +54,9 @@ VALUES, TREES, MIN_DEPTH, MAX_DEPTH, REGION = 128, 24, 4, 8, 16
 SKETCH_BITS = 30
 #: Members compared with one document by one task.
 STAR = 64
+#: Pairs up to which a shingle of a hub's index is paired at once, and rounds after which longer ones are too.
+LISTED, HUB_ROUNDS, HUBS = 4096, 4, 3
+ONE = np.ones(1, np.int64)
 #: Bits of the filter that keeps texts in no pair from being sent anywhere: a fixed size.
 FILTER_BITS = 26
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
@@ -183,7 +200,7 @@ def region_links(rows: dict[str, np.ndarray]) -> list[tuple[int, np.ndarray, np.
         label = np.where(left, deeper + len(label) * depth, label)
         left = left & (count > REGION)
     for step in range(1, REGION):
-        i = np.flatnonzero((label[step:] == label[:-step]) | ((region[step:] == region[:-step]) & (step <= 2)))
+        i = np.flatnonzero(((label[step:] == label[:-step]) & ~left[step:]) | ((region[step:] == region[:-step]) & (step <= 2)))
         if len(i):
             add(1, i, i + step)
     return found
@@ -257,21 +274,116 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(pairs.join(heads, "b", "left").select("a", "b", first), "candidate-pairs"), dense
 
 
-def across_components(dense: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs a < b of one dense region in different components that sizes and sketches let through.
+def _rooted(rows: DataFrame, labels: DataFrame, doc: str = "doc", root: str = "root") -> DataFrame:
+    """The rows with the component of one of their documents."""
+    own = labels.select(F.col("node").alias("stagewise_node"), F.col("root").alias(root))
+    return rows.join(own, F.col(doc) == F.col("stagewise_node"), "left").drop("stagewise_node").withColumn(root, F.coalesce(root, doc))
 
-    One side are the members outside the region's largest component, the other all.
+
+def hub_members(regions: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: the members b of all regions (tree, near, doc) that hold more than one component, by the regions'
+    largest component a; and a, doc: the hubs of each a.
+
+    Hubs are the members of a that stand in the most and largest regions, which are those most like the others.
     """
-    own = labels.select(F.col("node").alias("doc"), "root")
-    rows = stored(dense.join(own, "doc", "left").withColumn("root", F.coalesce("root", "doc")), "dense-regions")
+    rows = _rooted(regions.select("tree", "near", "doc"), labels)
     counts = rows.groupBy("tree", "near", "root").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("tree", "near").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    few = rows.join(largest.select("tree", "near", F.col("most.root").alias("main")), ["tree", "near"]).where("root <> main")
-    few = few.select("tree", "near", *[F.col(c).alias(f"{c}_") for c in ("doc", "size", "sketch_a", "sketch_b", "root")])
-    apart = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_a_"))) + F.bit_count(F.col("sketch_b").bitwiseXOR(F.col("sketch_b_")))
-    fit = (100 * F.least("size", "size_") >= 80 * F.greatest("size", "size_")) & (apart <= SKETCH_BITS)
-    alike = (rows.tree == few.tree) & (rows.near == few.near) & (F.col("root") != F.col("root_")) & fit
-    return rows.join(few, alike).select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct()
+    mixed = counts.groupBy("tree", "near").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    rows = stored(rows.join(mixed.select("tree", "near", "size", F.col("most.root").alias("a")), ["tree", "near"]), "mixed-regions")
+    standing = rows.where("root = a").groupBy("a", "doc").agg(F.sum("size").alias("weight"))
+    # the HUBS heaviest as one aggregate, so that a component of any size is summed map-side
+    best = [F.max(F.struct("weight", "doc")).alias("h0")]
+    hubs, left = None, standing
+    for _ in range(HUBS):
+        top = left.groupBy("a").agg(*best).select("a", F.col("h0.doc").alias("doc"))
+        hubs = top if hubs is None else hubs.unionAll(top)
+        left = left.join(top, ["a", "doc"], "left_anti")
+    hubs = stored(hubs, "hubs")
+    members = stored(rows.select("a", F.col("doc").alias("b")).distinct().join(hubs.select("a", F.col("doc").alias("b")), ["a", "b"], "left_anti"), "hub-pairs")
+    discard(rows)
+    return members, hubs
+
+
+MET = "main long, doc long, hub long, n long, common long, entries array<long>, asked array<long>"
+
+
+def middle(hubs: list[np.ndarray]) -> np.ndarray:
+    """The shingles of most sets; of the first set where there are fewer than three."""
+    if len(hubs) < 3:
+        return hubs[0]
+    values, n = np.unique(np.concatenate(hubs), return_counts=True)
+    return values[2 * n > len(hubs)]
+
+
+def index_entries(s: np.ndarray, hubs: list[np.ndarray], mid: np.ndarray, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """The first hub that a set is linked with (-1: none), what it shares with the middle, and its entries there.
+
+    ``entries`` are those by which it is found: even ones outside the middle, odd ones
+    missing, 1 for misses too few to have any. ``asked`` are those by which it looks for others.
+    """
+    rest, missing = np.setdiff1d(s, mid, assume_unique=True), np.setdiff1d(mid, s, assume_unique=True)
+    common = len(s) - len(rest)
+    shared = [len(s) - len(np.setdiff1d(s, h, assume_unique=True)) for h in hubs]
+    link = next((k for k, h in enumerate(hubs) if 100 * shared[k] >= percent * (len(s) + len(h) - shared[k])), -1)
+    need = max(1, -(-percent * len(s) // 100) - common)
+    rest = (rest[: max(0, len(rest) - need + 1)] & ~np.uint64(1)).view(np.int64)
+    missing = (missing | np.uint64(1)).view(np.int64)
+    # in units of 1 / (100 + percent)
+    bound = min(percent * (len(h) - len(s)) + (100 + percent) * len(np.setdiff1d(mid, h, assume_unique=True)) for h in hubs)
+    few = -(-bound // (100 + percent)) if bound > 0 else 0
+    entries = [rest, missing[:few], ONE if len(missing) < few else ONE[:0]]
+    close = (100 + percent) * common >= percent * (len(s) + len(mid))
+    asked = [rest, missing if 100 * common >= percent * len(s) else missing[:0], ONE if close else ONE[:0]]
+    return link, common, np.concatenate(entries), np.concatenate(asked) if link < 0 else ONE[:0]
+
+
+def against_hubs(docs: DataFrame, members: DataFrame, hubs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every member against its hubs: ``index_entries`` of each of its texts."""
+    rows = _met(docs, members, hubs)
+    schema = pa.schema([(n, pa.int64()) for n in ("main", "doc", "hub", "n", "common")] + [(n, pa.list_(pa.int64())) for n in ("entries", "asked")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
+        for found in _stars(batches, words):
+            out = []
+            for main, doc, s, heads in found:
+                if here is not heads:
+                    # the same order in every task; a hub of several texts counts by one of them
+                    here, ranked = heads, sorted({h: t for h, t in sorted(heads, key=lambda x: (len(x[1]), x[1].tobytes()))}.items(), key=lambda x: x[0])
+                    ids, sets = [h for h, _ in ranked], [t for _, t in ranked]
+                    mid = middle(sets)
+                link, common, entries, asked = index_entries(s, sets, mid, percent)
+                out.append((main, doc, ids[link] if link >= 0 else None, len(s), common, entries, asked))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, MET)
+
+
+def open_pairs(met: DataFrame, labels: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Candidates a < b of different components that meet in an index, and (tree, near, doc) of its long lists.
+
+    One of a pair is linked with no hub. With ``last`` long lists are paired too.
+    """
+    rows = _rooted(_rooted(met, labels), labels, "main", "top").withColumn("open", F.col("hub").isNull() & (F.col("root") != F.col("top")))
+    some = rows.where("open").select("main").distinct()
+    rows = stored(rows.join(some, "main", "left_semi"), "index-members")
+    own = ["main", "doc", "root", "n", "common"]
+    ask = rows.where("open").select(*own, F.explode("asked").alias("entry"))
+    give = rows.select(*own, F.explode("entries").alias("entry"))
+    lists = give.groupBy("main", "entry").agg(F.count("*").alias("given"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    asking = ask.groupBy("main", "entry").agg(F.count("*").alias("asked"), F.min("root").alias("lo_"), F.max("root").alias("hi_"))
+    mixed = F.least("lo", "lo_") < F.greatest("hi", "hi_")
+    lists = stored(lists.join(asking, ["main", "entry"]).where(mixed).select("main", "entry", (F.col("given") * F.col("asked") > LISTED).alias("long")), "index-lists")
+    short = lists if last else lists.where("not long")
+    x = ask.join(short.select("main", "entry"), ["main", "entry"])
+    y = give.select("main", "entry", *[F.col(c).alias(f"{c}_") for c in ("doc", "root", "n", "common")])
+    shared = F.least("common", "common_") + F.when(F.col("entry") % 2 == 0, F.least(F.col("n") - F.col("common"), F.col("n_") - F.col("common_"))).otherwise(0)
+    enough = (F.col("root") != F.col("root_")) & ((100 + percent) * shared >= percent * (F.col("n") + F.col("n_")))
+    pairs = x.join(y, ["main", "entry"]).where(enough).select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct()
+    many = lists.where("long").select("main", "entry")
+    regions = ask.select("main", "entry", "doc").unionAll(give.select("main", "entry", "doc")).join(many, ["main", "entry"]).select(F.col("main").alias("tree"), F.col("entry").alias("near"), "doc").distinct()
+    return stored(pairs, "open-pairs"), stored(regions, "long-lists")
 
 
 def _wanted(pairs: DataFrame) -> np.ndarray:
@@ -299,41 +411,53 @@ def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return named.withColumn("bit", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))).mapInArrow(run, "doc long, text string")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity.
+def _met(docs: DataFrame, pairs: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """a, doc, part, side, text: each b sent to the tasks of its a, with the heads (a, doc) of that (side 0): a itself, if not given.
 
-    Each document is sent to the tasks of its pairs' smaller members; a member with many
-    pairs is copied to one task per STAR of them.
+    An a with many pairs has a task, and a copy of its heads, per STAR of them.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
     members = pairs.join(counts, "a").select(F.col("b").alias("doc"), "a", part, F.lit(1).alias("side"))
-    heads = counts.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    own = counts.withColumn("doc", F.col("a")) if heads is None else counts.join(heads, "a")
+    own = own.select("doc", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    named = pairs.select("a", "b") if heads is None else pairs.select("a", "b").unionAll(heads.select(F.col("doc").alias("a"), F.col("doc").alias("b")))
     # always a merge join: what is moved follows the input alike at every size
-    rows = members.unionAll(heads).hint("merge").join(_texts_of(docs, pairs), "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    return members.unionAll(own).hint("merge").join(_texts_of(docs, named), "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, heads_ = None, []
-        for batch in batches:
-            data, offsets = utf8(column(batch, "text"))
-            a, b, part_, side = (column(batch, c).to_pylist() for c in ("a", "doc", "part", "side"))
+
+def _stars(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, int, np.ndarray, list[tuple[int, np.ndarray]]]]]:
+    """(a, b, set of b, heads and their sets) of the rows of ``_met``, in lists of bounded text."""
+    here, heads = None, []
+    for batch in batches:
+        data, offsets = utf8(column(batch, "text"))
+        a, b, part, side = (column(batch, c).to_pylist() for c in ("a", "doc", "part", "side"))
+        for i, j in steps(offsets):
             out = []
-            for i, j in steps(offsets):
-                for k, s in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), i):
-                    if here != (a[k], part_[k]):
-                        here, heads_ = (a[k], part_[k]), []
-                    if side[k] == 0:
-                        heads_.append(s)
-                        continue
-                    for h in heads_:
-                        common = len(s) + len(h) - len(np.union1d(s, h))
-                        if common and 100 * common >= percent * (len(s) + len(h) - common):
-                            out.append((a[k], b[k]))
-                            break
+            for k, s in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), i):
+                if here != (a[k], part[k]):
+                    here, heads = (a[k], part[k]), []
+                if side[k] == 0:
+                    heads.append((b[k], s))
+                else:
+                    out.append((a[k], b[k], s, heads))
+            yield out
+
+
+def similar(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
+
+    def alike(s: np.ndarray, h: np.ndarray) -> bool:
+        common = len(s) + len(h) - len(np.union1d(s, h))
+        return common > 0 and 100 * common >= percent * (len(s) + len(h) - common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _stars(batches, words):
+            out = [(a, b) for a, b, s, heads in found if any(alike(s, h) for _, h in heads)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return _met(docs, pairs).mapInArrow(run, "a long, b long")
 
 
 def _roots(parent: DataFrame) -> DataFrame:
@@ -374,6 +498,11 @@ def _relabelled(edges: DataFrame, labels: DataFrame, lo: str, hi: str) -> DataFr
     return stored(edges, "edges")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with more links."""
+    return labels if links.isEmpty() else components(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(links.select("a", "b")))
+
+
 def near_duplicates(df: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) and kept of every row."""
     docs = documents_of(df)
@@ -386,16 +515,20 @@ def near_duplicates(df: DataFrame, words: int = 4, percent: int = 80) -> DataFra
     # rows of one doc_id with different sets are one node already: their classes are linked
     shared = named.join(heads, ["set_a", "set_b"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     labels = components(first.unionAll(shared))
-    rest = pairs.where("not first").select("a", "b")
-    for c in ("a", "b"):
-        own = labels.select(F.col("node").alias(f"via_{c}"), F.col("root").alias(f"root_{c}"))
-        rest = rest.join(own, F.col(c) == F.col(f"via_{c}"), "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = stored(rest.unionAll(across_components(dense, labels)).distinct(), "open-pairs")
-    if not rest.isEmpty():
-        second = stored(similar(docs, rest, words, percent), "links")
-        if not second.isEmpty():
-            labels = components(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second))
+    rest, regions = pairs.where("not first").select("a", "b"), dense
+    for round_ in range(HUB_ROUNDS):
+        members, hubs = hub_members(regions, labels)
+        met = stored(against_hubs(docs, members, hubs, words, percent), "hub-members")
+        labels = _merged(labels, met.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+        found, regions = open_pairs(met, labels, percent, round_ == HUB_ROUNDS - 1)
+        if round_ == 0:
+            apart = _rooted(_rooted(rest, labels, "a", "root_a"), labels, "b", "root_b").where("root_a <> root_b")
+            found = stored(found.unionAll(apart.select("a", "b")).distinct(), "open-pairs")
+        if not found.isEmpty():
+            labels = _merged(labels, stored(similar(docs, found, words, percent), "links"))
+        if regions.isEmpty():
+            break
+    discard(pairs, dense, heads)
     own = labels.select(F.col("node").alias("doc_id"), F.col("root"))
     out = rows.select("doc_id", "n_shingles").join(own, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
