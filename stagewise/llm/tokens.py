@@ -4,7 +4,10 @@ The vocabulary's pre-tokeniser never joins a space with what stands before it un
 both of the space's neighbours are white space (or the text ends there). So a text can
 be cut before every other space, each piece encoded by the ``tokenizers`` library on its
 own, and the ids joined: equal to encoding the whole text, with common pieces encoded
-once per Python worker.
+once per Python worker. A text that holds one of the vocabulary's added tokens, which the
+library finds before all else, is encoded whole.
+
+Defined results: an empty text has no ids; lone surrogates don't occur in Spark's strings.
 """
 
 from __future__ import annotations
@@ -77,7 +80,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # the library's own cache only costs time here: every piece comes to it once
         tokenizer.model._resize_cache(1)
         self.plain = _Pieces(tokenizer, "")
@@ -86,6 +90,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         parts = text.split(" ")
         if not _HARD.search(text):
             first = self.plain[parts[0]] if parts[0] else b""
