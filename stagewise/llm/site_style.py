@@ -1,25 +1,29 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of all pages of a host are merged: a style node is the path of tags and classes
-down to an element. Over the host's pages two importances are computed for each node,
-both between 0 and 1. Presentation: the entropy of the shapes (sequences of child
-styles) with which pages render it, to the base of the pages that have it. Content: one
-less the mean entropy of its text features, where a feature that stands on m of n pages
-has entropy log m / log n. A branch whose best importance, its children's included, is
-low over enough pages is template and is removed from each page, whatever its markup.
-
-Bare elements (without a class) inside an article or main element are kept at any
-importance, so that copies of one article aren't taken for template.
-
-Nodes that the page itself marks as something other than the article (navigation,
-headers, footers, asides, forms, scripts, styles; classes and ids naming menus, adverts,
-notices, comments and the like) are removed at any importance; so what little-visited
-hosts can't show by entropy is still told by markup. If a page has an article or main
-element, its text is what is left inside.
-
-Statistics are sums per (host, node, feature) with map-side partial sums, so a host of
-any size is no group in one task; only nodes and their verdicts (bounded by the host's
-templates) are joined back to pages.
+A page is read as lines: the text of each block element. The DOMs of all pages of a host
+are merged: a style node is the path of tags and classes down to a block element. Over
+the host's pages two importances are computed for each node, both between 0 and 1.
+Presentation: the entropy of the shapes (sequences of child styles) with which pages
+render it, to the base of the pages that have it. Content: one less the mean entropy of
+its lines, where a line that stands on m of n pages has entropy log m / log n. A node's
+importance is the larger of the two; with few pages it is drawn towards that of the same
+path over all hosts, by the weight of ``PRIOR`` pages.
+
+Markup is a feature of a node: navigation, headers, footers, asides, forms and elements
+whose class, id or role names a menu, an advert, a notice, comments and the like have
+``ROLE`` taken off their importance, and so has what stands beside the article or main
+element of a page with one. That is more than any entropy makes up for, so such lines
+aren't counted at all. Of the others
+
+* all lines of a node are removed whose importance is ``LOW`` or less, and
+* a line of any node is removed if its own importance, 1 - log m / log(n + PRIOR), is.
+
+A page that would lose more than half of its text so is a copy of what its host repeats
+(an article under several addresses), no page around a template: it loses nothing.
+
+Pages are parsed once. Statistics are sums per (host, node, feature) with map-side
+partial sums, so a host of any size is no group in one task; only nodes and lines that
+are removed come back to pages. Paths are running hashes, so deep pages cost their size.
 
 Defined results: null or empty html gives "" and 0; malformed html is read to its end;
 a null url is one host of its own; repeated rows are each counted and answered; an empty
@@ -29,7 +33,9 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -39,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import column, ship, stored
+from stagewise.llm.common import column, discard, ship, stored
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,10 +57,10 @@ CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt"
 #: Words in class, id or role that say what an element is.
 MARKS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar widget aside cookie cookies consent notice alert popup modal newsletter subscribe signup login share sharing social comment comments disqus reply replies related recommended pagination pager search complementary contentinfo".split())
 
-#: A node is template if its importance is at most LOW on at least PAGES pages.
-LOW, PAGES = 0.15, 8
-#: Bytes of template paths up to which they are sent to every executor.
-SENT_BYTES = 8 << 20
+#: Importance up to which a node or line is template, pages that the prior weighs, and what markup takes off.
+LOW, PRIOR, ROLE = 0.07, 8, 0.95
+#: Bytes of template hashes up to which they are sent to every executor, and parts of a host beyond.
+SENT_BYTES, DEALT = 8 << 20, 64
 _SPACE = re.compile(r"[\s\xa0]+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -74,14 +80,20 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#", "#")
         self.open = [self.root]
+        self.tags: Counter[str] = Counter()
+
+    def _close(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.tags[node.tag] -= 1
+        del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self.open[-1].tag in CLOSED_BY and tag in CLOSED_BY[self.open[-1].tag]:
-            self.open.pop()
-        if tag in BLOCKS and tag != "br" and any(n.tag == "p" for n in self.open):
+            self._close(-1)
+        if tag in BLOCKS and tag != "br" and self.tags["p"]:
             scope = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in ("p", "td", "th", "button", "article", "section", "div", "body")), 0)
             if self.open[scope].tag == "p":
-                del self.open[scope:]
+                self._close(scope)
         own = dict(attrs)
         names = [w for a in ("class", "id", "role") for w in _NAME.findall((own.get(a) or "").lower())]
         classes = ".".join(sorted((own.get("class") or "").lower().split()))
@@ -89,16 +101,17 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._close(-1)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.tags[tag] else ():
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._close(i)
                 return
             if self.open[i].tag in ("article", "main", "body", "table") and tag in CLOSED_BY:
                 return
@@ -118,29 +131,6 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def _is_text(node: Node) -> bool:
-    return node.tag not in RAW
-
-
-def walk(root: Node) -> Iterator[tuple[str, Node]]:
-    """(style path, element), parents first; raw elements are left out."""
-    stack = [("", root)]
-    while stack:
-        path, node = stack.pop()
-        for child in reversed(node.children):
-            if isinstance(child, Node) and _is_text(child):
-                stack.append((f"{path}/{child.style}", child))
-        if path:
-            yield path, node
-
-
-def _features(node: Node) -> Iterator[str]:
-    """Text features of an element's own children."""
-    own = _SPACE.sub(" ", "".join(c if isinstance(c, str) else " " for c in node.children)).strip()
-    if own:
-        yield own
-
-
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -149,122 +139,143 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").lower()).split("/")[0].split("?")[0].split("#")[0].rpartition("@")[2]
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages and importance of every style node: the merged trees' statistics."""
-    ship(pages.sparkSession)
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for url, html in zip(column(batch, "url").to_pylist(), column(batch, "html"), strict=True):
-                host, rows = host_of(url), set()
-                for path, node in walk(parse(html.as_py())):
-                    shape = "|".join(dict.fromkeys(c.style for c in node.children if isinstance(c, Node)))
-                    rows.add((path, 0, 0))
-                    rows.add((path, 1, _digest(shape)))
-                    rows.update((path, 2, _digest(f)) for f in _features(node))
-                if rows:
-                    paths, kinds, features = zip(*sorted(rows), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(paths)), pa.array(paths), pa.array(kinds, pa.int32()), pa.array(features, pa.int64())], schema=schema)
-
-    rows = pages.select("url", "html").mapInArrow(run, "host string, path string, kind int, feature long")
-    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("m"))
-    m = F.col("m")
-    log = F.ln(m)
-    nodes = counts.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 0, m)).alias("pages"),
-        F.sum(F.when(F.col("kind") == 1, m * log)).alias("shape_mlogm"),
-        F.sum(F.when(F.col("kind") == 1, m)).alias("shapes"),
-        F.sum(F.when(F.col("kind") == 2, log)).alias("feature_log"),
-        F.sum(F.when(F.col("kind") == 2, F.lit(1))).alias("features"),
-        F.sum(F.when(F.col("kind") == 2, m * log)).alias("feature_mlogm"),
-        F.sum(F.when(F.col("kind") == 2, m)).alias("feature_uses"),
-    )
-    base = F.ln(F.greatest(F.col("pages"), F.lit(2)))
-    # -sum p log p with p = m / shapes
-    presentation = (F.ln("shapes") - F.col("shape_mlogm") / F.col("shapes")) / base
-    # the mean over uses of log m / log n: a line on every page counts as often as it stands
-    content = 1 - F.col("feature_mlogm") / F.col("feature_uses") / base
-    importance = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(F.greatest(presentation, F.coalesce(content, F.lit(0.0))))
-    return nodes.select("host", "path", "pages", importance.alias("importance"))
-
-
-def template_paths(tree: DataFrame, low: float = LOW, pages: int = PAGES) -> DataFrame:
-    """host and the topmost paths of template branches: nodes of which no node below is important."""
-    up = tree.select("host", "path", "pages", "importance", F.explode(F.expr("transform(sequence(1, size(split(path, '/')) - 1), k -> array_join(slice(split(path, '/'), 1, k + 1), '/'))")).alias("above"))
-    best = up.groupBy("host", F.col("above").alias("path")).agg(F.max("importance").alias("best"), F.max(F.when(F.col("above") == F.col("path"), F.col("pages"))).alias("n"))
-    return best.where((F.col("best") <= low) & (F.col("n") >= pages)).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("template"))
+def _mains(root: Node) -> set[int]:
+    """The topmost article and main elements."""
+    found, stack = set(), [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in MAIN:
+            found.add(id(node))
+        else:
+            stack.extend(c for c in node.children if isinstance(c, Node) and c.tag not in RAW)
+    return found
 
 
-def main_text(html: str | None, template: frozenset[str] = frozenset()) -> str:
-    """Text of the page's article without template branches and without what its markup sets apart."""
+def lines_of(html: str | None) -> tuple[list[tuple[int, str]], set[tuple[int, int]]]:
+    """(style path, text) of the lines in page order that no markup sets apart, and the (style path, shape) of their elements."""
     root = parse(html)
-    mains = [n for _, n in walk(root) if n.tag in MAIN]
-    whole = {id(n) for n in mains}
-    blocks: list[str] = []
+    mains = _mains(root)
+    lines: list[tuple[int, str]] = []
+    shapes = {(0, 0)}
     line: list[str] = []
 
-    def close() -> None:
+    def close(path: int) -> None:
         text = _SPACE.sub(" ", "".join(line)).strip()
         line.clear()
         if text:
-            blocks.append(text)
+            lines.append((path, text))
 
-    # (node, path, inside an article) in page order; None ends a block
-    stack: list[tuple[Node | str | None, str, bool]] = [(root, "", not whole)]
+    # (node, path of its block, inside an article), or (None, the path whose block ends, ...), in page order
+    stack: list[tuple[Node | str | None, int, bool]] = [(root, 0, not mains)]
     while stack:
         node, path, inside = stack.pop()
         if node is None:
-            close()
+            close(path)
             continue
         if isinstance(node, str):
             if inside:
                 line.append(node)
             continue
-        if node.tag in RAW or node.marked or node.tag in OUTSIDE and not (inside and whole and node.tag == "header"):
-            continue
-        if path in template and not (whole and (inside and node.style == node.tag or _holds(node, whole))):
+        if node.tag in RAW or node.marked or node.tag in OUTSIDE and not (inside and mains and node.tag == "header"):
             continue
+        inside = inside or id(node) in mains
         if node.tag in BLOCKS:
-            close()
-            stack.append((None, "", False))
+            close(path)
+            path = _digest(f"{path} {node.style}")
+            stack.append((None, path, inside))
+            if inside:
+                shapes.add((path, _digest("|".join(dict.fromkeys(c.style for c in node.children if isinstance(c, Node) and c.tag in BLOCKS)))))
         for child in reversed(node.children):
-            within = inside or (isinstance(child, Node) and id(child) in whole)
-            stack.append((child, f"{path}/{child.style}" if isinstance(child, Node) else path, within))
-    close()
-    return "\n".join(blocks)
+            stack.append((child, path, inside))
+    close(0)
+    return lines, shapes
 
 
-def _holds(node: Node, mains: set[int]) -> bool:
-    """Whether an article stands at or below the element."""
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if id(n) in mains:
-            return True
-        stack.extend(c for c in n.children if isinstance(c, Node))
-    return False
-
-
-def extract_main_text(df: DataFrame, low: float = LOW, pages: int = PAGES) -> DataFrame:
-    """page_id, url, text and n_chars of every row."""
-    ship(df.sparkSession)
-    own = df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    tree = stored(style_tree(own), "style-tree")
-    template = stored(template_paths(tree, low, pages), "templates")
-    # one row per host with template branches: sent whole while small, else joined
-    size = template.agg(F.sum(F.length(F.concat_ws("", "template")) + 64)).first()[0] or 0
-    keyed = own.withColumn("host", _host_column("url")).join(F.broadcast(template) if size <= SENT_BYTES else template, "host", "left")
+_LINES = "page_id long, url string, host string, lines array<struct<path:long,feature:long,text:string>>, shapes array<struct<path:long,shape:long>>"
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """Every row with its host and ``lines_of`` its html."""
+    ship(pages.sparkSession)
+    text = pa.struct([("path", pa.int64()), ("feature", pa.int64()), ("text", pa.string())])
+    shape = pa.struct([("path", pa.int64()), ("shape", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), frozenset(t or ())) for h, t in zip(column(batch, "html"), column(batch, "template").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            urls = column(batch, "url").to_pylist()
+            read = [lines_of(h.as_py()) for h in column(batch, "html")]
+            lines = [[{"path": p, "feature": _digest(t), "text": t} for p, t in x] for x, _ in read]
+            shapes = [[{"path": p, "shape": k} for p, k in sorted(x)] for _, x in read]
+            yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(map(host_of, urls), pa.string()), pa.array(lines, pa.list_(text)), pa.array(shapes, pa.list_(shape))], ["page_id", "url", "host", "lines", "shapes"])
 
-    return keyed.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return own.mapInArrow(run, _LINES)
 
 
-def _host_column(url: str):
-    """``host_of`` as a column."""
-    rest = F.regexp_replace(F.lower(F.coalesce(F.col(url), F.lit(""))), r"^[a-z][a-z0-9+.\-]*://", "")
-    return F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", "")
+def _importance(counts: DataFrame, *keys: str) -> DataFrame:
+    """pages and importance per style node from the pages m with each of its features (kind 0: the node, 1: shapes, 2: lines)."""
+    m = F.col("m")
+    weighed = m * F.ln(m)
+    nodes = counts.groupBy(*keys).agg(
+        F.max(F.when(F.col("kind") == 0, m)).alias("pages"),
+        F.sum(F.when(F.col("kind") == 1, weighed)).alias("shape_mlogm"),
+        F.sum(F.when(F.col("kind") == 1, m)).alias("shapes"),
+        F.sum(F.when(F.col("kind") == 2, weighed)).alias("line_mlogm"),
+        F.sum(F.when(F.col("kind") == 2, m)).alias("lines"),
+    )
+    base = F.ln(F.greatest(F.col("pages"), F.lit(2)))
+    # -sum p log p with p = m / shapes
+    presentation = (F.ln("shapes") - F.col("shape_mlogm") / F.col("shapes")) / base
+    # the mean over uses of log m / log n: a line on every page counts as often as it stands
+    content = 1 - F.col("line_mlogm") / F.col("lines") / base
+    importance = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(F.greatest(F.coalesce(presentation, F.lit(0.0)), F.coalesce(content, F.lit(0.0))))
+    return nodes.select(*keys, "pages", importance.alias("importance"))
+
+
+def feature_counts(pages: DataFrame) -> DataFrame:
+    """host, path, kind, feature and m, the pages that have it, of ``page_lines``."""
+    here = F.array_distinct(F.transform("shapes", lambda s: F.struct(s["path"].alias("path"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("feature"))))
+    shapes = F.transform("shapes", lambda s: F.struct(s["path"].alias("path"), F.lit(1).alias("kind"), s["shape"].alias("feature")))
+    lines = F.array_distinct(F.transform("lines", lambda x: F.struct(x["path"].alias("path"), F.lit(2).alias("kind"), x["feature"].alias("feature"))))
+    rows = pages.select("host", F.explode(F.concat(here, shapes, lines)).alias("x")).select("host", "x.*")
+    return rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("m"))
+
+
+def style_tree(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """host, path, pages and importance of every style node, drawn towards the path's importance over all hosts."""
+    own = _importance(counts, "host", "path")
+    every = _importance(counts.groupBy("path", "kind", "feature").agg(F.sum("m").alias("m")), "path").select("path", F.col("importance").alias("usual"))
+    seen = F.col("pages") - 1
+    return own.join(every, "path").select("host", "path", "pages", ((seen * F.col("importance") + prior * F.col("usual")) / (seen + prior)).alias("importance"))
+
+
+def templates(counts: DataFrame, low: float = LOW, prior: float = PRIOR) -> DataFrame:
+    """host, paths and features: the style nodes and the lines of low importance."""
+    nodes = style_tree(counts, prior).where(F.col("importance") <= low).select("host", F.col("path").alias("node"), F.lit(None).cast("long").alias("line"))
+    lines = counts.where("kind = 2").select("host", "path", "feature", "m")
+    size = counts.where("kind = 0").groupBy("host").agg(F.max("m").alias("n"))
+    often = lines.where(F.ln("m") >= F.lit((1 - low) * math.log(prior + 1))).join(size, "host")
+    often = often.where(1 - F.ln("m") / F.ln(F.col("n") + prior) <= low).select("host", F.lit(None).cast("long").alias("node"), F.col("feature").alias("line"))
+    return nodes.unionAll(often).groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("paths"), F.array_sort(F.collect_set("line")).alias("features"))
+
+
+def extract_main_text(df: DataFrame, low: float = LOW, prior: float = PRIOR) -> DataFrame:
+    """page_id, url, text, n_chars of every row, and n_removed: the lines that the tree took out."""
+    pages = stored(page_lines(df), "page-lines")
+    counts = stored(feature_counts(pages), "style-features")
+    removed = stored(templates(counts, low, prior), "templates")
+    discard(counts)
+    # sent whole while small, else a host's rows are dealt to DEALT joins
+    size = removed.agg(F.sum(8 * (F.size("paths") + F.size("features")) + F.length("host") + 64)).first()[0] or 0
+    if size <= SENT_BYTES:
+        joined = pages.join(F.broadcast(removed), "host", "left")
+    else:
+        deal = F.pmod(F.xxhash64("page_id", "url"), F.lit(DEALT)).cast("int")
+        joined = pages.withColumn("deal", deal).join(removed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))), ["host", "deal"], "left")
+    low_ = lambda x: F.coalesce(F.array_contains("paths", x["path"]), F.lit(False)) | F.coalesce(F.array_contains("features", x["feature"]), F.lit(False))
+    kept = F.when(F.col("paths").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~low_(x)))
+    whole, part = (F.concat_ws("\n", F.transform(c, lambda x: x["text"])) for c in ("lines", "kept"))
+    out = joined.withColumn("kept", kept).select("page_id", "url", "lines", "kept", whole.alias("whole"), part.alias("part"))
+    copy = 2 * F.length("part") < F.length("whole")
+    out = out.select("page_id", "url", F.when(copy, F.col("whole")).otherwise(F.col("part")).alias("text"), F.when(copy, F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
