@@ -1,14 +1,23 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are the values that the base patterns find (e-mail, ip, card, phone).
-Over the whole corpus it is counted how often each term stands within a few words of
-each entity and how often it stands anywhere. A term t discloses an entity e by
-PMI(t; e) = log2(p(e|t) / p(e)); set against the entity's own information
-IC(e) = -log2 p(e) this is 1 for a term that stands by e and nowhere else and 0 for one
-independent of it. Terms at or above ``threshold`` for any entity, seen with it in
-``support`` different contexts, are spans of kind "term" wherever they stand, near an
-entity or not, and are generalised or removed: a second pass over whole texts finds them
-by a filter of fixed size and then an exact join. Words within base spans are not terms.
+Over the whole corpus it is counted in how many documents each term stands within a few
+words of each entity, D(t, e), how many different texts these have, s(t, e), and in how
+many documents it stands anywhere, D(t). A reader who meets t knows e with the probability
+p(e|t) = D(t, e) / D(t) * s / (s + 1), where the last factor trusts no single text; so
+-log2 p(e|t) bits stay hidden of the entity's own information IC(e) = -log2 p(e), where
+p(e) is the number of documents with e set against all words of the corpus, and the term
+discloses the share 1 + log2 p(e|t) / IC(e) of it, which is PMI(t; e) / IC(e).
+
+A term reveals an entity if it is seen with it in ``support`` texts, leaves ``MOST_HIDDEN``
+bits or fewer hidden and discloses ``threshold`` or more. Two kinds do: terms that stand
+nowhere but by the entity, like the name of its owner, and terms that stand by it in most
+of several texts. A word that is spread over the corpus, or stands once by the entity and
+once elsewhere, does not. Revealing terms are spans of kind "term" wherever they stand,
+near an entity or not, and are generalised or removed. The second pass finds them in
+whole texts: in a document with entities among the words around these, which are all
+places of the first kind, and elsewhere by a filter of fixed size for the second kind;
+then by an exact join. Words within base spans are not terms.
 
 Base patterns match leftmost and without overlap per kind; a match that fails its check
 (ip parts, Luhn, digit counts) is dropped and not retried. Positions count code points.
@@ -36,7 +45,7 @@ from stagewise.llm.common import column, documents_of, ship, steps, stored, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
-THRESHOLD, SUPPORT, CONTEXT_WORDS, CONTEXT_CHARS = 0.95, 3, 8, 160
+THRESHOLD, SUPPORT, MOST_HIDDEN, CONTEXT_WORDS, CONTEXT_CHARS = 0.75, 1, 1.0, 8, 160
 #: Bits of the filter that lets the counting pass skip terms near no entity: a fixed size.
 FILTER_BITS = 20
 #: Bits of the filter of revealing terms, and rows of each in their join: frequent terms are dealt to as many tasks.
@@ -106,9 +115,9 @@ def _entity(kind: str, value: str) -> int:
     return _hash64(f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(_DIGIT.findall(value))}")
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term hash, start, end, context hash) of the words around each base span on its line."""
-    found = []
+def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
+    """(entity, term hash, text hash) of the words around each base span on its line, each entity and term once."""
+    found: set[tuple[int, int]] = set()
     for kind, begin, end in spans:
         left = max(text.rfind("\n", 0, begin) + 1, begin - CONTEXT_CHARS)
         stop = text.find("\n", end)
@@ -122,9 +131,10 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int
         terms = [text[a:b] for a, b in words]
         raw = " ".join(terms).encode("utf-8", "surrogatepass")
         hashes = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), "alnum")[0].view(np.int64).tolist()
-        seen, entity = _hash64(" ".join(terms).lower()), _entity(kind, text[begin:end])
-        found += [(entity, h, a, b, seen) for h, (a, b) in zip(hashes, words, strict=True)]
-    return found
+        entity = _entity(kind, text[begin:end])
+        found.update((entity, h) for h in hashes)
+    whole = _hash64(text) if found else 0
+    return [(*k, whole) for k in sorted(found)]
 
 
 def _key() -> list[Column]:
@@ -132,9 +142,9 @@ def _key() -> list[Column]:
 
 
 _SCAN = pa.schema(
-    [("key_a", pa.int64()), ("key_b", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("base", pa.string()), ("near", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("context", pa.int64())])))]
+    [("key_a", pa.int64()), ("key_b", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("base", pa.string()), ("near", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])))]
 )
-_SCAN_DDL = "key_a long, key_b long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:long,term:long,a:int,b:int,context:long>>"
+_SCAN_DDL = "key_a long, key_b long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:long,term:long,context:long>>"
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def scan(df: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 base = span_text(spans)
-                near = [dict(zip(("entity", "term", "a", "b", "context"), x, strict=True)) for x in contexts(text, spans)] if spans else []
+                near = [dict(zip(("entity", "term", "context"), x, strict=True)) for x in contexts(text, spans)] if spans else []
                 rows.append((*[sum(k == s[0] for s in spans) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), base, near))
             if rows:
                 yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("key_a", "key_b", "doc_id")] + [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SCAN)[3:], strict=True)], schema=_SCAN)
@@ -164,7 +174,7 @@ def _filter(terms: DataFrame, width: int) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """How often each term that the filter lets through stands anywhere, and (term null) all words."""
+    """In how many documents each term that the filter lets through stands, and (term null) all words."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +183,14 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             for i, j in steps(offsets):
-                own = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "alnum")[0]
+                own, at = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "alnum")
                 words += len(own)
-                found, n = np.unique(own[shared.value[own & np.uint64((1 << FILTER_BITS) - 1)]], return_counts=True)
+                hits = np.flatnonzero(shared.value[own & np.uint64((1 << FILTER_BITS) - 1)])
+                doc, term = np.searchsorted(at, hits, "right"), own[hits]
+                order = np.lexsort((doc, term))
+                doc, term = doc[order], term[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))[: len(doc)]
+                found, n = np.unique(term[new], return_counts=True)
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([words], pa.int64())], schema=schema)
@@ -184,23 +199,23 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def disclosures(df: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity beyond the threshold."""
+    """(entity, term, hidden, disclosure, only) of the terms that reveal an entity; ``only``: they stand nowhere else."""
     near = scanned.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
-    by_context = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= support)
+    by_text = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= support)
     pairs = stored(pairs, "term-entity")
     counts = stored(_occurrences(documents_of(df), _filter(pairs, FILTER_BITS)), "term-counts")
     total = counts.where("term is null").agg(F.sum("n_term")).first()[0] or 1
-    windows = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    p_entity = F.col("n_entity") / F.lit(float(total))
-    p_given = F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term"))
-    scored = pairs.join(counts, "term").join(windows, "entity")
-    ic = -F.log2(F.least(p_entity, F.lit(0.5)))
-    return scored.select("entity", "term", (F.log2(p_given / p_entity) / ic).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    p_given = F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term")) * F.col("n_contexts") / (F.col("n_contexts") + 1)
+    close = pairs.join(counts, "term").withColumn("hidden", -F.log2(p_given)).where(F.col("hidden") <= MOST_HIDDEN)
+    windows = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    ic = -F.log2(F.least(F.col("n_entity") / F.lit(float(total)), F.lit(0.5)))
+    scored = close.join(windows, "entity").select("entity", "term", "hidden", (1 - F.col("hidden") / ic).alias("disclosure"), (F.col("n_pair") >= F.col("n_term")).alias("only"))
+    return stored(scored.where(F.col("disclosure") >= threshold), "disclosures")
 
 
 def _places(df: DataFrame, bits: np.ndarray) -> DataFrame:
-    """key_a, key_b, term, a, b of all words outside base spans that the filter lets through."""
+    """key_a, key_b, term, a, b of all words outside base spans that the filter lets through, or that stand around one of them."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
     names = ("key_a", "key_b", "term", "a", "b")
 
@@ -210,12 +225,20 @@ def _places(df: DataFrame, bits: np.ndarray) -> DataFrame:
             data, offsets = utf8(texts)
             for i, j in steps(offsets):
                 own, at = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "alnum")
-                hits = np.flatnonzero(shared.value[own & np.uint64((1 << TERM_BITS) - 1)])
+                passed = shared.value[own & np.uint64((1 << TERM_BITS) - 1)]
+                found: dict[int, list[Span]] = {}
+                for d in range(j - i):
+                    if spans_ := base_spans(texts[i + d].as_py() or ""):
+                        found[d] = spans_
+                        around = [h for _, h, _ in contexts(texts[i + d].as_py(), spans_)]
+                        mine = slice(int(at[d]), int(at[d + 1]))
+                        passed[mine] |= np.isin(own[mine], np.array(around, np.int64).view(np.uint64))
+                hits = np.flatnonzero(passed)
                 cuts = np.searchsorted(hits, at)
                 rows = []
                 for d in np.flatnonzero(np.diff(cuts)).tolist():
                     text = texts[i + d].as_py()
-                    spans = sorted((x, y) for _, x, y in base_spans(text))
+                    spans = sorted((x, y) for _, x, y in found.get(d, ()))
                     begins, ends = [x for x, _ in spans], list(accumulate((y for _, y in spans), max))
                     words = [m.span() for m in _WORD.finditer(text)]
                     keys = key_a[i + d].as_py(), key_b[i + d].as_py()
@@ -232,9 +255,9 @@ def _places(df: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def term_spans(df: DataFrame, revealing: DataFrame) -> DataFrame:
     """key_a, key_b, terms: the ordered spans of revealing terms, wherever they stand."""
-    terms = stored(revealing.select("term").distinct(), "revealing-terms")
-    dealt = terms.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    places = _places(df, _filter(terms, TERM_BITS)).withColumn("deal", F.pmod("key_a", F.lit(DEALT)).cast("int"))
+    terms = stored(revealing.groupBy("term").agg(F.max("only").alias("only")), "revealing-terms")
+    dealt = terms.select("term", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal"))
+    places = _places(df, _filter(terms.where("not only"), TERM_BITS)).withColumn("deal", F.pmod("key_a", F.lit(DEALT)).cast("int"))
     hit = places.join(dealt, ["term", "deal"]).select("key_a", "key_b", F.struct("a", "b").alias("span"))
     return hit.groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set("span")).alias("terms"))
 
