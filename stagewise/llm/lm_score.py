@@ -1,18 +1,24 @@
 """Scoring with a log-bilinear neural language model trained by noise-contrastive estimation.
 
-Tokens are counted over all training documents. The ``SINGLES`` most frequent words are
-output classes of their own, every other word belongs to one of ``ENDINGS`` classes by
-its last two bytes; a word's probability is that of its class after the two classes
-before it, times the word's share of its class (counts with one added, one more for
-words never seen). Class scores are bilinear, ``(r[c1] C1 + r[c2] C2) . q[w] + b[w]``.
-
-Every training token is visited in each of ``ROUNDS``: each task trains a copy of the
-parameters in numpy on its own documents and the copies are averaged, weighted by their
-steps. Batched matrix products over all pairs of context classes give the normalising
-constants, so token log-probabilities are normalised exactly.
-
-Counts of the most frequent words (``HEAD`` at most) are broadcast; the counts of all
-other words are joined.
+Tokens are counted over all training documents. Words are dealt to classes, whose number
+grows with the square root of the vocabulary: the most frequent words are classes of
+their own, every other word belongs to a class by its last two bytes. A word's
+probability has two factors, each log-bilinear and normalised exactly:
+
+* that of its class after the two classes before it, by
+  ``(r[c1] C1 + r[c2] C2) . q[w] + b[w]``, and
+* its share of the class after the class c1 before it, by ``u[w] . (r[c1] C1)`` beside the
+  logarithm of its count plus one (one more for words never seen). All words whose counts
+  are broadcast (``HEAD``, 2^18 at most) have such a vector u; the rarer ones have none.
+
+The first factor is trained on every training token in each of ``ROUNDS``. Token codes are
+stored and dealt by a hash of their document to shards of bounded size, whose number
+follows the corpus: each shard trains a copy of the parameters in numpy and the copies are
+averaged, weighted by their steps, in whole numbers. So a score is a function of the table
+alone, however its rows lie. The second factor is trained on the counts of (class before,
+word) pairs of all training tokens, class by class, with the expected noise in place of
+drawn one. Batched matrix products over all pairs of context classes, and over all words
+of a class, give the normalising constants.
 
 Defined results: null text is empty and has its end token alone; repeated rows are
 scored each; a null doc_id is in training; without training documents all classes are
@@ -21,6 +27,7 @@ equally likely; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -30,35 +37,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import column, documents_of, mix64, remainder, ship, steps, stored, utf8, word_table
+from stagewise.llm.common import STEP_BYTES, column, discard, documents_of, mix64, remainder, ship, steps, stored, utf8, word_table
 
-SINGLES, ENDINGS, HEAD = 448, 64, 1 << 18
+#: Classes at least and at most (powers of two; an eighth by endings), and words with counts and vectors of their own.
+LEAST_CLASSES, MOST_CLASSES, HEAD = 128, 1024, 1 << 18
 WIDTH, BATCH, NOISE, RATE, ROUNDS = 32, 1024, 128, 0.05, 2
 END = np.uint64(0x5DEECE66D5DEECE6)
 #: Fixed point of averaged parameters: sums of whole numbers don't depend on their order.
 POINT = float(1 << 20)
+#: Tokens of a shard on average and of a piece of a document at most.
+SHARD_TOKENS, PIECE = 1 << 21, 1 << 16
+#: Noise samples a word, rate, steps and pull to zero of the vectors within a class.
+INNER_NOISE, INNER_RATE, INNER_STEPS, INNER_PULL = 4, 0.3, 20, 1.0
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, ending classes and n + 1 offsets per document, each document closed by END."""
+    """Token hashes, 16-bit hashes of their endings and n + 1 offsets per document, each document closed by END."""
     words, at, ending = word_table(data, offsets, "space")
     docs = np.arange(len(at) - 1)
     bounds = at + np.arange(len(at))
     place = np.arange(len(words)) + np.repeat(docs, np.diff(at))
     tokens, kinds = np.full(len(words) + len(docs), END, np.uint64), np.zeros(len(words) + len(docs), np.int64)
     tokens[place] = words
-    kinds[place] = (mix64(ending.astype(np.uint64)) >> np.uint64(58)).astype(np.int64)
+    kinds[place] = (mix64(ending.astype(np.uint64)) >> np.uint64(48)).astype(np.int64)
     return tokens, kinds, bounds
 
 
 @dataclass
 class Counts:
-    """Head words by hash, their counts and classes (-1: by ending), and totals of the ending classes."""
+    """Head words by hash, their counts, classes (-1: by ending) and endings, and totals of the classes."""
 
     words: np.ndarray
     n: np.ndarray
     single: np.ndarray
+    kind: np.ndarray
     singles: int
+    endings: int
     total: int
     distinct: int
     class_n: np.ndarray
@@ -71,13 +85,17 @@ class Counts:
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         return at, self.words[at] == tokens
 
+    def ending(self, kinds: np.ndarray) -> np.ndarray:
+        """Which of the ending classes."""
+        return kinds * self.endings >> 16
+
     def classes(self, at: np.ndarray, there: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         single = self.single[at] if len(self.single) else np.full(len(at), -1)
-        return np.where(there & (single >= 0), single, self.singles + kinds)
+        return np.where(there & (single >= 0), single, self.singles + self.ending(kinds))
 
     @property
     def size(self) -> int:
-        return self.singles + ENDINGS
+        return self.singles + self.endings
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -109,6 +127,11 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return stored(partial.groupBy("word", "kind").agg(F.sum("n").alias("n")), "word-counts")
 
 
+def class_count(vocabulary: int) -> int:
+    """The power of two next to the square root of the vocabulary, within the bounds."""
+    return min(MOST_CLASSES, max(LEAST_CLASSES, 1 << round(np.log2(max(1, vocabulary)) / 2)))
+
+
 def head_of(counts: DataFrame, limit: int = HEAD) -> Counts:
     """The most frequent words, at most ``limit``, cut between eighths of octaves of the count."""
     octave = F.floor(F.log2("n") * 8).cast("int")
@@ -118,22 +141,25 @@ def head_of(counts: DataFrame, limit: int = HEAD) -> Counts:
         if got + words > limit:
             break
         cut, got = o, got + words
-    top = counts.where(octave >= cut).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    kinds = counts.groupBy("kind").agg(F.count("*"), F.sum("n")).collect()
-    single_at = top.index[: SINGLES]
+    distinct = sum(r[1] for r in sums)
+    endings = class_count(distinct) // 8
+    top = counts.where(octave >= cut).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    kinds = counts.groupBy(F.shiftright(F.col("kind") * endings, 16).alias("ending")).agg(F.count("*"), F.sum("n")).collect()
+    singles = min(7 * endings, len(top))
     single = np.full(len(top), -1, np.int64)
-    single[: len(single_at)] = np.arange(len(single_at))
-    class_n, class_norm = np.zeros(len(single_at) + ENDINGS, np.int64), np.ones(ENDINGS, np.int64)
-    for kind, words, n in kinds:
-        class_n[len(single_at) + kind] += n
-        class_norm[kind] += n + words
-    for k, (kind, n) in enumerate(zip(top["kind"].iloc[: len(single_at)], top["n"].iloc[: len(single_at)], strict=True)):
+    single[:singles] = np.arange(singles)
+    class_n, class_norm = np.zeros(singles + endings, np.int64), np.ones(endings, np.int64)
+    for ending, words, n in kinds:
+        class_n[singles + ending] += n
+        class_norm[ending] += n + words
+    kind = top["kind"].to_numpy(np.int64)
+    for k, (ending, n) in enumerate(zip((kind[:singles] * endings >> 16).tolist(), top["n"].iloc[:singles], strict=True)):
         class_n[k] = n
-        class_n[len(single_at) + kind] -= n
-        class_norm[kind] -= n + 1
+        class_n[singles + ending] -= n
+        class_norm[ending] -= n + 1
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return Counts(words[order], top["n"].to_numpy(np.int64)[order], single[order], len(single_at), sum(r[2] for r in sums), sum(r[1] for r in sums), class_n, class_norm)
+    return Counts(words[order], top["n"].to_numpy(np.int64)[order], single[order], kind[order], singles, endings, sum(r[2] for r in sums), distinct, class_n, class_norm)
 
 
 @dataclass
@@ -233,37 +259,198 @@ def contexts(classes: np.ndarray, bounds: np.ndarray, begin: int) -> tuple[np.nd
     return out[0], out[1]
 
 
-def train(docs: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
-    spark = docs.sparkSession
+def coded(docs: DataFrame, counts: Counts) -> DataFrame:
+    """shard, mixed, codes of all pieces of documents, stored: int32 places in the head, or -1 - ending.
+
+    A piece begins with the two codes before it, or with -2^31 at a document's start.
+    Shards follow the hash of a piece's codes, so they don't depend on how rows lie.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shards = max(1, round(counts.total / SHARD_TOKENS))
+    start = np.full(2, np.iinfo(np.int32).min, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            data, offsets = utf8(column(batch, "text"))
+            for i, j in steps(offsets):
+                tokens, kinds, bounds = tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at, there = own.find(tokens)
+                codes = np.where(there, at, -1 - own.ending(kinds)).astype(np.int32)
+                rows = []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    whole = np.concatenate([start, codes[a:b]])
+                    for k in range(2, len(whole), PIECE):
+                        piece = whole[k - 2 : k + PIECE].tobytes()
+                        mixed = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") >> 1
+                        rows.append((mixed % shards, mixed, piece))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "mixed", "codes"])
+
+    rows = docs.select("text").mapInArrow(run, "shard int, mixed long, codes binary")
+    return stored(rows, "token-codes")
+
+
+def _classes_of(own: Counts, codes: np.ndarray) -> np.ndarray:
+    """Classes of codes; one beyond them where a document begins."""
+    place = np.maximum(codes, 0)
+    single = own.single[place] if len(own.single) else np.full(len(codes), -1)
+    ending = own.singles + np.where(codes >= 0, own.ending(own.kind[place]) if len(own.kind) else 0, -1 - codes.astype(np.int64))
+    classes = np.where((codes >= 0) & (single >= 0), single, ending)
+    return np.where(codes == np.iinfo(np.int32).min, own.size, classes)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+    """(shard, pieces of about STEP_BYTES, whether they are its first) of rows in the order of shards."""
+    here, pieces, held, first = None, [], 0, True
+    for batch in batches:
+        for shard, codes in zip(column(batch, "shard").to_pylist(), column(batch, "codes"), strict=True):
+            if pieces and (shard != here or held > STEP_BYTES):
+                yield here, pieces, first
+                first, pieces, held = shard != here, [], 0
+            here = shard
+            pieces.append(np.frombuffer(codes.as_py(), np.int32))
+            held += len(pieces[-1]) * 4
+    if pieces:
+        yield here, pieces, first
+
+
+def train(pieces: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
+    """The class model of ``coded`` pieces, and the classes' shares."""
+    spark = pieces.sparkSession
     share = (counts.class_n + 1) / (counts.class_n + 1).sum()
     model = Bilinear.start(share)
+    shards = max(1, round(counts.total / SHARD_TOKENS))
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model, counts, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
             start, own, share_ = shared.value
-            trainer = Trainer(start.like(start.flat()), share_, 7919 * TaskContext.get().partitionId() + round_)
-            for batch in batches:
-                data, offsets = utf8(column(batch, "text"))
-                for i, j in steps(offsets):
-                    tokens, kinds, bounds = tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    w = own.classes(*own.find(tokens), kinds)
-                    c1, c2 = contexts(w, bounds, own.size)
-                    order = trainer.rng.permutation(len(w))
-                    for k in range(0, len(w), BATCH):
-                        pick = order[k : k + BATCH]
-                        trainer.step(c1[pick], c2[pick], w[pick])
-            if trainer.steps:
-                flat = np.round(trainer.model.flat().astype(np.float64) * POINT).astype(np.int64) * trainer.steps
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1) - 1, pa.int32()), pa.array(np.append(trainer.steps, flat))], ["at", "value"])
-
-        sums = docs.select("text").mapInArrow(run, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")
+            trainer = None
+
+            def out() -> Iterator[pa.RecordBatch]:
+                if trainer is not None:
+                    flat = np.round(trainer.model.flat().astype(np.float64) * POINT).astype(np.int64) * trainer.steps
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1) - 1, pa.int32()), pa.array(np.append(trainer.steps, flat))], ["at", "value"])
+
+            for shard, held, first in _shards(batches):
+                if first:
+                    yield from out()
+                    trainer = Trainer(start.like(start.flat()), share_, 7919 * shard + round_)
+                classes = _classes_of(own, np.concatenate(held))
+                target = np.ones(len(classes), bool)
+                begins = np.cumsum([0, *map(len, held)])[:-1]
+                target[begins] = target[begins + 1] = False
+                w = np.flatnonzero(target)
+                order = trainer.rng.permutation(w)
+                for k in range(0, len(order), BATCH):
+                    pick = order[k : k + BATCH]
+                    trainer.step(classes[pick - 1], classes[pick - 2], classes[pick])
+            yield from out()
+
+        # ranges deal shards evenly and never split one
+        rows = pieces.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "mixed", "codes").select("shard", "codes")
+        sums = rows.mapInArrow(run, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")
         if len(sums):
             values = sums["value"].to_numpy(np.float64)
             model = model.like(values[1:] / values[0] / POINT)
     return model, share
 
 
+def pair_counts(pieces: DataFrame, counts: Counts) -> DataFrame:
+    """ending, before (a class), word (place in the head) and n of all training tokens in the head that have no class of their own."""
+    shared = pieces.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for _, held, _ in _shards(batches):
+            codes = np.concatenate(held)
+            inner = codes >= 0
+            inner[inner] = own.single[codes[inner]] < 0
+            begins = np.cumsum([0, *map(len, held)])[:-1]
+            inner[begins] = inner[begins + 1] = False
+            at = np.flatnonzero(inner)
+            keys, n = np.unique(_classes_of(own, codes[at - 1]) << 32 | codes[at].astype(np.int64), return_counts=True)
+            word = keys & 0xFFFFFFFF
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(own.ending(own.kind[word]).astype(np.int32)), pa.array((keys >> 32).astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(n.astype(np.int64))], ["ending", "before", "word", "n"])
+
+    rows = pieces.select("shard", "codes").mapInArrow(run, "ending int, before int, word int, n long")
+    return rows.groupBy("ending", "before", "word").agg(F.sum("n").alias("n"))
+
+
+def within_class(before: np.ndarray, word: np.ndarray, n: np.ndarray, uses: np.ndarray, contexts_: np.ndarray) -> np.ndarray:
+    """Vectors u of a class's words from their counts after each context: noise-contrastive, with expected noise.
+
+    ``uses`` are the words' counts plus one, which are the noise; the score u . context is
+    the logarithm of how much likelier than that a word is.
+    """
+    u = np.zeros((len(uses), contexts_.shape[1]), np.float32)
+    squares = np.full(u.shape, 1e-6, np.float32)
+    noise = (INNER_NOISE * uses / uses.sum()).astype(np.float32)
+    there, at = np.unique(before, return_inverse=True)
+    v = contexts_[there]
+    total = np.bincount(at, n, len(there)).astype(np.float32)
+    order = np.argsort(word, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(word[order]) > 0))
+    log_noise = np.float32(np.log(INNER_NOISE))
+    for _ in range(INNER_STEPS):
+        fake = _sigmoid(u @ v.T - log_noise)
+        real = (n * (1 - fake[word, at])).astype(np.float32)
+        fake *= noise[:, None]
+        fake *= total[None, :]
+        g = -fake @ v - INNER_PULL * u
+        g[word[order][first]] += np.add.reduceat((real[:, None] * v[at])[order], first)
+        squares += g * g
+        u += INNER_RATE * g / np.sqrt(squares)
+    return u
+
+
+@dataclass
+class Inner:
+    """Vectors of head words (float16) and, per ending class and class before it, the logarithm of the shares' norm."""
+
+    u: np.ndarray
+    left: np.ndarray
+    norm: np.ndarray
+
+    def log10(self, counts: Counts, c1: np.ndarray, at: np.ndarray, there: np.ndarray, ending: np.ndarray, log_count: np.ndarray) -> np.ndarray:
+        """Shares of tokens in ending classes; ``log_count`` is of their counts plus one."""
+        fit = np.zeros(len(c1))
+        k = np.flatnonzero(there)
+        fit[k] = np.einsum("ij,ij->i", self.u[at[k]].astype(np.float32), self.left[c1[k]])
+        return log_count + (fit - self.norm[ending, c1]) / np.log(10)
+
+
+def train_within(pieces: DataFrame, counts: Counts, model: Bilinear) -> Inner:
+    """Vectors of all head words without a class of their own; a task trains whole ending classes."""
+    spark = pieces.sparkSession
+    left = model.r @ model.c1
+    ending = counts.ending(counts.kind)
+    u = np.zeros((len(counts.words), WIDTH), np.float16)
+    norm = np.repeat(np.log(counts.class_norm.astype(np.float64))[:, None], len(left), axis=1)
+    members = np.flatnonzero(counts.single < 0)
+    if not len(members):
+        return Inner(u, left, norm.astype(np.float32))
+    shared = spark.sparkContext.broadcast((left, ending, members, counts.n, counts.class_norm))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        left_, ending_, members_, n_, norm_ = shared.value
+        own = members_[ending_[members_] == key[0].as_py()]
+        before, word, n = (rows.column(c).combine_chunks().to_numpy() for c in ("before", "word", "n"))
+        order = np.lexsort((word, before))
+        uses = (n_[own] + 1).astype(np.float64)
+        vectors = within_class(before[order], np.searchsorted(own, word[order]), n[order].astype(np.float64), uses, left_).astype(np.float16)
+        fit = vectors.astype(np.float32) @ left_.T
+        norms = np.log(norm_[key[0].as_py()] + uses @ np.expm1(fit.astype(np.float64)))
+        return pa.table({"ending": pa.array([key[0].as_py()], pa.int32()), "vectors": pa.array([vectors.tobytes()], pa.binary()), "norms": pa.array([norms.astype(np.float32).tobytes()], pa.binary())})
+
+    grouped = pair_counts(pieces, counts).groupBy("ending").applyInArrow(run, "ending int, vectors binary, norms binary")
+    for row in grouped.toLocalIterator():
+        u[members[ending[members] == row["ending"]]] = np.frombuffer(row["vectors"], np.float16).reshape(-1, WIDTH)
+        norm[row["ending"]] = np.frombuffer(row["norms"], np.float32)
+    return Inner(u, left, norm.astype(np.float32))
+
+
 @dataclass
 class Scorer:
     """log10 P(class | two classes before), from tables over all pairs of classes."""
@@ -291,16 +478,15 @@ class Scorer:
 _SCORED = "slot long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:long,tf:int>>"
 
 
-def score_head(docs: DataFrame, counts: Counts, scorer: Scorer) -> DataFrame:
+def score_head(docs: DataFrame, counts: Counts, scorer: Scorer, inner: Inner) -> DataFrame:
     """Sums over the tokens of each row whose counts are at hand, and the words whose counts aren't."""
-    shared = docs.sparkSession.sparkContext.broadcast((counts, scorer))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, scorer, inner))
     rare_type = pa.list_(pa.struct([("word", pa.int64()), ("tf", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = shared.value
+        own, model, within = shared.value
         slot = TaskContext.get().partitionId() << 36
         plus = np.log10(own.n + 1.0) if len(own.n) else np.zeros(1)
-        norms = np.log10(own.class_norm.astype(float))
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             for i, j in steps(offsets):
@@ -309,8 +495,10 @@ def score_head(docs: DataFrame, counts: Counts, scorer: Scorer) -> DataFrame:
                 w = own.classes(at, there, kinds)
                 begins, n = bounds[:-1], j - i
                 log_count = np.where(there, plus[at], 0.0)
-                within = np.where(w >= own.singles, log_count - norms[kinds], 0.0)
-                score = model.log10(*contexts(w, bounds, own.size), w) + within
+                c1, c2 = contexts(w, bounds, own.size)
+                score = model.log10(c1, c2, w)
+                k = np.flatnonzero(w >= own.singles)
+                score[k] += within.log10(own, c1[k], at[k], there[k], w[k] - own.singles, log_count[k])
                 doc = np.repeat(np.arange(n), np.diff(bounds))
                 missing = np.flatnonzero(~there)
                 order = missing[np.lexsort((tokens[missing], doc[missing]))]
@@ -336,8 +524,10 @@ def score_texts(df: DataFrame) -> DataFrame:
     learning = docs.where("not held_out")
     table = count_tokens(learning)
     counts = head_of(table)
-    model, _ = train(learning, counts)
-    rows = stored(score_head(docs, counts, Scorer.of(model)), "scored")
+    pieces = coded(learning, counts)
+    model, _ = train(pieces, counts)
+    rows = stored(score_head(docs, counts, Scorer.of(model), train_within(pieces, counts, model)), "scored")
+    discard(pieces)
     rare = rows.where(F.size("rare") > 0).select("slot", F.explode("rare").alias("x")).select("slot", "x.word", "x.tf")
     more = rare.join(table.select("word", "n"), "word").groupBy("slot").agg(F.sum("tf").alias("known_more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("log_more"))
     log_more, total = F.coalesce("log_more", F.lit(0.0)), F.lit(counts.total + counts.distinct + 1.0)
