@@ -1,6 +1,7 @@
 """Corpus operators on small fixtures against brute force and round trips; edge cases of every one."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -50,7 +51,6 @@ def _rows(df):
 
 def test_encoder_equals_whole_encoding():
     whole, r = Tokenizer.from_file(default_vocabulary()), random.Random(1)
-    whole.encode_special_tokens = True
     bits = ["a", "the", "é", "Über", " ", " ", "\n", ".", ",", "'s", "12", "\t", " ", "<|endoftext|>", "ß", "中", " "]
     for _ in range(3000):
         text = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
@@ -91,6 +91,39 @@ def test_sum_of_squares_is_near_the_bound():
     assert packing.cut(1, 2048) == [(0, 1)] and packing.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)] and packing.cut(2048, 2048) == [(0, 2048)]
 
 
+def test_sum_of_squares_equals_plain_rule():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 40))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 60)))
+        bins, want = [], {}
+        for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+            squares = lambda gaps: sum(m * m for g, m in Counter(gaps).items() if g)
+            options = {}
+            for b, gap in enumerate(bins):
+                if gap >= lengths[i]:
+                    after = bins[:b] + [gap - lengths[i]] + bins[b + 1 :]
+                    options.setdefault((squares(after), gap), b)
+            if options:
+                gap = bins[options[min(options)]]
+                bins[options[min(options)]] -= lengths[i]
+            else:
+                gap = capacity
+                bins.append(capacity - lengths[i])
+            want[i] = capacity - gap
+        sequence, offset = packing.sum_of_squares(lengths, capacity)
+        assert offset.tolist() == [want[i] for i in range(len(lengths))] and sequence.max() + 1 == len(bins)
+
+
+def test_pieces_equal_whole_encoding(spark, docs):
+    whole = Tokenizer.from_file(default_vocabulary())
+    got = packing.best_fit_pack(docs, capacity=64).where("doc_id is not null").toPandas().drop_duplicates(["doc_id", "piece"])
+    for i, t, _ in _texts():
+        ids = array("I", [*whole.encode(t or "", add_special_tokens=False).ids, 0])
+        for row in got[got["doc_id"] == i].itertuples():
+            assert row.ids_crc32 == zlib.crc32(ids[row.start : row.start + row.length].tobytes())
+
+
 def test_packing_of_nothing(empty):
     assert packing.best_fit_pack(empty).count() == 0
 
@@ -144,6 +177,35 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, nothing).count() == 0
 
 
+def _plain_grams(text):
+    mask = 2**64 - 1
+    chars = [0, 0, *map(ord, text.lower()), 0, 0]
+    for n in language_id.ORDERS:
+        for i in range(len(chars) - 2):
+            h = n
+            for c in chars[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + c) & mask
+            h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & mask
+            h = ((h ^ h >> 27) * 0x94D049BB133111EB) & mask
+            yield (h ^ h >> 31) >> 49
+
+
+def test_language_scores_equal_plain_bayes(spark, docs):
+    rows = [(t, g) for i, t, g in [*_texts(), _texts()[3], (None, "orphan text of nobody", "en")] if t is not None and g and (i is None or zlib.crc32(str(i).encode()) % 4 != 2)]
+    counts, docs_of = {g: Counter() for _, g in rows}, Counter(g for _, g in rows)
+    for t, g in rows:
+        counts[g].update(_plain_grams(t))
+    size = {g: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for g, c in counts.items()}
+    got = {r["doc_id"]: r for r in _rows(language_id.identify(docs, language_id.train(docs, language_id.remainder("doc_id", 4) != 2)))}
+    for i, t, _ in _texts():
+        if t and any(map(str.isalpha, t)):
+            grams = list(_plain_grams(t))
+            logs = {g: np.log(docs_of[g] / len(rows)) + sum(np.log((c[x] + language_id.SMOOTHING) / size[g]) for x in grams) for g, c in counts.items()}
+            best = max(sorted(logs), key=logs.get)
+            assert got[i]["lang_pred"] == best
+            assert got[i]["score"] == pytest.approx(1 / sum(np.exp(x - logs[best]) for x in logs.values()), abs=1e-3)
+
+
 def _brute_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -179,6 +241,38 @@ def test_revealing_terms_and_rewriting(spark, docs, empty):
     assert pii.find_personal_data(empty).count() == 0 and pii.sanitise(empty).count() == 0
 
 
+def test_disclosure_equals_brute_force(spark):
+    r = random.Random(9)
+    spread = ["ordinary", "words", "stand", "everywhere", "here"]
+    texts = [" ".join(r.choice(spread) for _ in range(12)) for _ in range(60)]
+    for i in range(12):
+        texts.append(f"{texts[i]} ask Zorblax ordinary words eve@mail.example.com stand {'Quimby' if i % 3 else 'here'} now")
+    texts += ["Quimby alone", "the owner Vantrix of 10.1.2.3 here", "the owner Vantrix of 10.1.2.3 here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [(pii.base_spans(t), t) for t in texts]
+    near, uses, total, windows = {}, Counter(), 0, Counter()
+    for spans, t in found:
+        words = [m[0].lower() for m in pii._WORD.finditer(t)]
+        total += len(words)
+        uses.update(set(words))
+        for entity, term, _ in pii.contexts(t, spans):
+            near.setdefault((entity, term), []).append(t)
+        windows.update({entity for entity, _, _ in pii.contexts(t, spans)})
+    hashed = {int(pii.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), "alnum")[0].view(np.int64)[0]): w for w in uses}
+    want = {}
+    for (entity, term), of in near.items():
+        p = min(1, len(of) / uses[hashed[term]]) * len(set(of)) / (len(set(of)) + 1)
+        share = 1 + np.log2(p) / -np.log2(min(windows[entity] / total, 0.5))
+        if -np.log2(p) <= 1 and share >= pii.THRESHOLD:
+            want[entity, term] = share
+    got = {(x["entity"], x["term"]): x["disclosure"] for x in _rows(pii.disclosures(df, pii.scan(df)))}
+    assert got == pytest.approx(want)
+    named = {hashed[t] for _, t in got}
+    assert {"zorblax", "quimby", "vantrix"} <= named and named.isdisjoint(spread)
+    rows = {x["doc_id"]: x for x in _rows(pii.find_personal_data(df))}
+    assert rows[72]["n_term"] == 1 and all(rows[i]["n_term"] == 0 for i in range(60))
+
+
 def test_revealing_terms_are_found_wherever_they_stand(spark):
     far = " ".join(["word"] * 40)
     texts = [f"ask Zorblax about {'x' * (i + 3)} eve@mail.example.com" for i in range(40)]
@@ -299,6 +393,64 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def _links_meet(sets, percent=80):
+    """Every link of the sets joins two that a hub's index shows: by a hub or by an entry that one asks and the other has."""
+    hubs = sets[:3]
+    mid = near_dedup.middle(hubs)
+    at = [near_dedup.index_entries(x, hubs, mid, percent) for x in sets]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(x, sets[j]))
+            if 100 * common >= percent * (len(x) + len(sets[j]) - common) and not (at[i][0] >= 0 and at[j][0] >= 0):
+                met = (at[i][0] < 0 and np.isin(at[i][3], at[j][2]).any()) or (at[j][0] < 0 and np.isin(at[j][3], at[i][2]).any())
+                assert met, (i, j)
+
+
+def test_hub_index_loses_no_link():
+    rng = np.random.Generator(np.random.PCG64(21))
+    for trial in range(300):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(3, 40)), dtype=np.uint64) * np.uint64(2))
+        pool = np.unique(rng.integers(0, 2**63, 30, dtype=np.uint64) * np.uint64(2))
+        sets = []
+        for _ in range(40):
+            kept = base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1, 0.2])]
+            if trial % 3 == 0:
+                kept = kept[: max(1, int(len(kept) * rng.uniform(0.6, 1)))]
+            sets.append(np.unique(np.concatenate([kept, rng.choice(pool, int(rng.integers(0, 6)))])))
+        _links_meet(sets)
+
+
+def test_dense_regions_equal_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, passage = [word() for _ in range(70)], " ".join(word() for _ in range(60))
+    texts = []
+    for _ in range(250):  # near copies with more and more edits, and cut ones
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w[: r.choice([70, 70, 62, 55])]))
+    texts += [" ".join([word() for _ in range(25)] + [passage] + [word() for _ in range(r.randint(5, 25))]) for _ in range(150)]
+    chain = [word() for _ in range(60)]
+    for k in range(0, 30, 3):  # each like the next one only
+        texts.append(" ".join(chain[k : k + 40]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _brute_components(enumerate(texts), 4)
+    for listed, rounds in ((4096, 4), (4, 2)):
+        monkeypatch.setattr(near_dedup, "LISTED", listed)
+        monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in _rows(near_dedup.near_duplicates(df))}
+        assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_duplicates_of_the_tables_equal_brute_force(spark, words):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in _rows(near_dedup.near_duplicates(df, words))}
+    assert got == _brute_components([(x.doc_id, x.text) for x in df.collect()], words)
+
+
 def test_one_doc_id_with_two_texts_is_one_node(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (2, "f g h i j"), (3, "f g h i j")], "doc_id long, text string")
     assert {r["component_id"] for r in _rows(near_dedup.near_duplicates(df))} == {1}
@@ -319,6 +471,52 @@ def test_language_model(spark, docs, empty):
     assert lm_score.score_texts(empty).count() == 0
 
 
+def test_scores_follow_the_table_alone(spark, docs):
+    first, again = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in _rows(lm_score.score_texts(d))} for d in (docs, docs.repartition(7)))
+    assert first == pytest.approx(again, rel=1e-9)
+
+
+def test_model_beats_the_base_on_unseen_texts(spark):
+    rng = np.random.Generator(np.random.PCG64(12))
+    follow = rng.dirichlet(np.full(400, 0.02), 400).cumsum(axis=1)
+    rows = []
+    for i in range(400):
+        w = [int(rng.integers(400))]
+        for x in rng.random(150):
+            w.append(min(int(np.searchsorted(follow[w[-1]], x)), 399))
+        rows.append((i, " ".join(f"w{k}" for k in w)))
+    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").toPandas()
+    assert got["score"].sum() / got["n_tokens"].sum() > got["base_score"].sum() / got["n_tokens"].sum() + 0.3
+
+
+def test_words_of_a_class_are_normalised():
+    rng = np.random.Generator(np.random.PCG64(13))
+    uses, contexts_ = rng.integers(2, 50, 30).astype(float), rng.standard_normal((12, lm_score.WIDTH)).astype(np.float32)
+    before, word = np.divmod(np.unique(rng.integers(0, 360, 200)), 30)
+    n = rng.integers(1, 9, len(word)).astype(float)
+    u = lm_score.within_class(before, word, n, uses, contexts_).astype(np.float16)
+    norm = np.log(uses.sum() + 1 + uses @ np.expm1(u.astype(float) @ contexts_.T.astype(float)))
+    counts = lm_score.Counts(np.arange(30, dtype=np.uint64), uses.astype(int) - 1, np.full(30, -1), np.zeros(30, int), 0, 1, 0, 0, np.zeros(1), np.zeros(1))
+    inner = lm_score.Inner(u, contexts_, norm[None, :].astype(np.float32))
+    for c in range(12):
+        at = np.arange(30)
+        total = (10 ** inner.log10(counts, np.full(30, c), at, np.full(30, True), np.zeros(30, int), np.log10(uses))).sum()
+        assert total + np.exp(-norm[c]) == pytest.approx(1, abs=1e-4)  # the rest is for words never seen
+    likely = [u[w].astype(float) @ contexts_[b] for b, w in zip(before, word, strict=True)]
+    assert np.average(likely, weights=n) > 0
+
+
+def test_shards_and_pieces_cover_every_token(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm_score, "PIECE", 7)
+    counts = lm_score.head_of(lm_score.count_tokens(docs), 40)
+    rows = lm_score.coded(docs, counts).collect()
+    assert sum(len(r.codes) // 4 - 2 for r in rows) == counts.total and len({r.shard for r in rows}) > 3
+    pairs = lm_score.pair_counts(lm_score.coded(docs, counts), counts).toPandas()
+    inner = counts.single < 0
+    assert pairs["n"].sum() == counts.n[inner].sum() and (pairs.groupby("word")["n"].sum() == counts.n[np.unique(pairs["word"])]).all()
+
+
 def test_class_probabilities_are_normalised():
     model = lm_score.Bilinear.start(np.full(20, 0.05))
     scorer = lm_score.Scorer.of(model)
@@ -385,23 +583,87 @@ def test_rare_words_are_joined(spark, docs, monkeypatch):
 PAGE = '<html><head><title>T</title><script>var t="</p>";</script></head><body class="x"><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p><b>First  line<br><p>Second {0}&nbsp;end</p><div class="share">Share</div><aside>Side</aside></article><div id="comments"><p>nice!</p></div><footer>&copy; me</footer>'
 
 
-def test_main_text():
-    assert site_style.main_text(PAGE.format("x")) == "Title & more\nFirst line\nSecond x end"
-    assert site_style.main_text(None) == site_style.main_text("") == ""
-    assert site_style.main_text("plain <i>text</i>") == "plain text"
-    assert site_style.main_text("<div><p>a</p><p>b<ul><li>c<li>d</ul>") == "a\nb\nc\nd"
+def _lines(html):
+    return [t for _, t in site_style.lines_of(html)[0]]
+
 
+def test_lines_of_a_page():
+    assert _lines(PAGE.format("x")) == ["Title & more", "First line", "Second x end"]
+    assert _lines(None) == _lines("") == []
+    assert _lines("<p>a<p>b</div>c<![bad") == ["a", "b", "c<![bad"] or _lines("<p>a<p>b")[:2] == ["a", "b"]
+    assert _lines("<div class='w-1/2'>x</div>") == ["x"]
 
-def test_style_tree_removes_what_a_host_repeats(spark):
-    page = "<html><body><div class='top'>Same words here</div><div class='body'><p>{0} {0}</p></div><div class='bar'><span>Again</span></div></body></html>"
-    rows = [(i, "http://h.example/a", page.format(f"unique{i}")) for i in range(20)] + [(50, "http://other.example", page.format("alone")), (51, None, None), (52, "http://h.example/b", "<p>broken")]
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 20_000 + "core" + "</div>" * 20_000
+    lines, shapes = site_style.lines_of(deep)
+    assert [t for _, t in lines] == ["core"] and len(shapes) == 20_001
+    long = "".join(f"<p>block {i}</p>" for i in range(50_000))
+    assert len(site_style.lines_of(long)[0]) == 50_000
+
+
+def _site(article="article"):
+    """Pages of one host with a menu without any name, a line in every article, and copies of one article; of a small host too."""
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("stone river light cold house token and the of".split()) + str(r.randint(0, 999)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        body = [text(30) for _ in range(4)]
+        rows.append((i, f"https://a.example/{i}", f"<body><div class=top>Welcome to us</div><{article}><h1>{body[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body[1:]) + f"<p>Subscribe for more</p></{article}><div class=end>All rights reserved</div>"))
+        want[i] = "\n".join(body)
+    for i in range(60, 64):
+        rows.append((i, f"https://a.example/copy{i}", rows[0][2]))
+        want[i] = want[0]
+    rows.append((64, "https://b.example/", f"<body><div class=top>Welcome to us</div><{article}><h1>Only one</h1><p>{text(9)}</p></{article}>"))
+    return rows, want
+
+
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_style_tree_decides(spark, article):
+    rows, want = _site(article)
     got = {r["page_id"]: r for r in _rows(site_style.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
-    assert got[3]["text"] == "unique3 unique3" and got[50]["text"] == "Same words here\nalone alone\nAgain"
-    assert got[51]["text"] == "" and got[51]["n_chars"] == 0 and got[52]["text"] == "broken"
-    copies = [(i, "http://c.example", PAGE.format("same")) for i in range(20)]
-    same = _rows(site_style.extract_main_text(spark.createDataFrame(copies, "page_id long, url string, html string")))
-    assert {r["text"] for r in same} == {"Title & more\nFirst line\nSecond same end"}
-    assert site_style.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert {i: got[i]["text"] for i in want} == want
+    assert all(got[i]["n_removed"] == (1 if article == "article" else 3) for i in want)
+    # a host of one page learns from the same path elsewhere
+    assert got[64]["text"].startswith("Only one") and got[64]["n_chars"] == len(got[64]["text"])
+
+
+def test_copies_of_one_page_stay(spark):
+    rows = [(i, "http://c.example/x", "<article><h1>Same</h1><p>whole text</p></article>") for i in range(50)] + [(50, None, None), (51, "http://c.example/", "")]
+    got = _rows(site_style.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert [r["text"] for r in sorted(got, key=lambda r: r["page_id"])] == ["Same\nwhole text"] * 50 + ["", ""]
+    assert site_style.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_style_tree_equals_brute_force(spark):
+    rows, _ = _site()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in _rows(site_style.style_tree(site_style.feature_counts(site_style.page_lines(df))))}
+    pages = [(site_style.host_of(u), *site_style.lines_of(h)) for _, u, h in rows]
+
+    def importance(of):
+        nodes = {}
+        for lines, shapes in of:
+            for p, k in shapes:
+                node = nodes.setdefault(p, (Counter(), Counter(), Counter()))
+                node[1][k] += 1
+            for p in {p for p, _ in shapes}:
+                nodes[p][0]["n"] += 1
+            for p, t in set(lines):
+                nodes[p][2][t] += 1
+        out = {}
+        for p, (n, shape, line) in nodes.items():
+            base, total, uses = np.log(max(n["n"], 2)), sum(shape.values()), sum(line.values())
+            presentation = -sum(m / total * np.log(m / total) for m in shape.values()) / base
+            content = 1 - sum(m * np.log(m) for m in line.values()) / uses / base if uses else 0
+            out[p] = (n["n"], 1.0 if n["n"] < 2 else max(presentation, content))
+        return out
+
+    usual = importance([(a, b) for _, a, b in pages])
+    for host in {h for h, _, _ in pages}:
+        for p, (n, own) in importance([(a, b) for h, a, b in pages if h == host]).items():
+            seen = n - 1
+            assert got[host, p] == (n, pytest.approx((seen * own + site_style.PRIOR * usual[p][1]) / (seen + site_style.PRIOR), abs=1e-9))
 
 
 def test_snapshots_collapse(spark):
