@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stagewise.functions.arith import hash32
+from stagewise.functions.lineage import cut
+
+#: Values up to which resampling sends them to every task.
+SENT_VALUES = 1 << 20
 
 
 def normal_cdf(z: Column) -> Column:
@@ -22,41 +26,51 @@ def two_sided(z: Column) -> Column:
     return 2 * (1 - normal_cdf(F.abs(z)))
 
 
-def resampled_means(values: DataFrame, column: str, draws: int = 200, seed: int = 7) -> DataFrame:
+def resampled_means(values: DataFrame, column: str, draws: int = 1000, seed: int = 7) -> DataFrame:
     """draw, mean: ``draws`` resamples with replacement, each index an arithmetic hash.
 
-    values: user_id and the column. Rows are numbered by user_id once; resamples meet them
-    by that number.
+    values: user_id (each once) and the column; a null value counts for no mean. Values are
+    stored and numbered by user_id once, by sorted ranges; resamples meet them by that
+    number, where they are made as long as the values can be sent there.
     """
+    from stagewise.operators.prepare import dense_ids
+
+    values = cut(values.select("user_id", F.col(column).alias("v")))
     n = values.count()
-    numbered = values.select((F.row_number().over(W.orderBy("user_id")) - 1).cast("long").alias("at"), F.col(column).alias("v"))
+    ids = dense_ids(values, "user_id")
+    numbered = values.join(ids, values.user_id == ids.raw_id).select(F.col("dense_id").alias("at"), "v")
     spark = values.sparkSession
     picks = spark.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), F.pmod(hash32("id", seed), F.lit(max(1, n))).alias("at"))
-    return picks.join(numbered, "at").groupBy("draw").agg(F.avg("v").alias("mean"))
+    return picks.join(F.broadcast(numbered) if n <= SENT_VALUES else numbered, "at").groupBy("draw").agg(F.avg("v").alias("mean"))
 
 
-def bootstrap_ci(values: DataFrame, column: str, draws: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
+def bootstrap_ci(values: DataFrame, column: str, draws: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """Percentile interval of a mean; the number of resamples is part of the answer."""
     low = (1 - level) / 2
     means = resampled_means(values, column, draws, seed)
     return means.agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(1 - low)).alias("high"), F.count("*").alias("draws"))
 
 
-def bootstrap_difference(values: DataFrame, a: str, b: str, draws: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_difference(values: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 7) -> DataFrame:
     """Mean paired difference, its interval, and twice the smaller tail share."""
-    diffs = values.select("user_id", (F.col(a) - F.col(b)).alias("d"))
+    diffs = cut(values.select("user_id", (F.col(a) - F.col(b)).alias("d")))
     means = resampled_means(diffs, "d", draws, seed)
     tails = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.avg((F.col("mean") <= 0).cast("int")).alias("below"), F.avg((F.col("mean") >= 0).cast("int")).alias("above"))
     return diffs.agg(F.avg("d").alias("diff")).join(F.broadcast(tails)).select("diff", "low", "high", F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p"))
 
 
-def permutation_test(values: DataFrame, a: str, b: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Pooled permutation of the two arms' labels per user, by hash: share of draws as far apart as the arms."""
-    signs = values.select("user_id", (F.col(a) - F.col(b)).alias("d")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    flip = F.when(F.pmod(hash32(F.col("user_id") * F.lit(10_007) + F.col("draw"), seed), F.lit(65536)) < 32768, -1).otherwise(1)
-    means = signs.groupBy("draw").agg(F.avg(F.col("d") * flip).alias("mean"))
+def permutation_test(values: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+    """Pooled permutation: the values of both arms, pairs broken up, fall to two sides again; share of draws as far apart as the arms.
+
+    Each value's side is a bit of a hash, so the sides are of equal size in the mean and
+    no draw is sorted: sums are taken where the values lie.
+    """
+    pooled = values.select("user_id", F.explode(F.array(F.struct(F.lit(0).alias("arm"), F.col(a).alias("v")), F.struct(F.lit(1).alias("arm"), F.col(b).alias("v")))).alias("x")).select((F.col("user_id") * 2 + F.col("x.arm")).alias("key"), "x.v")
+    drawn = pooled.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    side = F.floor(F.pmod(hash32(F.pmod(F.col("key") * F.lit(10_007) + F.col("draw") * F.lit(7919), F.lit(2_000_000_011)), seed), F.lit(65536)) / 32768)
+    means = drawn.groupBy("draw").agg((F.avg(F.when(side == 0, F.col("v"))) - F.avg(F.when(side == 1, F.col("v")))).alias("gap"))
     seen = values.agg(F.avg(F.col(a) - F.col(b)).alias("diff"))
-    return means.join(F.broadcast(seen)).agg(F.first("diff").alias("diff"), F.avg((F.abs(F.round("mean", 12)) >= F.abs(F.round("diff", 12))).cast("int")).alias("p"))
+    return means.join(F.broadcast(seen)).agg(F.first("diff").alias("diff"), F.avg((F.abs(F.round("gap", 12)) >= F.abs(F.round("diff", 12))).cast("int")).alias("p"))
 
 
 def average_rank(order: Column, partition: list[str]) -> Column:

@@ -29,7 +29,7 @@ def implicit(df: DataFrame, least: float = 4.0) -> DataFrame:
 def keep_first(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The first row of each (user, item) in a total order."""
     w = W.partitionBy("user_id", "item_id").orderBy(*(order or ORDER))
-    return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    return df.withColumn("stagewise_nth", F.row_number().over(w)).where("stagewise_nth = 1").drop("stagewise_nth")
 
 
 def _at_least(df: DataFrame, key: str, least: int) -> DataFrame:
@@ -130,11 +130,10 @@ def disjoint_pools(history: DataFrame, truth: DataFrame, n_eval: int, n_train: i
 
 
 def half_split(users: DataFrame, least: int = 50, seed: int = 42) -> DataFrame:
-    """user_id and half: the first max(least, n div 2) of the hash order are "a"."""
+    """user_id and half: the first max(least, n div 2) of the hash order are "a". Users are numbered by sorted ranges."""
     n = users.agg(F.count("*").alias("total"))
-    rank = F.row_number().over(W.orderBy(hash32("user_id", seed), "user_id"))
-    ranked = users.select("user_id", rank.alias("at")).join(F.broadcast(n))
-    return ranked.select("user_id", F.when(F.col("at") <= F.greatest(F.lit(least), F.floor(F.col("total") / 2)), "a").otherwise("b").alias("half"))
+    ranked = dense_ids(users.select(F.struct(hash32("user_id", seed).alias("h"), "user_id").alias("key")), "key").join(F.broadcast(n))
+    return ranked.select(F.col("raw_id.user_id").alias("user_id"), F.when(F.col("dense_id") < F.greatest(F.lit(least), F.floor(F.col("total") / 2)), "a").otherwise("b").alias("half"))
 
 
 def catalog_side(train: DataFrame, truth: DataFrame) -> DataFrame:

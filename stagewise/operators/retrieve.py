@@ -11,6 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stagewise.functions.arith import pair_hash32
+from stagewise.operators.prepare import dense_ids
+
+#: Exclusions up to which a user's popular items come from the array sent to every task.
+SHORT = 1000
+#: Group vectors up to which they are sent to every task.
+SENT_GROUPS = 4096
 
 
 def top_k(scored: DataFrame, k: int | Column, by: str = "score") -> DataFrame:
@@ -27,18 +33,31 @@ def unseen(scored: DataFrame, exclude: DataFrame) -> DataFrame:
 def popularity(train: DataFrame, k: int = 100, exclude: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
     """Most frequent items that the user hasn't met; score is count / largest count.
 
-    Only the first k + (longest exclusion) items can be needed. They travel as one array,
-    from which each user's own items are taken away: no cross product is sorted.
+    A user with m excluded items needs the first k + m items only, whatever others need.
+    Users with up to ``SHORT`` exclusions get them from one small array, of which their own
+    items are taken away; longer ones meet the ranked items row by row. So what is sent to
+    every task doesn't grow with the longest history.
     """
     exclude = train if exclude is None else exclude
     own = exclude.groupBy("user_id").agg(F.collect_set("item_id").alias("own"))
     if users is not None:
         own = users.select("user_id").join(own, "user_id", "left").select("user_id", F.coalesce("own", F.array().cast("array<bigint>")).alias("own"))
-    longest = exclude.groupBy("user_id").agg(F.count_distinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    head = train.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(k + longest)
+    counts = train.groupBy("item_id").agg(F.count("*").alias("n"))
+    head = counts.orderBy(F.desc("n"), "item_id").limit(k + SHORT)
     head = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "item_id"))).alias("head"))
-    rows = own.join(F.broadcast(head)).select("user_id", F.element_at("head", 1)["minus"].alias("most"), F.posexplode(F.slice(F.filter("head", lambda x: ~F.array_contains(F.col("own"), x["item_id"])), 1, k)).alias("at", "x"))
-    return rows.select("user_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.item_id").alias("item_id"), (F.col("x.minus") / F.col("most")).alias("score"))
+    head = F.broadcast(head.select(F.transform("head", lambda x: x["item_id"]).alias("items"), F.transform("head", lambda x: x["minus"]).alias("minus")))
+    kept = F.slice(F.array_except(F.slice("items", F.lit(1), F.size("own") + k), F.col("own")), 1, k)
+    few = own.where(F.size("own") <= SHORT).join(head).select("user_id", F.posexplode(kept).alias("at", "item_id"), "items", "minus")
+    few = few.select("user_id", (F.col("at") + 1).cast("int").alias("rank"), "item_id", (F.element_at("minus", F.array_position("items", F.col("item_id")).cast("int")) / F.col("minus")[0]).alias("score"))
+    long = own.where(F.size("own") > SHORT)
+    if long.isEmpty():
+        return few
+    most = counts.agg(F.max("n").alias("most"))
+    ranked = dense_ids(counts.select(F.struct((-F.col("n")).alias("minus"), "item_id").alias("key")), "key")
+    places = long.select("user_id", "own", F.explode(F.sequence(F.lit(0), F.size("own") + (k - 1))).cast("long").alias("dense_id"))
+    left = places.join(ranked, "dense_id").where(~F.array_contains("own", F.col("raw_id.item_id"))).join(F.broadcast(most))
+    many = top_k(left.select("user_id", F.col("raw_id.item_id").alias("item_id"), (-F.col("raw_id.minus") / F.col("most")).alias("score")), k)
+    return few.unionByName(many)
 
 
 def random_items(train: DataFrame, k: int = 100, seed: int = 42, users: DataFrame | None = None) -> DataFrame:
@@ -89,9 +108,11 @@ def cooccurrence(train: DataFrame, order: list[str], window: int = 10) -> DataFr
     """i, j, share of i's neighbours within ``window`` positions of the same history."""
     w = W.partitionBy("user_id").orderBy(*order)
     rows = train.withColumn("pos", F.row_number().over(w)).select("user_id", "item_id", "pos")
-    a, b = rows.select("user_id", F.col("item_id").alias("i"), F.col("pos").alias("pi")), rows.select("user_id", F.col("item_id").alias("j"), F.col("pos").alias("pj"))
-    near = a.join(b, "user_id").where((F.abs(F.col("pi") - F.col("pj")) <= window) & (F.col("pi") != F.col("pj")) & (F.col("i") != F.col("j")))
-    counts = near.groupBy("i", "j").agg(F.count("*").alias("c"))
+    # the positions that meet are listed, not all pairs of a history compared
+    ahead = rows.select("user_id", F.col("item_id").alias("i"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + window)).alias("pos"))
+    near = ahead.join(rows.select("user_id", "pos", F.col("item_id").alias("j")), ["user_id", "pos"]).where("i <> j")
+    once = near.select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("x"))
+    counts = once.groupBy("x.i", "x.j").agg(F.count("*").alias("c"))
     return counts.select("i", "j", (F.col("c") / F.sum("c").over(W.partitionBy("i"))).alias("sim"))
 
 
@@ -163,7 +184,8 @@ def dense(vectors: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
     mean = parts.groupBy("user_id", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("m"))
     mean = mean.select("user_id", F.transform("m", lambda x: x / F.sqrt(dot(F.col("m"), F.col("m")))).alias("m"))
-    scored = vectors.crossJoin(F.broadcast(mean)).select("user_id", "item_id", F.round(dot(F.col("m"), F.col("vector")), 9).alias("score"))
+    # vectors meet every group; groups are sent to the vectors only while they are few
+    scored = vectors.crossJoin(F.broadcast(mean) if mean.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS else mean).select("user_id", "item_id", F.round(dot(F.col("m"), F.col("vector")), 9).alias("score"))
     return top_k(unseen(scored, groups), k)
 
 

@@ -77,11 +77,6 @@ class Frames:
     def item_text(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
 
-    @cached_property
-    def sample(self) -> DataFrame:
-        """200 users of the training frame, by hash."""
-        return prepare.draw_users(self.train.select("user_id").distinct(), 200)
-
     @cached_property
     def replies(self) -> DataFrame:
         """user_id, reply: strings in place of model replies, by arithmetic, with the faults replies have."""
@@ -163,7 +158,6 @@ CTES = {
     "mcand": _popularity("mtrain"),
     "mu": "SELECT * FROM mu_raw -- idcg",
     "item_text": "SELECT p_partkey AS item_id, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part",
-    "sample": f"SELECT user_id FROM (SELECT DISTINCT user_id FROM train) ORDER BY {hash_sql('user_id')}, user_id LIMIT 200",
     "reply_numbers": "SELECT user_id, list_transform(range(0, 14), lambda i: CAST((user_id * 5 + i * ((user_id * 7) % 11 + 1)) % 34 + 1 AS VARCHAR)) AS x FROM (SELECT DISTINCT user_id FROM train)",
     "replies": "SELECT user_id, CASE user_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'I can''t rank these.' WHEN 2 THEN '<think>1 2 3</think>' || array_to_string(x, ', ') WHEN 3 THEN array_to_string(x[1:2], ',') WHEN 4 THEN array_to_string(list_transform(x, lambda i: i || '. pick'), chr(10)) ELSE array_to_string(x, ',') END AS reply FROM reply_numbers",
     "named": "SELECT user_id, n, list_distinct_ordered AS order_ FROM (SELECT r.user_id, w.n, list_filter(list_transform(list_filter(regexp_extract_all(regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g'), '[0-9]+'), lambda s: length(s) <= 9), lambda s: CAST(s AS INTEGER) - 1), lambda v: v >= 0 AND v < w.n) AS list_distinct_ordered FROM replies r JOIN (SELECT user_id, count(*) AS n FROM cand WHERE rank <= 30 GROUP BY user_id) w USING (user_id))",

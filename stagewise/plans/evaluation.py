@@ -246,7 +246,7 @@ def _(f: Frames):
 
 
 @query("llm_two_stage", f"""
-SELECT status, count(*) AS users, round(avg(ndcg_10), 6) AS ndcg FROM (SELECT user_id, ndcg_10 FROM ({_metrics('placed', 'truth', (10,)).replace('FROM placed c', 'FROM (SELECT c.user_id, coalesce(p.new_place + 1, c.rank) AS rank, c.item_id FROM cand c LEFT JOIN places p USING (user_id, item_id)) c')})) JOIN (SELECT user_id, CASE WHEN reply = '' OR reply LIKE 'I can%' THEN 'none' ELSE 'some' END AS status FROM replies) USING (user_id) GROUP BY status""")
+SELECT status, count(*) AS users, round(avg(ndcg_10), 6) AS ndcg FROM (SELECT user_id, ndcg_10 FROM ({_metrics('placed', 'truth', (10,)).replace('FROM placed c', 'FROM (SELECT c.user_id, coalesce(p.new_place + 1, c.rank) AS rank, c.item_id FROM cand c LEFT JOIN places p USING (user_id, item_id)) c')})) JOIN (SELECT user_id, CASE WHEN len(order_) > 0 THEN 'some' ELSE 'none' END AS status FROM named) USING (user_id) GROUP BY status""")
 def _(f: Frames):
     n = f.cand.where("rank <= 30").groupBy("user_id").agg(F.count("*").alias("n"))
     orders = f.replies.join(n, "user_id").select("user_id", replies.positions(F.col("reply"), F.col("n")).alias("order"))

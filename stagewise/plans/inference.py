@@ -8,7 +8,7 @@ from stagewise.plans.base import F, Frames, hash_sql, query, rounded
 _N = "(SELECT count(*) FROM two_arms)"
 
 
-def _means(value: str, draws: int = 200) -> str:
+def _means(value: str, draws: int = 1000) -> str:
     return f"SELECT i // {_N} AS draw, avg({value}) AS mean FROM (SELECT i, {hash_sql('i', 7)} % {_N} AS pl FROM range(0, {draws} * {_N}) r(i)) JOIN (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS pl FROM two_arms) USING (pl) GROUP BY 1"
 
 
@@ -22,7 +22,7 @@ def _(f: Frames):
     return rounded(stats.bootstrap_difference(f.two_arms, "a", "b"))
 
 
-@query("permutation_test", f"SELECT round(any_value(d), 6) AS diff, round(avg(CASE WHEN abs(round(mean, 12)) >= abs(round(d, 12)) THEN 1 ELSE 0 END), 6) AS p FROM (SELECT g, avg((a - b) * CASE WHEN {hash_sql('user_id * 10007 + g', 7)} % 65536 < 32768 THEN -1 ELSE 1 END) AS mean FROM two_arms, range(0, 200) r(g) GROUP BY g), (SELECT avg(a - b) AS d FROM two_arms)")
+@query("permutation_test", f"SELECT round(any_value(d), 6) AS diff, round(avg(CASE WHEN abs(round(mean, 12)) >= abs(round(d, 12)) THEN 1 ELSE 0 END), 6) AS p FROM (SELECT g, avg(v) FILTER ({hash_sql('((key * 10007 + g * 7919) % 2000000011)', 7)} % 65536 < 32768) - avg(v) FILTER ({hash_sql('((key * 10007 + g * 7919) % 2000000011)', 7)} % 65536 >= 32768) AS mean FROM (SELECT user_id * 2 AS key, a AS v FROM two_arms UNION ALL SELECT user_id * 2 + 1, b FROM two_arms), range(0, 1000) r(g) GROUP BY g), (SELECT avg(a - b) AS d FROM two_arms)")
 def _(f: Frames):
     return rounded(stats.permutation_test(f.two_arms, "a", "b"))
 

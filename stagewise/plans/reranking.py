@@ -101,16 +101,14 @@ def _(f: Frames):
 
 @query("ltr_vector_features", """
 SELECT * FROM (WITH v AS (SELECT vec_id AS item_id, embedding FROM embeddings),
-h AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train WHERE user_id IN (SELECT user_id FROM sample)),
+h AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train),
 p AS (SELECT user_id, d, avg(CAST(embedding[d] AS DOUBLE)) AS u, coalesce(avg(CAST(embedding[d] AS DOUBLE)) FILTER (back <= 10), 0) AS l FROM h JOIN v USING (item_id), range(1, 65) r(d) GROUP BY user_id, d),
-c AS (SELECT user_id, item_id FROM cand WHERE rank <= 30 AND user_id IN (SELECT user_id FROM sample))
+c AS (SELECT user_id, item_id FROM cand WHERE rank <= 30)
 SELECT c.user_id, c.item_id, round(sum(p.u * CAST(embedding[p.d] AS DOUBLE)) / sqrt(sum(p.u * p.u)) / sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_cos, round(sum(p.l * CAST(embedding[p.d] AS DOUBLE)), 6) AS f_late, round(sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_norm
 FROM c JOIN v USING (item_id) JOIN p ON p.user_id = c.user_id GROUP BY c.user_id, c.item_id)""")
 def _(f: Frames):
     vectors = f.table("embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    own = _w(f).join(f.sample, "user_id", "left_semi")
-    history = split.history_tail(f.train.join(f.sample, "user_id", "left_semi"), 10**6)
-    return rounded(rerank.vector_features(own, history, vectors))
+    return rounded(rerank.vector_features(_w(f), split.history_tail(f.train, 10**6), vectors))
 
 
 _GROUPS = "SELECT c.user_id, c.rank, c.item_id, CASE WHEN c.item_id = l.item_id THEN 1 ELSE 0 END AS label, count(*) OVER (PARTITION BY c.user_id) AS group_size FROM mcand c JOIN (SELECT user_id, min(item_id) AS item_id FROM mtruth GROUP BY user_id) l USING (user_id)"

@@ -19,42 +19,42 @@ def _(f: Frames):
     return rounded(f.cand)
 
 
-@query("random_topk", _ranked(f"SELECT * FROM (SELECT u.user_id, i.item_id, {pair_hash_sql(42, 'u.user_id', 'i.item_id')} / 4294967296.0 AS score FROM sample u, (SELECT DISTINCT item_id FROM train) i) s WHERE {_UNSEEN}", 20))
+@query("random_topk", _ranked(f"SELECT * FROM (SELECT u.user_id, i.item_id, {pair_hash_sql(42, 'u.user_id', 'i.item_id')} / 4294967296.0 AS score FROM (SELECT DISTINCT user_id FROM train) u, (SELECT DISTINCT item_id FROM train) i) s WHERE {_UNSEEN}", 20))
 def _(f: Frames):
-    return rounded(retrieve.random_items(f.train, 20, users=f.sample))
+    return rounded(retrieve.random_items(f.train, 20))
 
 
 _SIM = "sim AS (SELECT a.item_id AS i, b.item_id AS j, count(*) / sqrt(any_value(x.n) * any_value(y.n)) AS sim FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id <> b.item_id JOIN pop x ON x.item_id = a.item_id JOIN pop y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id)"
-_KNN = "SELECT s.* FROM (SELECT t.user_id, s.j AS item_id, round(sum(s.sim), 9) AS score FROM train t JOIN {sim} s ON s.i = t.item_id WHERE t.user_id IN (SELECT user_id FROM sample) GROUP BY t.user_id, s.j) s WHERE " + _UNSEEN
+_KNN = "SELECT s.* FROM (SELECT t.user_id, s.j AS item_id, round(sum(s.sim), 9) AS score FROM train t JOIN {sim} s ON s.i = t.item_id GROUP BY t.user_id, s.j) s WHERE " + _UNSEEN
 
 
 @query("itemknn_full", f"SELECT * FROM (WITH {_SIM} {_ranked(_KNN.format(sim='sim'), 20)})")
 def _(f: Frames):
-    return rounded(retrieve.item_knn(f.train, 20, users=f.sample))
+    return rounded(retrieve.item_knn(f.train, 20))
 
 
 @query("itemknn_top50", f"SELECT * FROM (WITH {_SIM}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS nth FROM sim) WHERE nth <= 50) {_ranked(_KNN.format(sim='near'), 20)})")
 def _(f: Frames):
-    return rounded(retrieve.item_knn(f.train, 20, neighbours=50, users=f.sample))
+    return rounded(retrieve.item_knn(f.train, 20, neighbours=50))
 
 
 @query("itemknn_profile", f"""
 SELECT * FROM (WITH unit AS (SELECT t.user_id, t.item_id, 1 / sqrt(p.n) AS w FROM train t JOIN pop p USING (item_id)),
-profile AS (SELECT t.user_id AS who, u.user_id, sum(u.w) AS p FROM train t JOIN unit u USING (item_id) WHERE t.user_id IN (SELECT user_id FROM sample) GROUP BY t.user_id, u.user_id),
+profile AS (SELECT t.user_id AS who, u.user_id, sum(u.w) AS p FROM train t JOIN unit u USING (item_id) GROUP BY t.user_id, u.user_id),
 size AS (SELECT who, sqrt(sum(p * p)) AS length FROM profile GROUP BY who),
 dots AS (SELECT who, item_id, sum(p * w) AS dot FROM profile JOIN unit USING (user_id) GROUP BY who, item_id)
 {_ranked(f"SELECT * FROM (SELECT d.who AS user_id, d.item_id, round(d.dot / z.length, 9) AS score FROM dots d JOIN size z USING (who)) s WHERE {_UNSEEN}", 20)})""")
 def _(f: Frames):
-    return rounded(retrieve.profile_knn(f.train, 20, users=f.sample))
+    return rounded(retrieve.profile_knn(f.train, 20))
 
 
 @query("cooc_window", f"""
 SELECT * FROM (WITH pos AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, k1, k2, item_id, k3) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train),
 c AS (SELECT a.item_id AS i, b.item_id AS j, count(*) AS c FROM pos a JOIN pos b ON a.user_id = b.user_id AND abs(a.p - b.p) <= 10 AND a.p <> b.p AND a.item_id <> b.item_id GROUP BY a.item_id, b.item_id),
 s2 AS (SELECT i, j, c / sum(c) OVER (PARTITION BY i) AS sim FROM c)
-{_ranked(f"SELECT * FROM (SELECT o.user_id, x.j AS item_id, round(sum(x.sim), 9) AS score FROM pos o JOIN s2 x ON x.i = o.item_id WHERE o.back <= 20 AND o.user_id IN (SELECT user_id FROM sample) GROUP BY o.user_id, x.j) s WHERE {_UNSEEN}", 20)})""")
+{_ranked(f"SELECT * FROM (SELECT o.user_id, x.j AS item_id, round(sum(x.sim), 9) AS score FROM pos o JOIN s2 x ON x.i = o.item_id WHERE o.back <= 20 GROUP BY o.user_id, x.j) s WHERE {_UNSEEN}", 20)})""")
 def _(f: Frames):
-    return rounded(retrieve.cooccurrence_recall(f.train, ORDER, 20, users=f.sample))
+    return rounded(retrieve.cooccurrence_recall(f.train, ORDER, 20))
 
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -66,12 +66,13 @@ len AS (SELECT item_id, len(w) AS dl FROM words), st AS (SELECT count(*) AS n, a
 tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(w) AS term FROM words) GROUP BY item_id, term),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, st GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-q AS (SELECT p_partkey AS query_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_name || ' ' || p_type), '[a-z0-9]+')) AS term FROM part WHERE p_size = 1),
+q AS (SELECT p_partkey AS query_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_name || ' ' || p_type), '[a-z0-9]+')) AS term FROM part WHERE p_partkey % 50 = 0),
 qt AS (SELECT query_id, term, count(*) AS q FROM q GROUP BY query_id, term)
 SELECT query_id, item_id, round(sum(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
 FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN len USING (item_id), st GROUP BY query_id, item_id)""")
 def _(f: Frames):
-    asked = f.table("part").where("p_size = 1").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_name", "p_type").alias("text"))
+    # the stated query set of searches: ids divisible by 50, against all items
+    asked = f.table("part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_name", "p_type").alias("text"))
     return rounded(retrieve.bm25(f.item_text, asked))
 
 
@@ -83,32 +84,29 @@ v AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS
 h AS (SELECT user_id, count(*) AS n FROM train GROUP BY user_id),
 profile AS (SELECT t.user_id, v.term, sum(v.weight) / any_value(h.n) AS p FROM train t JOIN v USING (item_id) JOIN h USING (user_id) GROUP BY t.user_id, v.term),
 size AS (SELECT user_id, sqrt(sum(p * p)) AS length FROM profile GROUP BY user_id),
-own AS (SELECT * FROM cand WHERE user_id IN (SELECT user_id FROM sample)),
-d AS (SELECT c.user_id, c.item_id, sum(v.weight * p.p) AS dot FROM own c JOIN v USING (item_id) JOIN profile p ON p.user_id = c.user_id AND p.term = v.term GROUP BY c.user_id, c.item_id)
-{_ranked("SELECT c.user_id, c.item_id, round(0.7 * c.score + 0.3 * coalesce(d.dot / nullif(z.length, 0), 0), 9) AS score FROM own c LEFT JOIN d USING (user_id, item_id) LEFT JOIN size z USING (user_id)", 20)})""")
+d AS (SELECT c.user_id, c.item_id, sum(v.weight * p.p) AS dot FROM cand c JOIN v USING (item_id) JOIN profile p ON p.user_id = c.user_id AND p.term = v.term GROUP BY c.user_id, c.item_id)
+{_ranked("SELECT c.user_id, c.item_id, round(0.7 * c.score + 0.3 * coalesce(d.dot / nullif(z.length, 0), 0), 9) AS score FROM cand c LEFT JOIN d USING (user_id, item_id) LEFT JOIN size z USING (user_id)", 20)})""")
 def _(f: Frames):
-    own = f.cand.join(f.sample, "user_id", "left_semi")
-    history = f.train.join(f.sample, "user_id", "left_semi")
-    return rounded(retrieve.text_blend(own, history, retrieve.tf_idf(f.item_text), 20))
+    return rounded(retrieve.text_blend(f.cand, f.train, retrieve.tf_idf(f.item_text), 20))
 
 
 @query("dense_docs", """
-SELECT * FROM (WITH g AS (SELECT label AS user_id, vec_id AS item_id FROM embeddings WHERE vec_id % 5 = 0),
+SELECT * FROM (WITH g AS (SELECT label AS user_id, vec_id AS item_id FROM embeddings),
 parts AS (SELECT g.user_id, i AS d, avg(CAST(e.embedding[i] AS DOUBLE)) AS x FROM g JOIN embeddings e ON e.vec_id = g.item_id, range(1, 65) r(i) GROUP BY g.user_id, i),
 norm AS (SELECT user_id, d, x / sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS x FROM parts),
 s AS (SELECT n.user_id, e.vec_id AS item_id, round(sum(n.x * CAST(e.embedding[n.d] AS DOUBLE)), 9) AS score FROM norm n, embeddings e GROUP BY n.user_id, e.vec_id)
-SELECT user_id, rank, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s WHERE item_id % 5 <> 0 OR (user_id, item_id) NOT IN (SELECT user_id, item_id FROM g)) WHERE rank <= 10)""")
+SELECT user_id, rank, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM g)) WHERE rank <= 10)""")
 def _(f: Frames):
     e = f.table("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("user_id"))
-    return rounded(retrieve.dense(e.select("item_id", "vector"), e.where("item_id % 5 = 0").select("user_id", "item_id"), 10))
+    return rounded(retrieve.dense(e.select("item_id", "vector"), e.select("user_id", "item_id"), 10))
 
 
 @query("multi_interest_scores", """
-SELECT * FROM (WITH s AS (SELECT u.label AS user_id, i.vec_id AS item_id, max(round((SELECT sum(CAST(u.embedding[d] AS DOUBLE) * CAST(i.embedding[d] AS DOUBLE)) FROM range(1, 65) r(d)), 9)) AS score FROM embeddings u, embeddings i WHERE u.vec_id < 30 GROUP BY u.label, i.vec_id)
+SELECT * FROM (WITH s AS (SELECT u.label AS user_id, i.vec_id AS item_id, max(round((SELECT sum(CAST(u.embedding[d] AS DOUBLE) * CAST(i.embedding[d] AS DOUBLE)) FROM range(1, 65) r(d)), 9)) AS score FROM embeddings u, embeddings i GROUP BY u.label, i.vec_id)
 SELECT user_id, rank, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10)""")
 def _(f: Frames):
     e = f.table("embeddings")
-    interests = e.where("vec_id < 30").select(F.col("label").cast("long").alias("user_id"), F.col("embedding").alias("interest"))
+    interests = e.select(F.col("label").cast("long").alias("user_id"), F.col("embedding").alias("interest"))
     return rounded(retrieve.from_interests(interests, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10))
 
 

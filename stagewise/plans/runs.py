@@ -39,9 +39,10 @@ def _(f: Frames):
     return runs.report(rows, ["event_type"]).select("event_type", F.get_json_object("report", "$.n").cast("long").alias("n"))
 
 
-@query("id_collisions", "SELECT 0 AS as_number, 0 AS n WHERE false")
+@query("id_collisions", "SELECT CAST(s AS BIGINT) AS as_number, count(*) AS n FROM (SELECT DISTINCT CASE WHEN event_id % 4 = 0 AND user_id % 3 = 0 THEN '0' || user_id ELSE CAST(user_id AS VARCHAR) END AS s FROM events) GROUP BY 1 HAVING count(*) > 1")
 def _(f: Frames):
-    return runs.id_collisions(f.table("events"))
+    spelt = F.when((F.col("event_id") % 4 == 0) & (F.col("user_id") % 3 == 0), F.concat(F.lit("0"), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string"))
+    return runs.id_collisions(f.table("events").select(spelt.alias("user_id")))
 
 
 @query("news_scan", "SELECT 'N' || p_partkey AS news_id, p_brand AS category, p_type AS subcategory, p_name AS title, 'size ' || p_size AS abstract, p_name || '. size ' || p_size AS text FROM part WHERE p_partkey % 4 > 0")

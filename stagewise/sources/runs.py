@@ -11,9 +11,8 @@ from stagewise import schema as S
 
 def last_record(records: DataFrame, arrival: str, key: str = "user_id") -> DataFrame:
     """The last record per key in order of arrival; ids compare as text."""
-    w = W.partitionBy("run_key").orderBy(F.desc(arrival))
-    rows = records.withColumn("run_key", F.col(key).cast("string")).withColumn("nth", F.row_number().over(w))
-    return rows.where("nth = 1").drop("nth", "run_key")
+    w = W.partitionBy(F.col(key).cast("string")).orderBy(F.desc(arrival))
+    return records.withColumn("stagewise_nth", F.row_number().over(w)).where("stagewise_nth = 1").drop("stagewise_nth")
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
