@@ -8,9 +8,9 @@ parts that are still dense keep the links to the region's smallest document and
 next neighbours in order. Set sizes and a 128-bit sketch drop candidates far below the
 similarity.
 
-Dense regions lose no pair and never list all their pairs. Up to three central documents
-of the region's largest component are its hubs: every member is compared with them. Let
-M be the shingles that most hubs have, q = p / (1 + p) for a similarity p, and x be a
+Dense regions lose no pair and never list all their pairs. Up to ``HUBS`` central documents
+are a region's references, and those of its largest component its hubs: every member is
+compared with them. Let M be the shingles that most references have, q = p / (1 + p) for a similarity p, and x be a
 document linked with no hub. x & y must hold q(|x| + |y|) shingles, so a link of x and y
 needs one of three things:
 
@@ -20,9 +20,9 @@ needs one of three things:
   y one is missing in x as well;
 * or y misses fewer than B of M. Then x reaches the similarity with M.
 
-So each document gives the region's index a prefix, in the order of hashes, of its
-shingles outside M (long enough that two documents that need k in common share one) and
-of its missing ones; only pairs of different components that meet there are candidates.
+So each document gives the region's index a prefix of its shingles outside M, those rarest
+among the references first (long enough that two documents that need k in common share
+one), and one of its missing ones; only pairs of different components that meet there are candidates.
 Entries that many documents give are regions of their own and are treated alike.
 
 Equal sets are one class, so copies never form pairs. Candidates are confirmed on the
@@ -55,8 +55,10 @@ SKETCH_BITS = 30
 #: Members compared with one document by one task.
 STAR = 64
 #: Pairs up to which a shingle of a hub's index is paired at once, and rounds after which longer ones are too.
-LISTED, HUB_ROUNDS, HUBS = 4096, 4, 3
+LISTED, HUB_ROUNDS, HUBS = 1 << 16, 2, 16
 ONE = np.ones(1, np.int64)
+#: Sides of rows that meet in a task: references of the largest component, others, and those compared with them.
+HUB_SIDE, OTHER_SIDE, MEMBER_SIDE = 0, 1, 2
 #: Bits of the filter that keeps texts in no pair from being sent anywhere: a fixed size.
 FILTER_BITS = 26
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
@@ -280,25 +282,23 @@ def _rooted(rows: DataFrame, labels: DataFrame, doc: str = "doc", root: str = "r
     return rows.join(own, F.col(doc) == F.col("stagewise_node"), "left").drop("stagewise_node").withColumn(root, F.coalesce(root, doc))
 
 
-def hub_members(regions: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a, b: the members b of all regions (tree, near, doc) that hold more than one component, by the regions'
-    largest component a; and a, doc: the hubs of each a.
+def hub_members(regions: DataFrame, labels: DataFrame, merged: bool) -> tuple[DataFrame, DataFrame]:
+    """a, b: the members b of all regions (tree, near, doc) that hold more than one component, by group a; and
+    a, top, doc, hub: each group's largest component and its references; hubs are those of that component.
 
-    Hubs are the members of a that stand in the most and largest regions, which are those most like the others.
+    A group is a region, or with ``merged`` all regions of one largest component. References
+    are members that stand in the most and largest regions, which are those most like the
+    others; of the component, where it has any in a part of the group.
     """
     rows = _rooted(regions.select("tree", "near", "doc"), labels)
     counts = rows.groupBy("tree", "near", "root").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("tree", "near").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("roots")).where("roots > 1")
-    rows = stored(rows.join(mixed.select("tree", "near", "size", F.col("most.root").alias("a")), ["tree", "near"]), "mixed-regions")
-    standing = rows.where("root = a").groupBy("a", "doc").agg(F.sum("size").alias("weight"))
-    # the HUBS heaviest as one aggregate, so that a component of any size is summed map-side
-    best = [F.max(F.struct("weight", "doc")).alias("h0")]
-    hubs, left = None, standing
-    for _ in range(HUBS):
-        top = left.groupBy("a").agg(*best).select("a", F.col("h0.doc").alias("doc"))
-        hubs = top if hubs is None else hubs.unionAll(top)
-        left = left.join(top, ["a", "doc"], "left_anti")
-    hubs = stored(hubs, "hubs")
+    rows = rows.join(mixed.select("tree", "near", "size", F.col("most.root").alias("top")), ["tree", "near"])
+    rows = stored(rows.withColumn("a", F.col("top") if merged else F.xxhash64("tree", "near")), "mixed-regions")
+    standing = rows.groupBy("a", "top", "doc").agg(F.sum("size").alias("weight"), F.max(F.col("root") == F.col("top")).alias("hub"))
+    # the heaviest of each of HUBS parts: sums and maxima only, so a component of any size is no group in one task
+    part = F.pmod(F.xxhash64("doc"), F.lit(HUBS)).alias("part")
+    hubs = stored(standing.groupBy("a", "top", part).agg(F.max(F.struct("hub", "weight", "doc")).alias("best")).select("a", "top", "best.doc", "best.hub"), "hubs")
     members = stored(rows.select("a", F.col("doc").alias("b")).distinct().join(hubs.select("a", F.col("doc").alias("b")), ["a", "b"], "left_anti"), "hub-pairs")
     discard(rows)
     return members, hubs
@@ -315,7 +315,15 @@ def middle(hubs: list[np.ndarray]) -> np.ndarray:
     return values[2 * n > len(hubs)]
 
 
-def index_entries(s: np.ndarray, hubs: list[np.ndarray], mid: np.ndarray, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+def rarest(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """In the order of how many references have them, then of hashes: the same order in every task."""
+    if not len(shingles) or not len(known):
+        return shingles
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return shingles[np.argsort(np.where(known[at] == shingles, counts[at], 0), kind="stable")]
+
+
+def index_entries(s: np.ndarray, hubs: list[np.ndarray], mid: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """The first hub that a set is linked with (-1: none), what it shares with the middle, and its entries there.
 
     ``entries`` are those by which it is found: even ones outside the middle, odd ones
@@ -326,7 +334,7 @@ def index_entries(s: np.ndarray, hubs: list[np.ndarray], mid: np.ndarray, percen
     shared = [len(s) - len(np.setdiff1d(s, h, assume_unique=True)) for h in hubs]
     link = next((k for k, h in enumerate(hubs) if 100 * shared[k] >= percent * (len(s) + len(h) - shared[k])), -1)
     need = max(1, -(-percent * len(s) // 100) - common)
-    rest = (rest[: max(0, len(rest) - need + 1)] & ~np.uint64(1)).view(np.int64)
+    rest = (rarest(rest, known, counts)[: max(0, len(rest) - need + 1)] & ~np.uint64(1)).view(np.int64)
     missing = (missing | np.uint64(1)).view(np.int64)
     # in units of 1 / (100 + percent)
     bound = min(percent * (len(h) - len(s)) + (100 + percent) * len(np.setdiff1d(mid, h, assume_unique=True)) for h in hubs)
@@ -348,11 +356,15 @@ def against_hubs(docs: DataFrame, members: DataFrame, hubs: DataFrame, words: in
             out = []
             for main, doc, s, heads in found:
                 if here is not heads:
-                    # the same order in every task; a hub of several texts counts by one of them
-                    here, ranked = heads, sorted({h: t for h, t in sorted(heads, key=lambda x: (len(x[1]), x[1].tobytes()))}.items(), key=lambda x: x[0])
-                    ids, sets = [h for h, _ in ranked], [t for _, t in ranked]
-                    mid = middle(sets)
-                link, common, entries, asked = index_entries(s, sets, mid, percent)
+                    # the same order in every task; a reference of several texts counts by one of them
+                    here = heads
+                    one = {(i, side): t for (i, side), t in sorted(heads, key=lambda x: (len(x[1]), x[1].tobytes()))}
+                    ids = sorted(i for i, side in one if side == HUB_SIDE)
+                    sets = [one[i, HUB_SIDE] for i in ids]
+                    every = [one[k] for k in sorted(one)]
+                    known, counts = np.unique(np.concatenate(every), return_counts=True)
+                    mid = middle(every)
+                link, common, entries, asked = index_entries(s, sets, mid, known, counts, percent)
                 out.append((main, doc, ids[link] if link >= 0 else None, len(s), common, entries, asked))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -360,30 +372,32 @@ def against_hubs(docs: DataFrame, members: DataFrame, hubs: DataFrame, words: in
     return rows.mapInArrow(run, MET)
 
 
-def open_pairs(met: DataFrame, labels: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+def open_pairs(met: DataFrame, hubs: DataFrame, labels: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """Candidates a < b of different components that meet in an index, and (tree, near, doc) of its long lists.
 
     One of a pair is linked with no hub. With ``last`` long lists are paired too.
     """
-    rows = _rooted(_rooted(met, labels), labels, "main", "top").withColumn("open", F.col("hub").isNull() & (F.col("root") != F.col("top")))
-    some = rows.where("open").select("main").distinct()
-    rows = stored(rows.join(some, "main", "left_semi"), "index-members")
+    linked = F.col("hub").isNotNull()
+    tops = hubs.select(F.col("a").alias("main"), "top").distinct()
+    rows = _rooted(met, labels).join(tops, "main").withColumn("root", F.when(linked, F.col("top")).otherwise(F.col("root")))
     own = ["main", "doc", "root", "n", "common"]
-    ask = rows.where("open").select(*own, F.explode("asked").alias("entry"))
-    give = rows.select(*own, F.explode("entries").alias("entry"))
-    lists = give.groupBy("main", "entry").agg(F.count("*").alias("given"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    asking = ask.groupBy("main", "entry").agg(F.count("*").alias("asked"), F.min("root").alias("lo_"), F.max("root").alias("hi_"))
-    mixed = F.least("lo", "lo_") < F.greatest("hi", "hi_")
-    lists = stored(lists.join(asking, ["main", "entry"]).where(mixed).select("main", "entry", (F.col("given") * F.col("asked") > LISTED).alias("long")), "index-lists")
-    short = lists if last else lists.where("not long")
-    x = ask.join(short.select("main", "entry"), ["main", "entry"])
-    y = give.select("main", "entry", *[F.col(c).alias(f"{c}_") for c in ("doc", "root", "n", "common")])
+    give = rows.select(*own, F.lit(False).alias("asks"), F.explode("entries").alias("entry"))
+    ask = rows.where(~linked & (F.col("root") != F.col("top"))).select(*own, F.lit(True).alias("asks"), F.explode("asked").alias("entry"))
+    entries = stored(give.unionAll(ask), "index-entries")
+    lists = entries.groupBy("main", "entry").agg(F.count(F.when(F.col("asks"), 1)).alias("asking"), F.count(F.when(~F.col("asks"), 1)).alias("giving"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    lists = stored(lists.where("asking > 0 and giving > 0 and lo < hi").select("main", "entry", (F.col("asking") * F.col("giving") > LISTED).alias("long")), "index-lists")
+    kept = entries.join(lists, ["main", "entry"])
+    short = kept if last else kept.where("not long")
+    y = short.where("not asks").select("main", "entry", *[F.col(c).alias(f"{c}_") for c in ("doc", "root", "n", "common")])
     shared = F.least("common", "common_") + F.when(F.col("entry") % 2 == 0, F.least(F.col("n") - F.col("common"), F.col("n_") - F.col("common_"))).otherwise(0)
     enough = (F.col("root") != F.col("root_")) & ((100 + percent) * shared >= percent * (F.col("n") + F.col("n_")))
-    pairs = x.join(y, ["main", "entry"]).where(enough).select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct()
-    many = lists.where("long").select("main", "entry")
-    regions = ask.select("main", "entry", "doc").unionAll(give.select("main", "entry", "doc")).join(many, ["main", "entry"]).select(F.col("main").alias("tree"), F.col("entry").alias("near"), "doc").distinct()
-    return stored(pairs, "open-pairs"), stored(regions, "long-lists")
+    pairs = short.where("asks").join(y, ["main", "entry"]).where(enough).select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b"))
+    if last or lists.where("long").isEmpty():
+        return pairs, lists.where("false")
+    long = stored(kept.where("long").select(F.col("main").alias("tree"), F.col("entry").alias("near"), "doc").distinct(), "long-lists")
+    # lists of the same documents are one region
+    same = long.groupBy("tree", "near").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("docs"))
+    return pairs, long.join(same.groupBy("tree", "n", "docs").agg(F.min("near").alias("near")).select("tree", "near"), ["tree", "near"], "left_semi")
 
 
 def _wanted(pairs: DataFrame) -> np.ndarray:
@@ -412,22 +426,22 @@ def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _met(docs: DataFrame, pairs: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """a, doc, part, side, text: each b sent to the tasks of its a, with the heads (a, doc) of that (side 0): a itself, if not given.
+    """a, doc, part, side, text: each b sent to the tasks of its a, with the heads (a, doc, hub) of that: a itself, if not given.
 
     An a with many pairs has a task, and a copy of its heads, per STAR of them.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
-    members = pairs.join(counts, "a").select(F.col("b").alias("doc"), "a", part, F.lit(1).alias("side"))
-    own = counts.withColumn("doc", F.col("a")) if heads is None else counts.join(heads, "a")
-    own = own.select("doc", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
-    named = pairs.select("a", "b") if heads is None else pairs.select("a", "b").unionAll(heads.select(F.col("doc").alias("a"), F.col("doc").alias("b")))
+    members = pairs.join(counts, "a").select(F.col("b").alias("doc"), "a", part, F.lit(MEMBER_SIDE).alias("side"))
+    own = counts.select("*", F.col("a").alias("doc"), F.lit(True).alias("hub")) if heads is None else counts.join(heads.select("a", "doc", "hub"), "a")
+    own = own.select("doc", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.when(F.col("hub"), HUB_SIDE).otherwise(OTHER_SIDE).alias("side"))
+    named = pairs.select("a", "b") if heads is None else pairs.select(F.col("b").alias("a"), "b").unionAll(heads.select(F.col("doc").alias("a"), F.col("doc").alias("b")))
     # always a merge join: what is moved follows the input alike at every size
     return members.unionAll(own).hint("merge").join(_texts_of(docs, named), "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
 
-def _stars(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, int, np.ndarray, list[tuple[int, np.ndarray]]]]]:
-    """(a, b, set of b, heads and their sets) of the rows of ``_met``, in lists of bounded text."""
+def _stars(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, int, np.ndarray, list[tuple[tuple[int, int], np.ndarray]]]]]:
+    """(a, b, set of b, heads with their sides and sets) of the rows of ``_met``, in lists of bounded text."""
     here, heads = None, []
     for batch in batches:
         data, offsets = utf8(column(batch, "text"))
@@ -437,8 +451,8 @@ def _stars(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple
             for k, s in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), i):
                 if here != (a[k], part[k]):
                     here, heads = (a[k], part[k]), []
-                if side[k] == 0:
-                    heads.append((b[k], s))
+                if side[k] != MEMBER_SIDE:
+                    heads.append(((b[k], side[k]), s))
                 else:
                     out.append((a[k], b[k], s, heads))
             yield out
@@ -461,10 +475,12 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 
 
 def _roots(parent: DataFrame) -> DataFrame:
-    """Follow node -> root until every root is one that follows none."""
+    """Follow node -> root until every root is one that follows none: two steps are looked ahead at a time."""
     while True:
-        up = parent.select(F.col("node").alias("via"), F.col("root").alias("above"))
-        parent = stored(parent.join(up, parent.root == up.via, "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        one = parent.select(F.col("node").alias("via_1"), F.col("root").alias("above_1"))
+        two = parent.select(F.col("node").alias("via_2"), F.col("root").alias("above_2"))
+        far = parent.join(one, F.col("root") == F.col("via_1"), "left").join(two, F.col("above_1") == F.col("via_2"), "left")
+        parent = stored(far.select("node", F.coalesce("above_2", "above_1", "root").alias("root"), F.col("above_2").isNotNull().alias("moved")), "roots")
         if parent.where("moved").isEmpty():
             return parent.select("node", "root")
         parent = parent.select("node", "root")
@@ -500,7 +516,14 @@ def _relabelled(edges: DataFrame, labels: DataFrame, lo: str, hi: str) -> DataFr
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components with more links."""
-    return labels if links.isEmpty() else components(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(links.select("a", "b")))
+    new = _rooted(_rooted(links, labels, "a", "root_a"), labels, "b", "root_b").where("root_a <> root_b")
+    new = stored(new.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "new-links")
+    if new.isEmpty():
+        return labels
+    # components of components, then their members follow
+    above = components(new)
+    moved = labels.join(above.select(F.col("node").alias("via"), F.col("root").alias("up")), F.col("root") == F.col("via"), "left")
+    return stored(moved.select("node", F.coalesce("up", "root").alias("root")).unionAll(above.join(labels.select("node"), "node", "left_anti").select("node", "root")), "labels")
 
 
 def near_duplicates(df: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -517,15 +540,15 @@ def near_duplicates(df: DataFrame, words: int = 4, percent: int = 80) -> DataFra
     labels = components(first.unionAll(shared))
     rest, regions = pairs.where("not first").select("a", "b"), dense
     for round_ in range(HUB_ROUNDS):
-        members, hubs = hub_members(regions, labels)
+        members, hubs = hub_members(regions, labels, round_ == 0)
         met = stored(against_hubs(docs, members, hubs, words, percent), "hub-members")
-        labels = _merged(labels, met.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
-        found, regions = open_pairs(met, labels, percent, round_ == HUB_ROUNDS - 1)
+        found, regions = open_pairs(met, hubs, labels, percent, round_ == HUB_ROUNDS - 1)
         if round_ == 0:
             apart = _rooted(_rooted(rest, labels, "a", "root_a"), labels, "b", "root_b").where("root_a <> root_b")
-            found = stored(found.unionAll(apart.select("a", "b")).distinct(), "open-pairs")
-        if not found.isEmpty():
-            labels = _merged(labels, stored(similar(docs, found, words, percent), "links"))
+            found = found.unionAll(apart.select("a", "b"))
+        found = stored(found.distinct(), "open-pairs")
+        links = met.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+        labels = _merged(labels, stored(similar(docs, found, words, percent).unionAll(links), "links"))
         if regions.isEmpty():
             break
     discard(pairs, dense, heads)

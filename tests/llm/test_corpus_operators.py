@@ -395,9 +395,10 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
 
 def _links_meet(sets, percent=80):
     """Every link of the sets joins two that a hub's index shows: by a hub or by an entry that one asks and the other has."""
-    hubs = sets[:3]
-    mid = near_dedup.middle(hubs)
-    at = [near_dedup.index_entries(x, hubs, mid, percent) for x in sets]
+    hubs = sets[: 1 + len(sets[0]) % 5]
+    references = hubs + sets[20:26]
+    known, counts = np.unique(np.concatenate(references), return_counts=True)
+    at = [near_dedup.index_entries(x, hubs, near_dedup.middle(references), known, counts, percent) for x in sets]
     for i, x in enumerate(sets):
         for j in range(i):
             common = len(np.intersect1d(x, sets[j]))
@@ -436,7 +437,7 @@ def test_dense_regions_equal_brute_force(spark, monkeypatch):
         texts.append(" ".join(chain[k : k + 40]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = _brute_components(enumerate(texts), 4)
-    for listed, rounds in ((4096, 4), (4, 2)):
+    for listed, rounds in ((near_dedup.LISTED, 2), (4, 3)):
         monkeypatch.setattr(near_dedup, "LISTED", listed)
         monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
         got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in _rows(near_dedup.near_duplicates(df))}
