@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from stagewise.llm.common import STEP_BYTES, column, discard, documents_of, mix64, remainder, ship, steps, stored, utf8, word_table
 
 #: Classes at least and at most (powers of two; an eighth by endings), and words with counts and vectors of their own.
-LEAST_CLASSES, MOST_CLASSES, HEAD = 128, 1024, 1 << 18
+LEAST_CLASSES, MOST_CLASSES, HEAD = 128, 512, 1 << 18
 WIDTH, BATCH, NOISE, RATE, ROUNDS = 32, 1024, 128, 0.05, 2
 END = np.uint64(0x5DEECE66D5DEECE6)
 #: Fixed point of averaged parameters: sums of whole numbers don't depend on their order.
