@@ -15,6 +15,7 @@ def hash32(key: Column | str, seed: int = 42) -> Column:
     return F.pmod(key.cast("long") * F.lit(MULTIPLIER) + F.lit(seed), F.lit(MODULUS))
 
 
-def pair_hash32(user: str, item: str, seed: int = 42) -> Column:
+def pair_hash32(user: Column | str, item: Column | str, seed: int = 42) -> Column:
     """Hash of a (user, item) pair."""
-    return hash32(F.pmod(F.col(user) * F.lit(1_000_003) + F.col(item) * F.lit(7919), F.lit(2_000_000_011)), seed)
+    user, item = (F.col(c) if isinstance(c, str) else c for c in (user, item))
+    return hash32(F.pmod(user * F.lit(1_000_003) + item * F.lit(7919), F.lit(2_000_000_011)), seed)

@@ -104,26 +104,66 @@ def cascade(first: DataFrame, second: DataFrame, activity: DataFrame, threshold:
 # interventions -----------------------------------------------------------------------
 
 
+def _mixed(items: Column, seed: int) -> Column:
+    """An array of items in hash order of (user, item)."""
+    keyed = F.array_sort(F.transform(items, lambda x: F.struct(pair_hash32(F.col("user_id"), x, seed).alias("h"), x.alias("x"))))
+    return F.transform(keyed, lambda s: s["x"])
+
+
+def _lists(candidates: DataFrame, k: int) -> DataFrame:
+    """user_id, items: each user's first k candidates as an array."""
+    g = candidates.where(F.col("rank") <= k).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
+    return g.select("user_id", F.transform("l", lambda x: x["item_id"]).alias("items"))
+
+
+def _unrolled(rows: DataFrame, named: dict[str, Column]) -> DataFrame:
+    """arm, user_id, rank, item_id of named arrays: one row per user is unrolled, no list is read twice."""
+    arms_ = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), c.alias("items")) for n, c in named.items()])).alias("a")
+    return rows.select("user_id", arms_).select(F.col("a.arm").alias("arm"), "user_id", F.posexplode("a.items").alias("at", "item_id")).select("arm", "user_id", (F.col("at") + 1).cast("int").alias("rank"), "item_id")
+
+
 def arms(candidates: DataFrame, truth: DataFrame, gold: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """arm, user_id, rank, item_id of five interventions on lists of k.
 
     as_is; drop_hits: hits taken out; gold_last / gold_first: one unretrieved positive put in
     the last / the first place; shuffled. gold: user_id, item_id (at most one per user).
     """
-    flags = flagged(candidates.where(F.col("rank") <= k), truth)
-    plain = candidates.where(F.col("rank") <= k).select("user_id", "rank", "item_id", "score")
-    put = gold.select("user_id", "item_id", F.lit(0.0).alias("score"))
-    size = plain.groupBy("user_id").agg(F.count("*").alias("size"))
-    room = plain.join(put.select("user_id", F.lit(1).alias("has")), "user_id", "left").join(size, "user_id")
-    kept = room.where("has is null or rank < size")
-    last = kept.select("user_id", "rank", "item_id", "score").unionByName(put.join(size, "user_id").select("user_id", F.col("size").cast("int").alias("rank"), "item_id", "score"))
-    first = kept.select("user_id", (F.col("rank") + F.coalesce("has", F.lit(0))).cast("int").alias("rank"), "item_id", "score").unionByName(put.join(size, "user_id").select("user_id", F.lit(1).alias("rank"), "item_id", "score"))
-    named = {"as_is": plain, "drop_hits": by(flags.where("hit = 0"), "rank"), "gold_last": last, "gold_first": first, "shuffled": shuffled(plain, seed)}
-    out = None
-    for name, df in named.items():
-        part = df.select(F.lit(name).alias("arm"), "user_id", "rank", "item_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    hits = truth.groupBy("user_id").agg(F.collect_set("item_id").alias("hits"))
+    rows = _lists(candidates, k).join(hits, "user_id", "left").join(gold.select("user_id", F.col("item_id").alias("gold")), "user_id", "left")
+    items, none = F.col("items"), F.array().cast("array<bigint>")
+    room = F.slice(items, F.lit(1), F.size(items) - 1)
+    put = lambda c: F.when(F.col("gold").isNull(), items).otherwise(c)
+    named = {
+        "as_is": items, "drop_hits": F.filter(items, lambda x: ~F.array_contains(F.coalesce("hits", none), x)),
+        "gold_last": put(F.concat(room, F.array("gold"))), "gold_first": put(F.concat(F.array("gold"), room)), "shuffled": _mixed(items, seed),
+    }
+    return _unrolled(rows, named)
+
+
+def interventions(candidates: DataFrame, truth: DataFrame, history: DataFrame, k: int = 100, window: int = 30, seed: int = 42) -> DataFrame:
+    """arm, user_id, rank, item_id of six interventions, each a list of exactly k.
+
+    R: as retrieved; drop30 / gold30: place ``window`` goes to the item at k + 1, or to a gold
+    item; gold01: the gold item comes first and the window moves down; shuffle: the window in
+    hash order; oracle: the first nine tenths, then positives that weren't retrieved, in hash
+    order. The gold item is drawn by hash from positives that were neither retrieved nor met
+    in training; without one the item at k + 1 stands in. Users with fewer than k + 1
+    candidates or without truth are left out.
+    """
+    gt = truth.groupBy("user_id").agg(F.array_sort(F.collect_set("item_id")).alias("truth"))
+    met = history.groupBy("user_id").agg(F.collect_set("item_id").alias("met"))
+    rows = _lists(candidates, k + 1).where(F.size("items") == k + 1).join(gt, "user_id").join(met, "user_id", "left")
+    rows = rows.select("user_id", F.slice("items", 1, k).alias("base"), F.element_at("items", k + 1).alias("filler"), "truth", F.coalesce("met", F.array().cast("array<bigint>")).alias("met"))
+    rows = rows.withColumn("missed", F.array_except("truth", "base")).withColumn("ins", F.coalesce(F.get(_mixed(F.array_except("missed", "met"), seed + 1), F.lit(0)), F.col("filler")))
+    head, tail = F.slice("base", 1, window - 1), F.slice("base", window + 1, k - window)
+    kept = k - k // 10
+    oracle = F.slice(F.concat(F.slice("base", 1, kept), "missed"), 1, k)
+    oracle = F.slice(F.concat(oracle, F.array_except(F.slice("base", kept + 1, k - kept), oracle)), 1, k)
+    named = {
+        "R": F.col("base"), "drop30": F.concat(head, F.array("filler"), tail), "gold30": F.concat(head, F.array("ins"), tail), "gold01": F.concat(F.array("ins"), head, tail),
+        "shuffle": F.concat(_mixed(F.slice("base", 1, window), seed), tail), "oracle": _mixed(oracle, seed),
+    }
+    return _unrolled(rows, named)
 
 
 def injected(candidates: DataFrame, truth: DataFrame, k: int, keep: int, seed: int = 42) -> DataFrame:
@@ -177,6 +217,44 @@ def vector_features(candidates: DataFrame, history: DataFrame, vectors: DataFram
     return rows.select("user_id", "item_id", (dot(F.col("u"), F.col("vector")) / F.nullif(norm("u") * norm("vector"), F.lit(0.0))).alias("f_cos"), dot(F.col("l"), F.col("vector")).alias("f_late"), norm("vector").alias("f_norm"))
 
 
+def text_features(candidates: DataFrame, history: DataFrame, items: DataFrame, vectors: DataFrame, last: int = 20) -> DataFrame:
+    """user_id, item_id, BM25 of the item for the user's last texts, dot with their mean vector, and both 0-based ranks over the list's length.
+
+    history: user_id, item_id, back (1 is the last); items: item_id, text; vectors: item_id,
+    vector. What has no text or vector scores 0; ties go to the smaller item.
+    """
+    from stagewise.operators.retrieve import bm25, mean_vectors
+
+    recent = history.where(F.col("back") <= last).select("user_id", "item_id")
+    asked = recent.join(items, "item_id").groupBy("user_id").agg(F.array_join(F.collect_list("text"), " ").alias("text")).select(F.col("user_id").alias("query_id"), "text")
+    pairs = candidates.select("user_id", "item_id")
+    words = bm25(items, asked, pairs=pairs.withColumnRenamed("user_id", "query_id")).select(F.col("query_id").alias("user_id"), "item_id", F.col("score").alias("f_bm25"))
+    from stagewise.operators.retrieve import dot
+
+    close = pairs.join(vectors, "item_id").join(mean_vectors(vectors, recent), "user_id").select("user_id", "item_id", F.round(dot(F.col("m"), F.col("vector")), 9).alias("f_dense"))
+    rows = pairs.join(words, ["user_id", "item_id"], "left").join(close, ["user_id", "item_id"], "left").fillna(0.0, ["f_bm25", "f_dense"])
+    own = W.partitionBy("user_id")
+    place = lambda c: (F.row_number().over(own.orderBy(F.desc(c), "item_id")) - 1) / F.count("*").over(own)
+    return rows.select("user_id", "item_id", "f_bm25", "f_dense", place("f_bm25").alias("f_bm25_place"), place("f_dense").alias("f_dense_place"))
+
+
+def clean_groups(train: DataFrame, pool: DataFrame, k: int = 100) -> DataFrame:
+    """Groups to learn from without a look at the evaluation: user_id, rank, item_id, score, label, group_size.
+
+    The label is the last training item of each user of the pool, which is taken out of what
+    retrieval leaves out. Evaluated users must not be in the pool.
+    """
+    from stagewise.operators.retrieve import popularity
+    from stagewise.operators.split import held_out_label
+
+    pool = pool.select("user_id")
+    label = held_out_label(train).join(pool, "user_id", "left_semi")
+    own = train.join(pool, "user_id", "left_semi").select("user_id", "item_id")
+    met = own.join(label, (own.user_id == label.user_id) & (own.item_id == label.label_item), "left_anti")
+    found = popularity(train, k, exclude=met, users=pool)
+    return labelled_groups(found, label).join(found.select("user_id", "item_id", "score"), ["user_id", "item_id"])
+
+
 def labelled_groups(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """user_id, rank, item_id, label, group_size. labels: user_id, label_item."""
     rows = candidates.join(labels, "user_id")
@@ -196,28 +274,50 @@ def weighted_features(rows: DataFrame) -> DataFrame:
     return by(rows.withColumn("mixed", F.round(mixed, 9)), F.desc("mixed"), "rank")
 
 
-def attention_smoothed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each list's features mixed by softmax(Q Q' / sqrt(d)); the mean of the mixed features orders it."""
+#: Weights of score, cosine, popularity and reciprocal place after the attention.
+ATTENDED = (0.4, 0.3, 0.2, 0.1)
+
+
+def attention_smoothed(rows: DataFrame) -> DataFrame:
+    """Each list's features mixed by softmax(Q Q' / sqrt(5)) and then weighed; ties keep their places.
+
+    rows: user_id, item_id, rank, score, cosine (null: the item or the user has no vector, and
+    all its features are 0), pop (a count).
+    """
     import numpy as np
     import pandas as pd
 
     def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[columns].to_numpy(float)
-        z = q @ q.T / np.sqrt(len(columns))
+        pdf = pdf.sort_values("rank")
+        at = np.arange(len(pdf))
+        q = np.stack([pdf["score"], pdf["cosine"], np.log1p(pdf["pop"].fillna(0)), 1 / (at + 1), at / len(pdf)], axis=1).astype(float)
+        q[pdf["cosine"].isna().to_numpy()] = 0
+        z = q @ q.T / np.sqrt(5)
         a = np.exp(z - z.max(axis=1, keepdims=True))
-        pdf = pdf.assign(mixed=(a / a.sum(axis=1, keepdims=True) @ q).mean(axis=1).round(9))
-        pdf = pdf.sort_values(["mixed", "rank"], ascending=[False, True])
+        final = (a / (a.sum(axis=1, keepdims=True) + 1e-10) @ q)[:, :4] @ np.array(ATTENDED)
+        pdf = pdf.assign(final=final.round(9)).sort_values(["final", "rank"], ascending=[False, True])
         return pdf.assign(rank=np.arange(1, len(pdf) + 1, dtype=np.int32))[["user_id", "rank", "item_id"]]
 
-    return rows.groupBy("user_id").applyInPandas(mix, "user_id long, rank int, item_id long")
+    return rows.select("user_id", "item_id", "rank", "score", "cosine", "pop").groupBy("user_id").applyInPandas(mix, "user_id long, rank int, item_id long")
 
 
 def denoised(candidates: DataFrame, steps: int = 5, noise: float = 0.1, seed: int = 42) -> DataFrame:
-    """Scores noised by hash and pulled back to the list's mean step by step, with a bonus for the gap to the next."""
-    w = W.partitionBy("user_id")
-    z = (hash32(F.col("user_id") * F.lit(1_000_003) + F.col("item_id"), seed) / F.lit(float(2**32)) - 0.5) * noise
-    rows = candidates.withColumn("s", F.col("score") + z).withColumn("mean", F.avg("s").over(w))
-    pull = 0.9**steps
-    rows = rows.withColumn("s", F.col("mean") + (F.col("s") - F.col("mean")) * pull)
-    gap = F.col("s") - F.coalesce(F.lead("s").over(w.orderBy(F.desc("s"), "item_id")), F.col("s"))
-    return by(rows.withColumn("final", F.round(F.col("s") + 0.1 * gap, 9)), F.desc("final"), "rank")
+    """Scores noised in growing steps, blended back with themselves, and raised by the gap to what stands before.
+
+    Step t of n adds noise of the scale t / n, drawn by hash in place of a normal (evenly, with
+    its variance); going back, each step keeps the share t / n of the noise. In list order a
+    score then gains a twentieth of its distance to the nearest score before it.
+    """
+    def drawn(t: int) -> Column:
+        return (hash32(F.pmod(F.col("user_id") * F.lit(1_000_003) + F.col("item_id") * F.lit(7919), F.lit(2_000_000_011)), seed + t) / F.lit(float(2**32)) - 0.5) * float(12**0.5)
+
+    share = 1.0
+    for t in range(1, steps + 1):
+        share *= t / steps
+    total = sum((drawn(t) * (noise * t / steps) for t in range(1, steps + 1)), F.lit(0.0))
+    rows = candidates.withColumn("s", F.col("score") + share * total)
+    lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "s"))).alias("l"))
+    gap = lambda done, x: F.array_min(F.transform(done, lambda y: F.abs(x - y)))
+    raised = F.aggregate("l", F.array().cast("array<double>"), lambda done, x: F.concat(done, F.array(x["s"] + F.coalesce(0.05 * gap(done, x["s"]), F.lit(0.0)))))
+    out = lists.select("user_id", F.posexplode(F.arrays_zip("l", raised.alias("f"))).alias("at", "z")).select("user_id", F.col("z.l.item_id").alias("item_id"), F.col("z.l.rank").alias("rank"), F.col("z.l.s").alias("score"), F.round("z.f", 9).alias("final"))
+    return by(out, F.desc("final"), "rank")

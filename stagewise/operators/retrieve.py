@@ -79,6 +79,36 @@ def item_similarity(train: DataFrame) -> DataFrame:
     return sim.unionByName(sim.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
 
 
+def knn_scores(train: DataFrame, neighbours: int = 50) -> DataFrame:
+    """user_id, item_id, score of every item with a neighbour in the user's history, own items included."""
+    near = W.partitionBy("i").orderBy(F.desc(F.round("sim", 9)), "j")
+    sim = item_similarity(train).withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= neighbours)
+    own = train.select("user_id", F.col("item_id").alias("i")).distinct()
+    return own.join(sim, "i").groupBy("user_id", F.col("j").alias("item_id")).agg(F.round(F.sum("sim"), 9).alias("score"))
+
+
+def full_average(first: DataFrame, second: DataFrame, train: DataFrame, k: int = 100, weight: float = 0.5) -> DataFrame:
+    """weight x first + (1 - weight) x second, each scaled by its least and largest score over the whole catalog.
+
+    first and second: user_id, item_id, score of all items that score at all (others are 0),
+    own ones included; these are left out after scaling. Items that score in neither list
+    are not listed.
+    """
+    n = train.agg(F.count_distinct("item_id").alias("n_items"))
+
+    def scaled(scores: DataFrame, share: float) -> DataFrame:
+        g = scores.groupBy("user_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("c")).join(F.broadcast(n))
+        lo, hi = (F.when(F.col("c") < F.col("n_items"), how(F.col(c), F.lit(0.0))).otherwise(F.col(c)) for how, c in ((F.least, "lo"), (F.greatest, "hi")))
+        span = g.select("user_id", lo.alias("lo"), (hi - lo + 1e-8).alias("span"))
+        # what an item without a score gets is taken off and added for every item once
+        return scores.join(span, "user_id").select("user_id", "item_id", (share * F.col("score") / F.col("span")).alias("s"), F.lit(None).cast("double").alias("base")).unionByName(span.select("user_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("s"), (-share * F.col("lo") / F.col("span")).alias("base")))
+
+    both = scaled(first, weight).unionByName(scaled(second, 1 - weight))
+    base = both.where("item_id is null").groupBy("user_id").agg(F.sum("base").alias("base"))
+    sums = both.where("item_id is not null").groupBy("user_id", "item_id").agg(F.sum("s").alias("s")).join(base, "user_id")
+    return top_k(unseen(sums.select("user_id", "item_id", F.round(F.col("s") + F.col("base"), 9).alias("score")), train), k)
+
+
 def item_knn(train: DataFrame, k: int = 100, neighbours: int | None = None, users: DataFrame | None = None, similarity: DataFrame | None = None) -> DataFrame:
     """Sum of similarities to the user's items, over all or each item's nearest ``neighbours``."""
     sim = item_similarity(train) if similarity is None else similarity
@@ -116,6 +146,13 @@ def cooccurrence(train: DataFrame, order: list[str], window: int = 10) -> DataFr
     return counts.select("i", "j", (F.col("c") / F.sum("c").over(W.partitionBy("i"))).alias("sim"))
 
 
+def cooccurrence_scores(train: DataFrame, order: list[str], last: int = 20, window: int = 10) -> DataFrame:
+    """user_id, item_id, score of every item that co-occurs with the user's last ones, own items included."""
+    back = W.partitionBy("user_id").orderBy(*[F.desc(c) for c in order])
+    own = train.withColumn("stagewise_back", F.row_number().over(back)).where(F.col("stagewise_back") <= last).select("user_id", F.col("item_id").alias("i"))
+    return own.join(cooccurrence(train, order, window), "i").groupBy("user_id", F.col("j").alias("item_id")).agg(F.round(F.sum("sim"), 9).alias("score"))
+
+
 def cooccurrence_recall(train: DataFrame, order: list[str], k: int = 100, last: int = 20, window: int = 10, users: DataFrame | None = None) -> DataFrame:
     """Sum of co-occurrence shares with the user's last items."""
     back = W.partitionBy("user_id").orderBy(*[F.desc(c) for c in order])
@@ -130,11 +167,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def bm25(items: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def bm25(items: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, pairs: DataFrame | None = None) -> DataFrame:
     """query_id, item_id, score of Okapi BM25; a query's repeated terms count again.
 
     items: item_id, text; queries: query_id, text. Negative idf becomes ``floor`` times
-    the mean idf. Items without tokens are the token "_empty_".
+    the mean idf. Items without tokens are the token "_empty_". With ``pairs`` (query_id,
+    item_id) only those are scored.
     """
     words = items.select("item_id", tokens(F.col("text")).alias("w")).select("item_id", F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("_empty_"))).alias("w"))
     lengths = words.select("item_id", F.size("w").alias("dl"))
@@ -147,7 +185,8 @@ def bm25(items: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q"))
     weight = F.col("q") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = tf.join(lengths, "item_id").join(F.broadcast(stats)).join(idf, "term")
-    return asked.join(hits, "term").groupBy("query_id", "item_id").agg(F.round(F.sum(weight), 9).alias("score"))
+    met = asked.join(hits, "term") if pairs is None else pairs.join(hits, "item_id").join(asked, ["query_id", "term"])
+    return met.groupBy("query_id", "item_id").agg(F.round(F.sum(weight), 9).alias("score"))
 
 
 def tf_idf(items: DataFrame, features: int = 500) -> DataFrame:
@@ -175,15 +214,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def mean_vectors(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """user_id, m: the normalised mean vector of each group's items."""
+    parts = groups.join(vectors, "item_id").select("user_id", F.posexplode("vector").alias("d", "x"))
+    mean = parts.groupBy("user_id", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("m"))
+    return mean.select("user_id", F.transform("m", lambda x: x / (F.sqrt(dot(F.col("m"), F.col("m"))) + 1e-9)).alias("m"))
+
+
 def dense(vectors: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
     """Items by dot product with the normalised mean vector of each group's items.
 
     vectors: item_id, vector; groups: user_id, item_id.
     """
-    parts = groups.join(vectors, "item_id").select("user_id", F.posexplode("vector").alias("d", "x"))
-    mean = parts.groupBy("user_id", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("m"))
-    mean = mean.select("user_id", F.transform("m", lambda x: x / F.sqrt(dot(F.col("m"), F.col("m")))).alias("m"))
+    mean = mean_vectors(vectors, groups)
     # vectors meet every group; groups are sent to the vectors only while they are few
     scored = vectors.crossJoin(F.broadcast(mean) if mean.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS else mean).select("user_id", "item_id", F.round(dot(F.col("m"), F.col("vector")), 9).alias("score"))
     return top_k(unseen(scored, groups), k)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stagewise.functions import metrics
+from stagewise.functions.lineage import cut
 from stagewise.operators import prepare, rerank, retrieve, split
 
 ORDER = prepare.ORDER
@@ -65,6 +66,29 @@ class Frames:
     def mcand(self) -> DataFrame:
         return retrieve.popularity(self.mtrain, 100)
 
+    @cached_property
+    def mcand101(self) -> DataFrame:
+        return retrieve.popularity(self.mtrain, 101)
+
+    @cached_property
+    def halves(self) -> DataFrame:
+        """user_id, half, n_history of all users that can be evaluated: "a" is evaluated, of "b" models learn."""
+        able = prepare.eligible(self.mtrain, self.mtruth)
+        return cut(prepare.half_split(able.select("user_id")).join(able.select("user_id", "n_history"), "user_id"))
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Groups of users that aren't evaluated, labelled by their last training item."""
+        return cut(rerank.clean_groups(self.mtrain, self.halves.where("half = 'b' and n_history >= 4")))
+
+    @cached_property
+    def mpop(self) -> DataFrame:
+        return prepare.activity(self.mtrain, "item_id")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+
     @cached_property
     def mu(self) -> DataFrame:
         return metrics.per_user(self.mcand, self.mtruth)
@@ -109,14 +133,14 @@ class Frames:
 _BACK = "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back, count(*) OVER (PARTITION BY user_id) AS n"
 
 
-def _popularity(train: str) -> str:
+def _popularity(train: str, k: int = 100, users: str = "", met: str = "") -> str:
     return f"""
 SELECT user_id, rank, item_id, score FROM (
   SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER BY p.n DESC, p.item_id) AS rank, p.item_id, p.n / p.most AS score
-  FROM (SELECT DISTINCT user_id FROM {train}) u,
+  FROM ({users or f'SELECT DISTINCT user_id FROM {train}'}) u,
        (SELECT item_id, n, CAST(max(n) OVER () AS DOUBLE) AS most FROM (SELECT item_id, count(*) AS n FROM {train} GROUP BY item_id)
-        ORDER BY n DESC, item_id LIMIT (SELECT 100 + max(c) FROM (SELECT count(DISTINCT item_id) AS c FROM {train} GROUP BY user_id))) p
-  WHERE NOT EXISTS (SELECT 1 FROM {train} t WHERE t.user_id = u.user_id AND t.item_id = p.item_id)) WHERE rank <= 100"""
+        ORDER BY n DESC, item_id LIMIT (SELECT {k} + max(c) FROM (SELECT count(DISTINCT item_id) AS c FROM {train} GROUP BY user_id))) p
+  WHERE NOT EXISTS (SELECT 1 FROM {met or train} t WHERE t.user_id = u.user_id AND t.item_id = p.item_id)) WHERE rank <= {k}"""
 
 
 def _metrics(cand: str, truth: str, ks: tuple[int, ...] = (10, 20)) -> str:
@@ -156,6 +180,14 @@ CTES = {
     "idcg": "SELECT k, n, (SELECT coalesce(sum(1 / log2(j + 1)), 0) FROM range(1, 21) t(j) WHERE j <= least(n, k)) AS v FROM (VALUES (10), (20)) a(k), range(0, 101) b(n)",
     "cand": _popularity("train"),
     "mcand": _popularity("mtrain"),
+    "mcand101": _popularity("mtrain", 101),
+    "able": "SELECT user_id, count(*) AS n_history FROM mtrain WHERE user_id IN (SELECT user_id FROM mtruth) GROUP BY user_id HAVING count(*) >= 3",
+    "halves": f"SELECT user_id, n_history, CASE WHEN pl <= greatest(50, total // 2) THEN 'a' ELSE 'b' END AS half FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql('user_id')}, user_id) AS pl, count(*) OVER () AS total FROM able)",
+    "pool": "SELECT user_id FROM halves WHERE half = 'b' AND n_history >= 4",
+    "mlast": "SELECT user_id, item_id FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM mtrain WHERE user_id IN (SELECT user_id FROM pool)) WHERE back = 1",
+    "mmet": "SELECT user_id, item_id FROM mtrain WHERE user_id IN (SELECT user_id FROM pool) EXCEPT SELECT user_id, item_id FROM mlast",
+    "gcand": _popularity("mtrain", 100, "SELECT user_id FROM pool", "mmet"),
+    "groups": "SELECT c.user_id, c.rank, c.item_id, c.score, CASE WHEN c.item_id = l.item_id THEN 1 ELSE 0 END AS label, count(*) OVER (PARTITION BY c.user_id) AS group_size FROM gcand c JOIN mlast l USING (user_id)",
     "mu": "SELECT * FROM mu_raw -- idcg",
     "item_text": "SELECT p_partkey AS item_id, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part",
     "reply_numbers": "SELECT user_id, list_transform(range(0, 14), lambda i: CAST((user_id * 5 + i * ((user_id * 7) % 11 + 1)) % 34 + 1 AS VARCHAR)) AS x FROM (SELECT DISTINCT user_id FROM train)",

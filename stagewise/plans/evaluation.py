@@ -190,6 +190,23 @@ def _(f: Frames):
     return rerank.arms(f.mcand, f.mtruth, gold, 30)
 
 
+def _mixed_sql(items: str, seed: int = 42) -> str:
+    return f"list_transform(list_sort(list_transform({items}, lambda v: {{'h': {pair_hash_sql(seed, 'user_id', 'v')}, 'v': v}})), lambda s: s.v)"
+
+
+@query("arms_six", f"""
+SELECT * FROM (WITH l AS (SELECT user_id, list(item_id ORDER BY rank) AS x FROM mcand101 GROUP BY user_id HAVING count(*) = 101),
+g AS (SELECT user_id, list_sort(list(DISTINCT item_id)) AS gt FROM mtruth GROUP BY user_id), h AS (SELECT user_id, list(DISTINCT item_id) AS met FROM mtrain GROUP BY user_id),
+j AS (SELECT user_id, x[1:100] AS b, x[101] AS filler, list_filter(gt, lambda v: NOT list_contains(x[1:100], v)) AS missed, coalesce(met, []) AS met FROM l JOIN g USING (user_id) LEFT JOIN h USING (user_id)),
+i AS (SELECT *, coalesce({_mixed_sql('list_filter(missed, lambda v: NOT list_contains(met, v))', 43)}[1], filler) AS ins, list_concat(b[1:90], missed)[1:100] AS o FROM j),
+k AS (SELECT *, list_concat(o, list_filter(b[91:100], lambda v: NOT list_contains(o, v)))[1:100] AS o2 FROM i),
+a AS (SELECT user_id, 'R' AS arm, b AS x FROM k UNION ALL SELECT user_id, 'drop30', list_concat(b[1:29], [filler], b[31:100]) FROM k UNION ALL SELECT user_id, 'gold30', list_concat(b[1:29], [ins], b[31:100]) FROM k
+ UNION ALL SELECT user_id, 'gold01', list_concat([ins], b[1:29], b[31:100]) FROM k UNION ALL SELECT user_id, 'shuffle', list_concat({_mixed_sql('b[1:30]')}, b[31:100]) FROM k UNION ALL SELECT user_id, 'oracle', {_mixed_sql('o2')} FROM k)
+SELECT arm, user_id, generate_subscripts(x, 1) AS rank, unnest(x) AS item_id FROM a)""")
+def _(f: Frames):
+    return rerank.interventions(f.mcand101, f.mtruth, f.mtrain)
+
+
 @query("oracle_injection", f"""
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY {pair_hash_sql()}, item_id) AS rank, item_id FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source, rank, item_id) AS pl FROM (

@@ -107,15 +107,34 @@ c AS (SELECT user_id, item_id FROM cand WHERE rank <= 30)
 SELECT c.user_id, c.item_id, round(sum(p.u * CAST(embedding[p.d] AS DOUBLE)) / sqrt(sum(p.u * p.u)) / sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_cos, round(sum(p.l * CAST(embedding[p.d] AS DOUBLE)), 6) AS f_late, round(sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_norm
 FROM c JOIN v USING (item_id) JOIN p ON p.user_id = c.user_id GROUP BY c.user_id, c.item_id)""")
 def _(f: Frames):
-    vectors = f.table("embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    return rounded(rerank.vector_features(_w(f), split.history_tail(f.train, 10**6), vectors))
+    return rounded(rerank.vector_features(_w(f), split.history_tail(f.train, 10**6), f.vectors))
+
+
+@query("ltr_text_features", """
+SELECT * FROM (WITH hist AS (SELECT user_id, item_id FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train) WHERE back <= 20),
+words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM item_text),
+len AS (SELECT item_id, len(w) AS dl FROM words), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(w) AS term FROM words) GROUP BY item_id, term),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, st GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+qt AS (SELECT user_id, term, count(*) AS q FROM (SELECT h.user_id, unnest(w) AS term FROM hist h JOIN words USING (item_id)) GROUP BY user_id, term),
+c AS (SELECT user_id, item_id FROM cand WHERE rank <= 30),
+b AS (SELECT c.user_id, c.item_id, round(sum(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS s FROM c JOIN tf USING (item_id) JOIN idf USING (term) JOIN len USING (item_id) JOIN qt ON qt.user_id = c.user_id AND qt.term = tf.term, st GROUP BY c.user_id, c.item_id),
+v AS (SELECT vec_id AS item_id, embedding FROM embeddings),
+m AS (SELECT user_id, d, avg(CAST(embedding[d] AS DOUBLE)) AS x FROM hist JOIN v USING (item_id), range(1, 65) r(d) GROUP BY user_id, d),
+u AS (SELECT user_id, d, x / (sqrt(sum(x * x) OVER (PARTITION BY user_id)) + 1e-9) AS x FROM m),
+e AS (SELECT c.user_id, c.item_id, round(sum(u.x * CAST(v.embedding[u.d] AS DOUBLE)), 9) AS s FROM c JOIN v USING (item_id) JOIN u ON u.user_id = c.user_id GROUP BY c.user_id, c.item_id),
+al AS (SELECT c.user_id, c.item_id, coalesce(b.s, 0) AS bm, coalesce(e.s, 0) AS de FROM c LEFT JOIN b USING (user_id, item_id) LEFT JOIN e USING (user_id, item_id))
+SELECT user_id, item_id, round(bm, 6) AS f_bm25, round(de, 6) AS f_dense, round((row_number() OVER (PARTITION BY user_id ORDER BY bm DESC, item_id) - 1) / count(*) OVER (PARTITION BY user_id), 6) AS f_bm25_place, round((row_number() OVER (PARTITION BY user_id ORDER BY de DESC, item_id) - 1) / count(*) OVER (PARTITION BY user_id), 6) AS f_dense_place FROM al)""")
+def _(f: Frames):
+    return rounded(rerank.text_features(_w(f), split.history_tail(f.train, 20), f.item_text, f.vectors))
 
 
-_GROUPS = "SELECT c.user_id, c.rank, c.item_id, CASE WHEN c.item_id = l.item_id THEN 1 ELSE 0 END AS label, count(*) OVER (PARTITION BY c.user_id) AS group_size FROM mcand c JOIN (SELECT user_id, min(item_id) AS item_id FROM mtruth GROUP BY user_id) l USING (user_id)"
+_GROUPS = "SELECT user_id, rank, item_id, label, group_size FROM groups"
 
 
 def groups(f: Frames):
-    return rerank.labelled_groups(f.mcand, f.mtruth.groupBy("user_id").agg(F.min("item_id").alias("label_item")))
+    return f.groups.select("user_id", "rank", "item_id", "label", "group_size")
 
 
 @query("ltr_groups", _GROUPS)
@@ -128,17 +147,44 @@ def _(f: Frames):
     return rerank.preference_pairs(groups(f))
 
 
-@query("weighted_features", f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(0.4 * score + 0.3 / rank + 0.2 * (item_id % 3) / 3 + 0.1 * {_POP} / (SELECT max(n) FROM pop), 9) DESC, rank) AS rank, item_id FROM (SELECT * FROM cand WHERE rank <= 30) LEFT JOIN pop p USING (item_id)")
-def _(f: Frames):
-    most = f.pop.agg(F.max("n").alias("most"))
-    rows = _w(f).join(f.pop, "item_id", "left").join(F.broadcast(most)).select("*", (1 / F.col("rank")).alias("cosine"), (F.col("item_id") % 3 / 3).alias("overlap"), (F.coalesce("n", F.lit(0)) / F.col("most")).alias("pop"))
-    return _out(rerank.weighted_features(rows))
+_COSINE = """v AS (SELECT vec_id AS item_id, embedding FROM embeddings),
+p AS (SELECT user_id, d, avg(CAST(embedding[d] AS DOUBLE)) AS u FROM train JOIN v USING (item_id), range(1, 65) r(d) GROUP BY user_id, d),
+co AS (SELECT c.user_id, c.item_id, round(sum(p.u * CAST(embedding[p.d] AS DOUBLE)) / sqrt(sum(p.u * p.u)) / sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 9) AS cosine FROM (SELECT * FROM cand WHERE rank <= 30) c JOIN v USING (item_id) JOIN p ON p.user_id = c.user_id GROUP BY c.user_id, c.item_id)"""
+
 
+def cosines(f: Frames):
+    """Cosine of each shown item with the mean vector of the user's history, where both have vectors."""
+    return rerank.vector_features(_w(f), split.history_tail(f.train, 10**6), f.vectors).select("user_id", "item_id", F.round("f_cos", 9).alias("cosine"))
 
-@query("attention_smoothed")
+
+@query("weighted_features", f"""
+SELECT * FROM (WITH {_COSINE},
+w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM item_text),
+hw AS (SELECT user_id, list_distinct(flatten(list(w))) AS hw FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train) JOIN w USING (item_id) WHERE back <= 10 GROUP BY user_id)
+SELECT c.user_id, row_number() OVER (PARTITION BY c.user_id ORDER BY round(0.4 * score + 0.3 * coalesce(co.cosine, 0) + 0.2 * coalesce(len(list_intersect(w.w, hw.hw)) / len(w.w), 0) + 0.1 * {_POP} / (SELECT max(n) FROM pop), 9) DESC, rank) AS rank, c.item_id
+FROM (SELECT * FROM cand WHERE rank <= 30) c LEFT JOIN pop p USING (item_id) LEFT JOIN co USING (user_id, item_id) LEFT JOIN w USING (item_id) LEFT JOIN hw USING (user_id))""")
+def _(f: Frames):
+    from stagewise.operators.retrieve import tokens
+
+    most = f.pop.agg(F.max("n").alias("most"))
+    words = f.item_text.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
+    own = split.history_tail(f.train, 10).join(words, "item_id").groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("hw"))
+    rows = _w(f).join(f.pop, "item_id", "left").join(cosines(f), ["user_id", "item_id"], "left").join(words, "item_id", "left").join(own, "user_id", "left").join(F.broadcast(most))
+    overlap = F.coalesce(F.size(F.array_intersect("w", "hw")) / F.nullif(F.size("w"), F.lit(0)), F.lit(0.0))
+    return _out(rerank.weighted_features(rows.select("user_id", "item_id", "rank", "score", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), overlap.alias("overlap"), (F.coalesce("n", F.lit(0)) / F.col("most")).alias("pop"))))
+
+
+@query("attention_smoothed", f"""
+SELECT * FROM (WITH {_COSINE},
+q AS (SELECT c.user_id, c.item_id, c.rank, CASE WHEN co.cosine IS NULL THEN 0 ELSE c.score END AS f1, coalesce(co.cosine, 0) AS f2, CASE WHEN co.cosine IS NULL THEN 0 ELSE ln(1 + {_POP}) END AS f3, CASE WHEN co.cosine IS NULL THEN 0 ELSE 1 / rank END AS f4, CASE WHEN co.cosine IS NULL THEN 0 ELSE (rank - 1) / count(*) OVER (PARTITION BY c.user_id) END AS f5
+ FROM (SELECT * FROM cand WHERE rank <= 30) c LEFT JOIN co USING (user_id, item_id) LEFT JOIN pop p USING (item_id)),
+z AS (SELECT a.user_id, a.item_id, a.rank, 0.4 * b.f1 + 0.3 * b.f2 + 0.2 * b.f3 + 0.1 * b.f4 AS y, (a.f1 * b.f1 + a.f2 * b.f2 + a.f3 * b.f3 + a.f4 * b.f4 + a.f5 * b.f5) / sqrt(5.0) AS z FROM q a JOIN q b ON a.user_id = b.user_id),
+x AS (SELECT *, exp(z - max(z) OVER (PARTITION BY user_id, item_id)) AS a FROM z),
+s AS (SELECT user_id, item_id, rank, round(sum(a * y) / (sum(a) + 1e-10), 9) AS s FROM x GROUP BY user_id, item_id, rank)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, rank) AS rank, item_id FROM s)""")
 def _(f: Frames):
-    own = _w(f).join(f.sample, "user_id", "left_semi")
-    return rerank.attention_smoothed(rounded(rerank.features(own, f.pop, f.train)), ["f_score", "f_place", "f_pop", "f_hist", "f_recip"])
+    rows = _w(f).join(f.pop.withColumnRenamed("n", "pop"), "item_id", "left").join(cosines(f), ["user_id", "item_id"], "left")
+    return rerank.attention_smoothed(rows)
 
 
 @query("denoised_scores")
@@ -253,12 +299,13 @@ def _(f: Frames):
 @query("sft_examples", f"""
 SELECT g.user_id, g.item_id, g.label, 'The user chose: ' || h.h || chr(10) || 'Will the user choose "' || x.text || '"? Answer yes or no.' AS prompt, CASE WHEN g.label = 1 THEN 'yes' ELSE 'no' END AS answer
 FROM (SELECT user_id, item_id, label FROM (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY rank) AS nth, max(label) OVER (PARTITION BY user_id) AS any_ FROM ({_GROUPS})) WHERE any_ = 1 AND (label = 1 OR nth <= 5)) g
-JOIN (SELECT user_id, string_agg(text, ', ' ORDER BY back DESC) AS h FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM mtrain) JOIN item_text USING (item_id) WHERE back <= 5 GROUP BY user_id) h USING (user_id)
+JOIN (SELECT user_id, string_agg(text, ', ' ORDER BY back DESC) AS h FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM mtrain) JOIN item_text USING (item_id) WHERE back BETWEEN 2 AND 6 GROUP BY user_id) h USING (user_id)
 JOIN item_text x USING (item_id)""")
 def _(f: Frames):
     w = W.partitionBy("user_id", "label").orderBy("rank")
     rows = groups(f).withColumn("nth", F.row_number().over(w)).withColumn("some", F.max("label").over(W.partitionBy("user_id"))).where("some = 1 and (label = 1 or nth <= 5)")
-    g = split.history_tail(f.mtrain, 5).join(f.item_text, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), "text"))).alias("h"))
+    # the last training item is the label: the five before it are shown
+    g = split.history_tail(f.mtrain, 6).where("back > 1").join(f.item_text, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), "text"))).alias("h"))
     history = g.select("user_id", F.array_join(F.transform("h", lambda x: x["text"]), ", ").alias("history"))
     rows = rows.join(history, "user_id").join(f.item_text, "item_id")
     return rows.select("user_id", "item_id", "label", parse.pointwise_prompt(F.col("history"), F.col("text")).alias("prompt"), F.when(F.col("label") == 1, "yes").otherwise("no").alias("answer"))

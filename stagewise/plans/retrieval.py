@@ -144,14 +144,30 @@ def _(f: Frames):
     return rounded(retrieve.weighted(retrieve.min_max(f.cand), retrieve.min_max(second(f)), 50))
 
 
+@query("full_score_average", f"""
+SELECT * FROM (WITH {_SIM}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS nth FROM sim) WHERE nth <= 50),
+a AS (SELECT t.user_id, s.j AS item_id, round(sum(s.sim), 9) AS s FROM train t JOIN near s ON s.i = t.item_id GROUP BY t.user_id, s.j),
+pos AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, k1, k2, item_id, k3) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k1 DESC, k2 DESC, item_id DESC, k3 DESC) AS back FROM train),
+c AS (SELECT x.item_id AS i, y.item_id AS j, count(*) AS c FROM pos x JOIN pos y ON x.user_id = y.user_id AND abs(x.p - y.p) <= 10 AND x.p <> y.p GROUP BY x.item_id, y.item_id),
+s2 AS (SELECT i, j, c / sum(c) OVER (PARTITION BY i) AS sim FROM c),
+b AS (SELECT o.user_id, x.j AS item_id, round(sum(x.sim), 9) AS s FROM pos o JOIN s2 x ON x.i = o.item_id WHERE o.back <= 20 GROUP BY o.user_id, x.j),
+al AS (SELECT user_id, item_id, coalesce(a.s, 0) AS a, coalesce(b.s, 0) AS b FROM a FULL JOIN b USING (user_id, item_id)),
+n AS (SELECT count(DISTINCT item_id) AS n FROM train),
+ra AS (SELECT user_id, CASE WHEN count(*) < n THEN least(min(s), 0) ELSE min(s) END AS lo, CASE WHEN count(*) < n THEN greatest(max(s), 0) ELSE max(s) END AS hi FROM a, n GROUP BY user_id, n),
+rb AS (SELECT user_id, CASE WHEN count(*) < n THEN least(min(s), 0) ELSE min(s) END AS lo, CASE WHEN count(*) < n THEN greatest(max(s), 0) ELSE max(s) END AS hi FROM b, n GROUP BY user_id, n)
+{_ranked(f"SELECT s.* FROM (SELECT al.user_id, al.item_id, round(0.5 * (a - ra.lo) / (ra.hi - ra.lo + 1e-8) + 0.5 * (b - rb.lo) / (rb.hi - rb.lo + 1e-8), 9) AS score FROM al JOIN ra USING (user_id) JOIN rb USING (user_id)) s WHERE {_UNSEEN}", 20)})""")
+def _(f: Frames):
+    return rounded(retrieve.full_average(retrieve.knn_scores(f.train), retrieve.cooccurrence_scores(f.train, ORDER), f.train, 20))
+
+
 @query("max_scaled", f"SELECT user_id, rank, item_id, round(score / CASE WHEN max(score) OVER (PARTITION BY user_id) > 0 THEN max(score) OVER (PARTITION BY user_id) ELSE 1 END, 6) AS score FROM ({CAND2})")
 def _(f: Frames):
     return rounded(retrieve.max_scaled(second(f)))
 
 
-@query("knn_minmax", "SELECT user_id, item_id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE score END, 6) AS score FROM cand WINDOW w AS (PARTITION BY user_id)")
+@query("knn_minmax", f"SELECT * FROM (WITH {_SIM}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS nth FROM sim) WHERE nth <= 50), r AS ({_ranked(_KNN.format(sim='near'), 20)}) SELECT user_id, item_id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE score END, 5) AS score FROM r WINDOW w AS (PARTITION BY user_id))")
 def _(f: Frames):
-    return rounded(retrieve.min_max(f.cand)).select("user_id", "item_id", "score")
+    return rounded(retrieve.min_max(rounded(retrieve.item_knn(f.train, 20, neighbours=50))), 5).select("user_id", "item_id", "score")
 
 
 @query("vote_hybrid", f"SELECT * FROM (WITH c2 AS ({CAND2}) {_ranked('SELECT user_id, item_id, round(sum(v), 9) AS score FROM (SELECT user_id, item_id, 0.6 AS v FROM cand UNION ALL SELECT user_id, item_id, 0.4 FROM c2) GROUP BY user_id, item_id', 50)})")
