@@ -54,7 +54,7 @@ def popularity(train: DataFrame, k: int = 100, exclude: DataFrame | None = None,
         return few
     most = counts.agg(F.max("n").alias("most"))
     ranked = dense_ids(counts.select(F.struct((-F.col("n")).alias("minus"), "item_id").alias("key")), "key")
-    places = long.select("user_id", "own", F.explode(F.sequence(F.lit(0), F.size("own") + (k - 1))).cast("long").alias("dense_id"))
+    places = long.select("user_id", "own", F.explode(F.sequence(F.lit(0).cast("long"), (F.size("own") + (k - 1)).cast("long"))).alias("dense_id"))
     left = places.join(ranked, "dense_id").where(~F.array_contains("own", F.col("raw_id.item_id"))).join(F.broadcast(most))
     many = top_k(left.select("user_id", F.col("raw_id.item_id").alias("item_id"), (-F.col("raw_id.minus") / F.col("most")).alias("score")), k)
     return few.unionByName(many)

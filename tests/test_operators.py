@@ -151,3 +151,51 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(logs.run_to_memory(stream, "jumps_found", checkpoint=f"file://{tmp_path}/c"))
     assert [r[:4] for r in got] == [r[:4] for r in batch]
     assert [r[4] for r in got] == pytest.approx([r[4] for r in batch], rel=1e-4)
+
+
+def test_models_never_learn_from_whom_they_score(spark):
+    if not __import__("os").path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    from stagewise.plans import models
+    from stagewise.plans.base import Frames
+
+    f = Frames(spark, "/root/testdata/sf0.001")
+    learned, scored = ({r[0] for r in df.select("user_id").distinct().collect()} for df in (models.learned_from(f), models.shown(f)))
+    assert learned and scored and not learned & scored
+    label = models.learned_from(f).where("label = 1").select("user_id", "item_id")
+    assert label.join(f.mtruth, ["user_id", "item_id"], "left_semi").count() == 0
+
+
+def test_interventions_have_the_length_of_the_list(spark):
+    cands = spark.createDataFrame([(u, r, 100 * u + r, 1.0 / r) for u in (1, 2) for r in range(1, 22)] + [(3, 1, 5, 1.0)], schema.CANDIDATES)
+    truth = spark.createDataFrame([(1, 103), (1, 900), (1, 901), (2, 201), (3, 5)], schema.TRUTH)
+    got = rerank.interventions(cands, truth, spark.createDataFrame([(1, 901)], "user_id long, item_id long"), 20, 6)
+    lists = {}
+    for arm, user, rank, item in rows(got, "arm", "user_id", "rank", "item_id"):
+        lists.setdefault((arm, user), []).append(item)
+    assert {len(x) for x in lists.values()} == {20} and len(lists) == 12
+    assert lists["gold30", 1][5] == 900 and lists["gold01", 1][0] == 900 and lists["drop30", 1][5] == 121
+    assert lists["gold30", 2][5] == 221 and sorted(lists["shuffle", 1][:6]) == [101, 102, 103, 104, 105, 106]
+    assert {900, 901} <= set(lists["oracle", 1]) and set(lists["oracle", 2]) == set(lists["R", 2])
+
+
+def test_denoised_scores_equal_a_loop(spark):
+    import math
+
+    score = {r: 1.0 / r for r in range(1, 13)}
+    cands = spark.createDataFrame([(7, r, 50 + r, s) for r, s in score.items()], schema.CANDIDATES)
+    got = [x[1] for x in rows(rerank.denoised(cands), "rank", "item_id")]
+    key = lambda i, t: ((7 * 1_000_003 + i * 7919) % 2_000_000_011 * 2654435761 + 42 + t) % 2**32
+    share, final = math.prod(t / 5 for t in range(1, 6)), []
+    for r, s in score.items():
+        noise = sum((key(50 + r, t) / 2**32 - 0.5) * math.sqrt(12) * 0.1 * t / 5 for t in range(1, 6))
+        x = s + share * noise
+        final.append(x + (0.05 * min(abs(x - y) for y in final) if final else 0))
+    assert got == [50 + r for r, _ in sorted(zip(score, final, strict=True), key=lambda z: (-round(z[1], 9), z[0]))]
+
+
+def test_long_exclusions_meet_items_row_by_row(spark, log, monkeypatch):
+    first = prepare.keep_first(log)
+    want = rows(retrieve.popularity(first, 2))
+    monkeypatch.setattr(retrieve, "SHORT", 2)
+    assert rows(retrieve.popularity(first, 2)) == want

@@ -8,12 +8,7 @@ from stagewise import plans
 from tests.compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
-#: One of each family; tests/compare.py runs them all.
-NAMES = [
-    "flagship_popularity_report", "dedup_keep_first", "kcore5", "id_map", "loo_split", "last5_val_split", "seq_padded", "pop_percentile", "dataset_stats",
-    "pop_topk", "itemknn_top50", "bm25_parts", "quota_hybrid", "rrf_3way", "rerank_oracle", "convex_grid", "parse_mixed", "parse_status", "apply_permutation",
-    "metrics_multi_k", "k_sweep", "arms_all", "adaptive_k", "wilcoxon_z", "holm", "bootstrap_hash_ci", "lightgcn_step", "plateau_jumps", "behaviour_scan",
-]
+NAMES = sorted(plans.oracle_sql())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
