@@ -5,22 +5,34 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder that the session names.
+def _shared(spark: SparkSession) -> None:
+    """Name a checkpoint folder, where the session hasn't one yet.
 
-    A local master without one gets a temporary folder; on a cluster the setting is needed.
+    A local master without the setting gets a temporary folder; on a cluster it is needed.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = tempfile.mkdtemp(prefix="stagewise-checkpoint-")
             atexit.register(shutil.rmtree, shared, True)
         sc.setCheckpointDir(shared)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the reliable checkpoint folder that the session names."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the checkpoint folder."""
+    _shared(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

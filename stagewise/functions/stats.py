@@ -158,6 +158,15 @@ def detectable(n: Column, z_power: float = 0.8416212335729143) -> Column:
     return (Z_975 + z_power) / F.sqrt(n)
 
 
+def ols2(values: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
+    """Least squares of y on two variables by the normal equations: b0, b1, b2, r2; null where they are collinear."""
+    c = lambda a, b: F.covar_pop(a, b)
+    s = values.agg(F.avg(y).alias("my"), F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), c(x1, x1).alias("v1"), c(x2, x2).alias("v2"), c(x1, x2).alias("c12"), c(x1, y).alias("c1"), c(x2, y).alias("c2"), c(y, y).alias("vy"))
+    d = F.nullif(F.round(F.col("v1") * F.col("v2") - F.col("c12") * F.col("c12"), 15), F.lit(0.0))
+    s = s.withColumn("b1", (F.col("c1") * F.col("v2") - F.col("c2") * F.col("c12")) / d).withColumn("b2", (F.col("c2") * F.col("v1") - F.col("c1") * F.col("c12")) / d)
+    return s.select((F.col("my") - F.col("b1") * F.col("m1") - F.col("b2") * F.col("m2")).alias("b0"), "b1", "b2", ((F.col("b1") * F.col("c1") + F.col("b2") * F.col("c2")) / F.nullif(F.col("vy"), F.lit(0.0))).alias("r2"))
+
+
 def off_policy(logs: DataFrame, clip: float = 100.0) -> DataFrame:
     """Direct mean, inverse propensity, self-normalised and doubly robust estimates.
 

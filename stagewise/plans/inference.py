@@ -86,6 +86,17 @@ def _(f: Frames):
     return rounded(grid.select("n", "effect", stats.power_paired(F.col("effect"), F.col("n")).alias("power"), stats.required_n(F.col("effect")).cast("long").alias("required"), stats.detectable(F.col("n")).alias("detectable")))
 
 
+_OLS = "SELECT a AS y, CAST(n_hist AS DOUBLE) AS x1, b AS x2 FROM two_arms"
+
+
+@query("ols_two_variables", f"""
+SELECT round(my - b1 * m1 - b2 * m2, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2, round((b1 * c1 + b2 * c2) / vy, 6) AS r2 FROM (
+ SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM (
+  SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, var_pop(y) AS vy FROM ({_OLS})))""")
+def _(f: Frames):
+    return rounded(stats.ols2(f.two_arms.withColumn("n_hist", F.col("n_hist").cast("double")), "a", "n_hist", "b"))
+
+
 _LOGS = "SELECT CAST(event_type = 'purchase' AS INTEGER) AS reward, (event_id % 7 + 1) / 8.0 AS pt, (event_id % 5 + 1) / 6.0 AS pl, (event_id % 3) / 4.0 AS q FROM events"
 
 

@@ -118,3 +118,27 @@ SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def _(f: Frames):
     return logs.sessions(f.table("events"))
+
+
+@query("split_round_trip", "SELECT 'train' AS split, count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(item_id) AS BIGINT) AS items FROM train UNION ALL SELECT 'test', count(*), count(DISTINCT user_id), CAST(sum(item_id) AS BIGINT) FROM truth")
+def _(f: Frames):
+    from stagewise.functions.lineage import folder
+
+    path = folder(f.spark, "splits")
+    tables.write_splits(f.loo, path)
+    dataset = tables.Dataset("splits", path)
+    parts = [tables.split_scan(f.spark, dataset, s).groupBy(F.lit(s).alias("split")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.sum("item_id").alias("items")) for s in ("train", "test")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("agreement_by_activity", """
+SELECT tier, count(*) AS n, round(-sum(p * ln(p)), 6) AS entropy FROM (
+ SELECT tier, expert, count(*) / sum(count(*)) OVER (PARTITION BY tier) AS p FROM (
+  SELECT CASE WHEN n < 30 THEN 'low' WHEN n < 45 THEN 'mid' ELSE 'high' END AS tier, CASE WHEN t.item_id % 5 = 0 THEN 1 ELSE 0 END AS expert FROM train t JOIN (SELECT user_id, count(*) AS n FROM train GROUP BY user_id) u USING (user_id)) GROUP BY tier, expert) GROUP BY tier""")
+def _(f: Frames):
+    from stagewise.operators.graph import router_entropy
+
+    tier = F.when(F.col("n") < 30, "low").when(F.col("n") < 45, "mid").otherwise("high")
+    n = f.train.groupBy("user_id").agg(F.count("*").alias("n"))
+    rows = f.train.join(n, "user_id").select(tier.alias("tier"), (F.col("item_id") % 5 == 0).cast("int").alias("expert"))
+    return router_entropy(rows, "tier").withColumn("entropy", F.round("entropy", 6))

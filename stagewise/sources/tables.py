@@ -58,6 +58,12 @@ def split_scan(spark: SparkSession, dataset: Dataset, split: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in ("user_id", "item_id") if c in df.columns})
 
 
+def write_splits(df: DataFrame, path: str) -> None:
+    """One Parquet table per value of ``split`` with user_id, item_id and ts, as ``split_scan`` reads them."""
+    for (name,) in df.select("split").where("split is not null").distinct().collect():
+        df.where(F.col("split") == name).select("user_id", "item_id", "ts").write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+
+
 def raw_reviews(df: DataFrame) -> DataFrame:
     """user_id, item_id, rating, timestamp; the item is parent_asin, or asin where that is missing."""
     items = [F.col(c) for c in ("parent_asin", "asin") if c in df.columns]
