@@ -260,14 +260,14 @@ def contexts(classes: np.ndarray, bounds: np.ndarray, begin: int) -> tuple[np.nd
 
 
 def coded(docs: DataFrame, counts: Counts) -> DataFrame:
-    """shard, mixed, codes of all pieces of documents, stored: int32 places in the head, or -1 - ending.
+    """shard, mixed, codes, classes of all pieces of documents, stored: int32 places in the head, or -1 - ending, and uint16 classes.
 
     A piece begins with the two codes before it, or with -2^31 at a document's start.
     Shards follow the hash of a piece's codes, so they don't depend on how rows lie.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shards = max(1, round(counts.total / SHARD_TOKENS))
-    start = np.full(2, np.iinfo(np.int32).min, np.int32)
+    start, begin = np.full(2, np.iinfo(np.int32).min, np.int32), np.full(2, counts.size, np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -277,16 +277,17 @@ def coded(docs: DataFrame, counts: Counts) -> DataFrame:
                 tokens, kinds, bounds = tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at, there = own.find(tokens)
                 codes = np.where(there, at, -1 - own.ending(kinds)).astype(np.int32)
+                classes = own.classes(at, there, kinds).astype(np.uint16)
                 rows = []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    whole = np.concatenate([start, codes[a:b]])
+                    whole, kept = np.concatenate([start, codes[a:b]]), np.concatenate([begin, classes[a:b]])
                     for k in range(2, len(whole), PIECE):
                         piece = whole[k - 2 : k + PIECE].tobytes()
                         mixed = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") >> 1
-                        rows.append((mixed % shards, mixed, piece))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "mixed", "codes"])
+                        rows.append((mixed % shards, mixed, piece, kept[k - 2 : k + PIECE].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "mixed", "codes", "classes"])
 
-    rows = docs.select("text").mapInArrow(run, "shard int, mixed long, codes binary")
+    rows = docs.select("text").mapInArrow(run, "shard int, mixed long, codes binary, classes binary")
     return stored(rows, "token-codes")
 
 
@@ -299,17 +300,17 @@ def _classes_of(own: Counts, codes: np.ndarray) -> np.ndarray:
     return np.where(codes == np.iinfo(np.int32).min, own.size, classes)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], bool]]:
-    """(shard, pieces of about STEP_BYTES, whether they are its first) of rows in the order of shards."""
+def _shards(batches: Iterator[pa.RecordBatch], of: str, kind: type, limit: int = STEP_BYTES) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+    """(shard, pieces of about ``limit`` bytes, whether they are its first) of rows in the order of shards."""
     here, pieces, held, first = None, [], 0, True
     for batch in batches:
-        for shard, codes in zip(column(batch, "shard").to_pylist(), column(batch, "codes"), strict=True):
-            if pieces and (shard != here or held > STEP_BYTES):
+        for shard, codes in zip(column(batch, "shard").to_pylist(), column(batch, of), strict=True):
+            if pieces and (shard != here or held > limit):
                 yield here, pieces, first
                 first, pieces, held = shard != here, [], 0
             here = shard
-            pieces.append(np.frombuffer(codes.as_py(), np.int32))
-            held += len(pieces[-1]) * 4
+            pieces.append(np.frombuffer(codes.as_py(), kind))
+            held += pieces[-1].nbytes
     if pieces:
         yield here, pieces, first
 
@@ -321,10 +322,10 @@ def train(pieces: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
     model = Bilinear.start(share)
     shards = max(1, round(counts.total / SHARD_TOKENS))
     for round_ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model, counts, share))
+        shared = spark.sparkContext.broadcast((model, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
-            start, own, share_ = shared.value
+            start, share_ = shared.value
             trainer = None
 
             def out() -> Iterator[pa.RecordBatch]:
@@ -332,11 +333,11 @@ def train(pieces: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
                     flat = np.round(trainer.model.flat().astype(np.float64) * POINT).astype(np.int64) * trainer.steps
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1) - 1, pa.int32()), pa.array(np.append(trainer.steps, flat))], ["at", "value"])
 
-            for shard, held, first in _shards(batches):
+            for shard, held, first in _shards(batches, "classes", np.uint16):
                 if first:
                     yield from out()
                     trainer = Trainer(start.like(start.flat()), share_, 7919 * shard + round_)
-                classes = _classes_of(own, np.concatenate(held))
+                classes = np.concatenate(held).astype(np.int64)
                 target = np.ones(len(classes), bool)
                 begins = np.cumsum([0, *map(len, held)])[:-1]
                 target[begins] = target[begins + 1] = False
@@ -348,7 +349,7 @@ def train(pieces: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
             yield from out()
 
         # ranges deal shards evenly and never split one
-        rows = pieces.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "mixed", "codes").select("shard", "codes")
+        rows = pieces.select("shard", "mixed", "classes").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "mixed", "classes")
         sums = rows.mapInArrow(run, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")
         if len(sums):
             values = sums["value"].to_numpy(np.float64)
@@ -356,13 +357,27 @@ def train(pieces: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
     return model, share
 
 
+def _held(batches: Iterator[pa.RecordBatch], limit: int = 8 * STEP_BYTES) -> Iterator[list[np.ndarray]]:
+    """Codes of pieces, some at a time: the more are counted together, the fewer rows leave a task."""
+    held, size = [], 0
+    for batch in batches:
+        for codes in column(batch, "codes"):
+            held.append(np.frombuffer(codes.as_py(), np.int32))
+            size += held[-1].nbytes
+            if size > limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def pair_counts(pieces: DataFrame, counts: Counts) -> DataFrame:
     """ending, before (a class), word (place in the head) and n of all training tokens in the head that have no class of their own."""
     shared = pieces.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for _, held, _ in _shards(batches):
+        for held in _held(batches):
             codes = np.concatenate(held)
             inner = codes >= 0
             inner[inner] = own.single[codes[inner]] < 0
@@ -374,7 +389,7 @@ def pair_counts(pieces: DataFrame, counts: Counts) -> DataFrame:
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(own.ending(own.kind[word]).astype(np.int32)), pa.array((keys >> 32).astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(n.astype(np.int64))], ["ending", "before", "word", "n"])
 
-    rows = pieces.select("shard", "codes").mapInArrow(run, "ending int, before int, word int, n long")
+    rows = pieces.select("codes").mapInArrow(run, "ending int, before int, word int, n long")
     return rows.groupBy("ending", "before", "word").agg(F.sum("n").alias("n"))
 
 
@@ -445,7 +460,7 @@ def train_within(pieces: DataFrame, counts: Counts, model: Bilinear) -> Inner:
         return pa.table({"ending": pa.array([key[0].as_py()], pa.int32()), "vectors": pa.array([vectors.tobytes()], pa.binary()), "norms": pa.array([norms.astype(np.float32).tobytes()], pa.binary())})
 
     grouped = pair_counts(pieces, counts).groupBy("ending").applyInArrow(run, "ending int, vectors binary, norms binary")
-    for row in grouped.toLocalIterator():
+    for row in grouped.collect():  # HEAD vectors at most
         u[members[ending[members] == row["ending"]]] = np.frombuffer(row["vectors"], np.float16).reshape(-1, WIDTH)
         norm[row["ending"]] = np.frombuffer(row["norms"], np.float32)
     return Inner(u, left, norm.astype(np.float32))
