@@ -67,6 +67,17 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file to a fresh place in the shared folder; it goes when the application ends."""
+    path = scratch(spark, "file")
+    at, files = _files(spark, f"{path}/{name}")
+    out = files.create(at)
+    out.write(bytearray(data))
+    out.close()
+    files.deleteOnExit(at.getParent())
+    return f"{path}/{name}"
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:

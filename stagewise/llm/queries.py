@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.llm import chat, decontaminate, language_id, lm_score, matroska, near_dedup, packing, pii, site_style, token_store
+from stagewise.llm import alignment, chat, decontaminate, ffd_packing, language_id, lm_score, matroska, near_dedup, packing, pii, site_style, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
+def op13_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ffd_packing.first_fit_pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_disclosure_sanitising": op1_disclosure_sanitising,
@@ -67,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
         "op9_minhash_forest": op9_minhash_forest,
         "op10_log_bilinear": op10_log_bilinear,
+        "op12_tokenizer_alignment": op12_tokenizer_alignment,
+        "op13_first_fit_packing": op13_first_fit_packing,
     }
 
 
