@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.llm import alignment, chat, decontaminate, ffd_packing, language_id, lm_score, matroska, near_dedup, packing, pii, site_style, token_store
+from stagewise.llm import alignment, chat, decontaminate, ffd_packing, language_id, lm_score, matroska, near_dedup, packing, phrases, pii, site_style, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
 
@@ -75,10 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
         "op9_minhash_forest": op9_minhash_forest,
         "op10_log_bilinear": op10_log_bilinear,
+        "op11_phrase_growth": op11_phrase_growth,
         "op12_tokenizer_alignment": op12_tokenizer_alignment,
         "op13_first_fit_packing": op13_first_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_snapshot_collapse": chat.ORACLE}
+    return {"op4_snapshot_collapse": chat.ORACLE, "op11_phrase_growth": phrases.ORACLE}
