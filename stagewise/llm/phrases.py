@@ -5,10 +5,11 @@ A word is known by a 64-bit hash of its language and its letters. Level by level
 1. words: every partition reduces its words to distinct ones with counts; infrequent ones
    are let go by a filter of fixed size. The filter may let others through, which costs
    rows, never results.
-2. pairs of neighbouring words, the same way.
-3. growth: from each place where a frequent pair is followed by another one, a pointer is
-   projected to the prefix pair, with the words it points at (five at most, cut where a
-   pair isn't frequent) and the number of equal places in its partition. All pointers of
+2. pairs of neighbouring words, the same way. Triples of two frequent pairs are counted by
+   their hash alone, which can only raise a count: they too make a filter.
+3. growth: from each place of a frequent triple a pointer is projected to the prefix pair,
+   with the words it points at (five at most, cut where a triple isn't frequent) and the
+   number of equal places in its partition. All pointers of
    a prefix are one task's (a task takes many prefixes, one after the other), which
    extends the prefix to the right depth first: pointers are split by their next word,
    and each word with enough places is a longer prefix with its own pointers. A prefix
@@ -47,6 +48,7 @@ HELD = 1 << 20
 UNKNOWN = "und"
 _H = [f"h{k}" for k in range(1, MOST_WORDS + 1)]
 
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _BREAK = np.zeros(256, bool)
@@ -115,16 +117,23 @@ def _read(batches: Iterator[pa.RecordBatch], seed: int, check: bool = False) ->
                 yield words, langs[lo:hi]
 
 
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash of all columns."""
+    key = columns[0].view(np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns[1:]:
+            key = mix64(key) + c.view(np.uint64)
+    return mix64(key)
+
+
 def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sums of ``counts`` over equal rows, and the place of one row of each.
 
-    Rows are sorted by a hash of all columns and told apart by the columns themselves; rows
-    of equal hashes may come out in several parts, whose counts are summed later.
+    Rows are sorted by the first column's upper half (rows that begin alike shuffle in less
+    space) and a hash of all columns, and told apart by the columns themselves; rows of
+    equal keys may come out in several parts, whose counts are summed later.
     """
-    with np.errstate(over="ignore"):
-        key = columns[0].view(np.uint64)
-        for c in columns[1:]:
-            key = mix64(key) + c.view(np.uint64)
+    key = columns[0].view(np.uint64) & _UPPER | _key(columns) >> np.uint64(32)
     order = np.argsort(key, kind="stable")
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -157,11 +166,7 @@ def _summed(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.R
 
 def _bit(columns: list[np.ndarray]) -> np.ndarray:
     """Place of a row in a filter."""
-    with np.errstate(over="ignore"):
-        key = columns[0].view(np.uint64)
-        for c in columns[1:]:
-            key = mix64(key) + c.view(np.uint64)
-    return (mix64(key) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (_key(columns) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _filter(frequent: DataFrame, columns: list[str]) -> np.ndarray:
@@ -210,14 +215,14 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def count_pairs(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
-    """h1, h2 and n of neighbouring words that the filter lets through; h1, lang and word of each such word once."""
+    """h1, h2 and n of neighbouring words that the filter lets through; h1 and ``spelled`` (word, tab, language) of each such word."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, spelled = shared.value, np.zeros(0, np.int64)
         told: list[pa.RecordBatch] = []
-        schema = ["h1", "h2", "n", "lang", "word"]
+        schema = ["h1", "h2", "n", "spelled"]
 
         def rows() -> Iterator[list[np.ndarray]]:
             nonlocal spelled
@@ -230,38 +235,60 @@ def count_pairs(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
                 spelled = np.union1d(spelled, fresh[new]) if len(spelled) < HELD else fresh
                 if len(place):
                     nothing = pa.nulls(len(place), pa.int64())
-                    spoken = pa.array([langs[d] for d in words.document[place].tolist()], pa.string())
-                    told.append(pa.RecordBatch.from_arrays([pa.array(words.hash[place]), nothing, nothing, spoken, pa.array(words.spell(place), pa.string())], schema))
+                    said = [f"{w}\t{langs[d]}" for w, d in zip(words.spell(place), words.document[place].tolist(), strict=True)]
+                    told.append(pa.RecordBatch.from_arrays([pa.array(words.hash[place]), nothing, nothing, pa.array(said, pa.string())], schema))
                 yield [words.hash[at], words.hash[at + 1]]
 
         for batch in _summed(rows(), ["h1", "h2", "n"]):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.nulls(len(batch), pa.string())] * 2], schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.string())], schema)
             yield from told
             told.clear()
         yield from told
 
-    counted = docs.mapInArrow(run, "h1 long, h2 long, n long, lang string, word string")
-    return counted.groupBy("h1", "h2", "lang", "word").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(run, "h1 long, h2 long, n long, spelled string")
+    return counted.groupBy("h1", "h2", "spelled").agg(F.sum("n").alias("n"))
 
 
-def project(docs: DataFrame, pairs: np.ndarray, seed: int) -> DataFrame:
-    """h1 to h5 (0 where cut) and n: the words that each pointer of a frequent pair points at."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pairs)
+def _triples(words: Words) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where three words stand in one piece, and the three."""
+    at = np.flatnonzero(words.joined[:-1] & words.joined[1:])
+    return at, [words.hash[at], words.hash[at + 1], words.hash[at + 2]]
+
+
+def count_triples(docs: DataFrame, pairs: np.ndarray, seed: int) -> DataFrame:
+    """key (a hash) and n of triples whose two pairs the filter lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def rows() -> Iterator[list[np.ndarray]]:
+            for words, _ in _read(batches, seed):
+                _, (a, b, c) = _triples(words)
+                both = _passes(bits, [a, b]) & _passes(bits, [b, c])
+                yield [_key([a[both], b[both], c[both]]).view(np.int64)]
+
+        yield from _summed(rows(), ["key", "n"])
+
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def project(docs: DataFrame, triples: np.ndarray, seed: int) -> DataFrame:
+    """h1 to h5 (0 where cut) and n: the words that each pointer of a frequent triple points at."""
+    shared = docs.sparkSession.sparkContext.broadcast(triples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
 
         def rows() -> Iterator[list[np.ndarray]]:
             for words, _ in _read(batches, seed):
-                h = np.append(words.hash, np.zeros(MOST_WORDS, np.int64))
-                goes_on = np.zeros(len(h), bool)
-                at = np.flatnonzero(words.joined)
-                goes_on[at] = _passes(bits, [words.hash[at], words.hash[at + 1]])
-                at = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+                h, goes_on = np.append(words.hash, np.zeros(MOST_WORDS, np.int64)), np.zeros(len(words) + MOST_WORDS, bool)
+                at, three = _triples(words)
+                goes_on[at] = _passes(bits, [_key(three).view(np.int64)])
+                at = np.flatnonzero(goes_on)
                 columns, on = [h[at], h[at + 1], h[at + 2]], np.ones(len(at), bool)
                 for k in range(3, MOST_WORDS):
-                    on &= goes_on[at + k - 1]
+                    on &= goes_on[at + k - 2]
                     columns.append(np.where(on, h[at + k], 0))
                 yield columns
 
@@ -356,10 +383,11 @@ def frequent_phrases(df: DataFrame, least: int = LEAST, task_rows: int = TASK_RO
         seed += 1
     totals = words.where("h1 is null").select("lang", "n")
     words = words.where("h1 is not null")
-    pairs = stored(count_pairs(docs, _filter(words, ["h1"]), seed).where((F.col("n") >= least) | F.col("word").isNotNull()), "phrase-pairs")
-    spelled = pairs.where("word is not null").join(words.select("h1"), "h1", "left_semi").select("h1", "lang", "word")
-    pairs = pairs.where("word is null").select("h1", "h2", "n")
-    pointers = stored(project(docs, _filter(pairs, ["h1", "h2"]), seed), "phrase-pointers")
+    pairs = stored(count_pairs(docs, _filter(words, ["h1"]), seed).where((F.col("n") >= least) | F.col("spelled").isNotNull()), "phrase-pairs")
+    spelled = pairs.where("spelled is not null").join(words.select("h1"), "h1", "left_semi").select("h1", F.expr("substr(spelled, instr(spelled, '\t') + 1)").alias("lang"), F.substring_index("spelled", "\t", 1).alias("word"))
+    pairs = pairs.where("spelled is null").select("h1", "h2", "n")
+    triples = count_triples(docs, _filter(pairs, ["h1", "h2"]), seed).where(F.col("n") >= least)
+    pointers = stored(project(docs, _filter(triples, ["key"]), seed), "phrase-pointers")
     single = words.select(F.array("h1").alias("phrase"), F.col("n").alias("f"))
     double = pairs.select(F.array("h1", "h2").alias("phrase"), F.col("n").alias("f"))
     return stored(single.unionByName(double).unionByName(grown(pointers, least, task_rows)), "phrases"), spelled, totals
