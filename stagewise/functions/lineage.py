@@ -36,3 +36,19 @@ def folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the checkpoint folder."""
     _shared(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder (in folders of ``by``) and read back: computed once, where ``cut`` computes twice."""
+    path = folder(df.sparkSession, name)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(table: DataFrame) -> None:
+    """Delete a kept table (one without folders of its own) that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stagewise.functions.arith import pair_hash32
 from stagewise.operators.prepare import dense_ids
 
 #: Exclusions up to which a user's popular items come from the array sent to every task.
 SHORT = 1000
-#: Group vectors up to which they are sent to every task.
-SENT_GROUPS = 4096
 
 
 def top_k(scored: DataFrame, k: int | Column, by: str = "score") -> DataFrame:
@@ -62,10 +59,12 @@ def popularity(train: DataFrame, k: int = 100, exclude: DataFrame | None = None,
 
 def random_items(train: DataFrame, k: int = 100, seed: int = 42, users: DataFrame | None = None) -> DataFrame:
     """Items in hash order of (user, item); score is the hash as a share."""
-    items = train.select("item_id").distinct()
+    from stagewise.operators.blocks import best_of_all, hashes
+
+    nothing = F.array(F.lit(0.0)).alias("vector")
+    items = train.select("item_id").distinct().select("item_id", nothing)
     users = train.select("user_id").distinct() if users is None else users.select("user_id")
-    scored = users.crossJoin(items).withColumn("score", pair_hash32("user_id", "item_id", seed) / F.lit(float(2**32)))
-    return top_k(unseen(scored, train), k)
+    return best_of_all(users.select("user_id", nothing), items, k, hashes(seed), exclude=train)
 
 
 def item_similarity(train: DataFrame) -> DataFrame:
@@ -127,9 +126,11 @@ def profile_knn(train: DataFrame, k: int = 100, users: DataFrame | None = None)
     n = rows.groupBy("item_id").agg(F.sqrt(F.count("*")).alias("norm"))
     unit = rows.join(n, "item_id").select("user_id", "item_id", (1 / F.col("norm")).alias("w"))
     want = rows if users is None else rows.join(users.select("user_id"), "user_id", "left_semi")
-    profile = want.select(F.col("user_id").alias("who"), "item_id").join(unit, "item_id").groupBy("who", "user_id").agg(F.sum("w").alias("p"))
-    length = profile.groupBy("who").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("length"))
-    dots = profile.join(unit, "user_id").groupBy("who", "item_id").agg(F.sum(F.col("p") * F.col("w")).alias("dot"))
+    # whole numbers and decimals add up to the same sum in any order; no sum of w or p * w exceeds a history's length
+    exact = lambda x: F.sum(F.round(x * F.lit(1e12)).cast("long")) / F.lit(1e12)
+    profile = want.select(F.col("user_id").alias("who"), "item_id").join(unit, "item_id").groupBy("who", "user_id").agg(exact(F.col("w")).alias("p"))
+    length = profile.groupBy("who").agg(F.sqrt(F.sum((F.col("p") * F.col("p")).cast("decimal(28,12)")).cast("double")).alias("length"))
+    dots = profile.join(unit, "user_id").groupBy("who", "item_id").agg(exact(F.col("p") * F.col("w")).alias("dot"))
     scored = dots.join(length, "who").select(F.col("who").alias("user_id"), "item_id", F.round(F.col("dot") / F.col("length"), 9).alias("score"))
     return top_k(unseen(scored, train), k)
 
@@ -227,16 +228,16 @@ def dense(vectors: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
 
     vectors: item_id, vector; groups: user_id, item_id.
     """
-    mean = mean_vectors(vectors, groups)
-    # vectors meet every group; groups are sent to the vectors only while they are few
-    scored = vectors.crossJoin(F.broadcast(mean) if mean.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS else mean).select("user_id", "item_id", F.round(dot(F.col("m"), F.col("vector")), 9).alias("score"))
-    return top_k(unseen(scored, groups), k)
+    from stagewise.operators.blocks import best_of_all
+
+    return best_of_all(mean_vectors(vectors, groups).withColumnRenamed("m", "vector"), vectors, k, exclude=groups)
 
 
 def from_interests(interests: DataFrame, items: DataFrame, k: int = 100) -> DataFrame:
     """Candidates from given embeddings, several per user: an item's score is its best dot product."""
-    scored = items.crossJoin(interests).groupBy("user_id", "item_id").agg(F.max(F.round(dot(F.col("interest"), F.col("vector")), 9)).alias("score"))
-    return top_k(scored, k)
+    from stagewise.operators.blocks import best_of_all
+
+    return best_of_all(interests.withColumnRenamed("interest", "vector"), items, k)
 
 
 def with_fallback(candidates: DataFrame, users: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -40,9 +40,9 @@ def _(f: Frames):
 
 @query("itemknn_profile", f"""
 SELECT * FROM (WITH unit AS (SELECT t.user_id, t.item_id, 1 / sqrt(p.n) AS w FROM train t JOIN pop p USING (item_id)),
-profile AS (SELECT t.user_id AS who, u.user_id, sum(u.w) AS p FROM train t JOIN unit u USING (item_id) GROUP BY t.user_id, u.user_id),
-size AS (SELECT who, sqrt(sum(p * p)) AS length FROM profile GROUP BY who),
-dots AS (SELECT who, item_id, sum(p * w) AS dot FROM profile JOIN unit USING (user_id) GROUP BY who, item_id)
+profile AS (SELECT t.user_id AS who, u.user_id, CAST(sum(CAST(round(u.w * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 AS p FROM train t JOIN unit u USING (item_id) GROUP BY t.user_id, u.user_id),
+size AS (SELECT who, sqrt(CAST(sum(CAST(p * p AS DECIMAL(28,12))) AS DOUBLE)) AS length FROM profile GROUP BY who),
+dots AS (SELECT who, item_id, CAST(sum(CAST(round(p * w * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 AS dot FROM profile JOIN unit USING (user_id) GROUP BY who, item_id)
 {_ranked(f"SELECT * FROM (SELECT d.who AS user_id, d.item_id, round(d.dot / z.length, 9) AS score FROM dots d JOIN size z USING (who)) s WHERE {_UNSEEN}", 20)})""")
 def _(f: Frames):
     return rounded(retrieve.profile_knn(f.train, 20))
@@ -83,7 +83,7 @@ w AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM item_text)) / (1
 v AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM w),
 h AS (SELECT user_id, count(*) AS n FROM train GROUP BY user_id),
 profile AS (SELECT t.user_id, v.term, sum(v.weight) / any_value(h.n) AS p FROM train t JOIN v USING (item_id) JOIN h USING (user_id) GROUP BY t.user_id, v.term),
-size AS (SELECT user_id, sqrt(sum(p * p)) AS length FROM profile GROUP BY user_id),
+size AS (SELECT user_id, sqrt(CAST(sum(CAST(p * p AS DECIMAL(28,12))) AS DOUBLE)) AS length FROM profile GROUP BY user_id),
 d AS (SELECT c.user_id, c.item_id, sum(v.weight * p.p) AS dot FROM cand c JOIN v USING (item_id) JOIN profile p ON p.user_id = c.user_id AND p.term = v.term GROUP BY c.user_id, c.item_id)
 {_ranked("SELECT c.user_id, c.item_id, round(0.7 * c.score + 0.3 * coalesce(d.dot / nullif(z.length, 0), 0), 9) AS score FROM cand c LEFT JOIN d USING (user_id, item_id) LEFT JOIN size z USING (user_id)", 20)})""")
 def _(f: Frames):
