@@ -261,16 +261,12 @@ def count_triples(docs: DataFrame, pairs: np.ndarray, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        for words, _ in _read(batches, seed):
+            _, (a, b, c) = _triples(words)
+            both = _passes(bits, [a, b]) & _passes(bits, [b, c])
+            yield pa.RecordBatch.from_arrays([pa.array(_key([a[both], b[both], c[both]]).view(np.int64))], ["key"])
 
-        def rows() -> Iterator[list[np.ndarray]]:
-            for words, _ in _read(batches, seed):
-                _, (a, b, c) = _triples(words)
-                both = _passes(bits, [a, b]) & _passes(bits, [b, c])
-                yield [_key([a[both], b[both], c[both]]).view(np.int64)]
-
-        yield from _summed(rows(), ["key", "n"])
-
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def project(docs: DataFrame, triples: np.ndarray, seed: int) -> DataFrame:
