@@ -174,7 +174,7 @@ def test_pair_counts_are_sorted_runs(spark, docs):
 
 def test_word_ids_equal_whole_encoding():
     whole, r = Tokenizer.from_file(word_vocabulary()), random.Random(1)
-    bits = ["a", "The", "É", "Über", " ", " ", "\n", ".", ",", "'S", "12", "\t", "́", "<|endoftext|>", "ß", "İ", "中", "Σ", "\xa0"]
+    bits = ["a", "The", "É", "Über", " ", " ", "\n", ".", ",", "'S", "12", "\t", "́", "<|endoftext|>", "ß", "İ", "中", "Σ", "\xa0", "\x85", "\x1c", "\u3000", "\u2000", "\u2028", "\x0b"]
     for _ in range(3000):
         text = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
         assert encode_words(word_vocabulary(), text) == array("I", whole.encode(text, add_special_tokens=False).ids).tobytes(), text
