@@ -46,7 +46,7 @@ from stagewise.llm.common import documents_of, put, ship, steps, stored, utf8
 from stagewise.llm.tokens import _LATIN, _LETTERS, default_vocabulary
 
 #: Chunks of one generation of the cache (two are kept per worker), and the longest chunk kept.
-CACHE_CHUNKS, CACHE_LENGTH = 120_000, 64
+CACHE_CHUNKS, CACHE_LENGTH = 60_000, 64
 #: Bytes of text aligned at a time (a longer text is a step of its own).
 STEP_BYTES = 1 << 20
 #: Distinct keys a task holds before it merges its partial counts.
