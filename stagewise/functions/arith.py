@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Fixed multiplier and modulus of the hash.
@@ -19,3 +19,11 @@ def pair_hash32(user: Column | str, item: Column | str, seed: int = 42) -> Colum
     """Hash of a (user, item) pair."""
     user, item = (F.col(c) if isinstance(c, str) else c for c in (user, item))
     return hash32(F.pmod(user * F.lit(1_000_003) + item * F.lit(7919), F.lit(2_000_000_011)), seed)
+
+
+def softmax(score: Column | str, temperature: float, *group: str) -> Column:
+    """A row's share of its group: exp(score / temperature) over the group's sum, taken from the largest score so that it can't overflow."""
+    score = F.col(score) if isinstance(score, str) else score
+    own = Window.partitionBy(*group)
+    power = F.exp((score - F.max(score).over(own)) / F.lit(float(temperature)))
+    return power / F.sum(power).over(own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stagewise.functions.arith import softmax
 from stagewise.plans.base import F, Frames, query, rounded
 from stagewise.sources import runs, tables
 from stagewise.streaming import detector, logs
@@ -142,3 +143,18 @@ def _(f: Frames):
     n = f.train.groupBy("user_id").agg(F.count("*").alias("n"))
     rows = f.train.join(n, "user_id").select(tier.alias("tier"), (F.col("item_id") % 5 == 0).cast("int").alias("expert"))
     return router_entropy(rows, "tier").withColumn("entropy", F.round("entropy", 6))
+
+
+@query("event_sliding", "SELECT w AS begin, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS w FROM events) GROUP BY 1, 2")
+def _(f: Frames):
+    return logs.sliding(f.table("events"))
+
+
+@query("first_records", "SELECT user_id, event_type, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1")
+def _(f: Frames):
+    return logs.first_records(f.table("events").select("user_id", "event_type", "ts", "value"), ["user_id", "event_type"])
+
+
+@query("softmax_shares", "SELECT user_id, item_id, round(e / sum(e) OVER (PARTITION BY user_id), 6) AS share FROM (SELECT user_id, item_id, exp((score - max(score) OVER (PARTITION BY user_id)) / 0.5) AS e FROM cand)")
+def _(f: Frames):
+    return rounded(f.cand.select("user_id", "item_id", softmax("score", 0.5, "user_id").alias("share")))

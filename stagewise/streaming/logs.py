@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+def table_stream(spark: SparkSession, path: str, schema: StructType, files: int | None = None) -> DataFrame:
+    """New Parquet files of a folder as a stream, ``files`` of them a step at most."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def latest_per_user(log: DataFrame, arrival: str = "ts") -> DataFrame:
@@ -23,6 +24,24 @@ def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("begin"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+def sliding(events: DataFrame, size: str = "1 hour", every: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums per overlapping window and event type; as a stream, rows behind the watermark are left out. An extension."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", size, every), "event_type")
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("begin"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+def first_records(log: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """The first record of each key, for logs that append a record again after a restart.
+
+    A stream keeps a key until the watermark has passed its record by ``late``, so its state
+    is bounded; a repetition later than that counts as new. A table keeps one record a key.
+    """
+    if log.isStreaming:
+        return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    rest = [c for c in log.columns if c not in keys]
+    return log.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ts").alias("r")).select(*keys, "r.*").select(*log.columns)
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions per user by a gap. An extension."""
     w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
