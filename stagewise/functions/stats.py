@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stagewise.functions.arith import hash32
+from stagewise.functions.arith import MODULUS, hash32
 from stagewise.functions.lineage import cut
 
 #: Values up to which resampling sends them to every task.
@@ -59,18 +64,65 @@ def bootstrap_difference(values: DataFrame, a: str, b: str, draws: int = 1000, s
     return diffs.agg(F.avg("d").alias("diff")).join(F.broadcast(tails)).select("diff", "low", "high", F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p"))
 
 
+#: Rounds of the shuffle, and fixed values of its hash: multipliers below 2^31 and a modulus that keeps products in 63 bits.
+ROUNDS, MIX_ONE, MIX_TWO, KEYS = 24, 1597334677, 1597334773, 2_000_000_011
+#: Values are compared as whole numbers of this part.
+PART = 1_000_000_000
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x * MIX_ONE + seed) % MODULUS
+    return (x ^ (x >> 15)) * MIX_TWO % MODULUS
+
+
+def dealt_places(at: np.ndarray, salts: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """The places that positions below ``size`` take in the permutation of these salts, one a round.
+
+    Swap-or-not rounds: a position and its mirror about a key change places or stay together,
+    by a hash of the larger one. Every round is a bijection of the positions, whatever their number.
+    """
+    x = at
+    for salt in salts.tolist():
+        mirror = (salt - x) % size
+        key = (np.maximum(x, mirror) % KEYS * 3 + salt) % KEYS
+        x = np.where(_mixed(key, seed) >> 31 == 1, mirror, x)
+    return x
+
+
 def permutation_test(values: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """Pooled permutation: the values of both arms, pairs broken up, fall to two sides again; share of draws as far apart as the arms.
+    """Pooled permutation: the values of both arms, pairs broken up, are dealt to two sides of equal size again.
 
-    Each value's side is a bit of a hash, so the sides are of equal size in the mean and
-    no draw is sorted: sums are taken where the values lie.
+    diff and p, the share of draws whose sides lie as far apart as the arms. Positions are
+    permuted by a keyed bijection, so a draw needs no sort and its halves are exact; a task adds
+    its values up for all draws and sends one sum a draw. Sums are of whole billionths, so
+    neither ties nor the order of rows decide by rounding. values: user_id (each once), a, b;
+    pairs with a null are left out; p is null without pairs.
     """
-    pooled = values.select("user_id", F.explode(F.array(F.struct(F.lit(0).alias("arm"), F.col(a).alias("v")), F.struct(F.lit(1).alias("arm"), F.col(b).alias("v")))).alias("x")).select((F.col("user_id") * 2 + F.col("x.arm")).alias("key"), "x.v")
-    drawn = pooled.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    side = F.floor(F.pmod(hash32(F.pmod(F.col("key") * F.lit(10_007) + F.col("draw") * F.lit(7919), F.lit(2_000_000_011)), seed), F.lit(65536)) / 32768)
-    means = drawn.groupBy("draw").agg((F.avg(F.when(side == 0, F.col("v"))) - F.avg(F.when(side == 1, F.col("v")))).alias("gap"))
-    seen = values.agg(F.avg(F.col(a) - F.col(b)).alias("diff"))
-    return means.join(F.broadcast(seen)).agg(F.first("diff").alias("diff"), F.avg((F.abs(F.round("gap", 12)) >= F.abs(F.round("diff", 12))).cast("int")).alias("p"))
+    from stagewise.operators.prepare import dense_ids
+
+    whole = lambda c: F.round(F.col(c) * PART).cast("long")
+    pairs = cut(values.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("user_id", whole(a).alias("x"), whole(b).alias("y")))
+    n = pairs.count()
+    ids = dense_ids(pairs, "user_id")
+    placed = pairs.join(ids, pairs.user_id == ids.raw_id).select(F.col("dense_id").cast("long").alias("at"), "x", "y")
+
+    salts = _mixed(np.arange(draws * ROUNDS) % KEYS, seed).reshape(draws, ROUNDS)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [0] * draws
+        for rows in batches:
+            at = np.concatenate([2 * rows["at"].to_numpy(), 2 * rows["at"].to_numpy() + 1])
+            v = np.concatenate([rows["x"].to_numpy(), rows["y"].to_numpy()])
+            for d in range(draws):
+                sums[d] += int(v[dealt_places(at, salts[d], 2 * n, seed) < n].sum())
+        yield pd.DataFrame({"draw": range(draws), "first": [Decimal(s) for s in sums]})
+
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    dealt = placed.mapInPandas(deal, "draw long, first decimal(38,0)").groupBy("draw").agg(exact("first").alias("first"))
+    seen = pairs.agg(exact("x").alias("sx"), exact("y").alias("sy"), F.count("*").alias("n"))
+    diff = (F.col("sx") - F.col("sy")).cast("double") / PART / F.nullif("n", F.lit(0))
+    far = F.abs(2 * F.col("first") - F.col("sx") - F.col("sy")) >= F.abs(F.col("sx") - F.col("sy"))
+    return seen.join(F.broadcast(dealt), F.lit(True), "left").groupBy(diff.alias("diff"), "n").agg(F.avg(far.cast("int")).alias("p")).select("diff", F.when(F.col("n") > 0, F.col("p")).alias("p"))
 
 
 def average_rank(order: Column, partition: list[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagewise.functions import stats
+from stagewise.functions import distributions, stats
 from stagewise.plans.base import F, Frames, hash_sql, query, rounded
 
 _N = "(SELECT count(*) FROM two_arms)"
@@ -22,7 +22,22 @@ def _(f: Frames):
     return rounded(stats.bootstrap_difference(f.two_arms, "a", "b"))
 
 
-@query("permutation_test", f"SELECT round(any_value(d), 6) AS diff, round(avg(CASE WHEN abs(round(mean, 12)) >= abs(round(d, 12)) THEN 1 ELSE 0 END), 6) AS p FROM (SELECT g, avg(v) FILTER ({hash_sql('((key * 10007 + g * 7919) % 2000000011)', 7)} % 65536 < 32768) - avg(v) FILTER ({hash_sql('((key * 10007 + g * 7919) % 2000000011)', 7)} % 65536 >= 32768) AS mean FROM (SELECT user_id * 2 AS key, a AS v FROM two_arms UNION ALL SELECT user_id * 2 + 1, b FROM two_arms), range(0, 1000) r(g) GROUP BY g), (SELECT avg(a - b) AS d FROM two_arms)")
+def _mixed(x: str) -> str:
+    first = f"(({x}) * {stats.MIX_ONE} + 7) % {stats.MODULUS}"
+    return f"(xor({first}, ({first}) >> 15) * {stats.MIX_TWO} % {stats.MODULUS})"
+
+
+#: A position's place after the shuffle of a draw: d, the draw's salts in order, and 2 n positions.
+_DEALT = f"list_reduce(list_prepend(pl, salts), lambda x, salt: CASE WHEN {_mixed(f'(greatest(x, (salt - x % m + m * 4294967296) % m) % {stats.KEYS} * 3 + salt) % {stats.KEYS}')} >> 31 = 1 THEN (salt - x + m * 4294967296) % m ELSE x END)"
+
+
+@query("permutation_test", f"""
+SELECT * FROM (WITH p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, CAST(round(a * 1000000000) AS BIGINT) AS x, CAST(round(b * 1000000000) AS BIGINT) AS y FROM two_arms),
+v AS (SELECT 2 * i AS pl, x AS v FROM p UNION ALL SELECT 2 * i + 1, y FROM p),
+s AS (SELECT g, list_transform(range(0, {stats.ROUNDS}), lambda r: {_mixed(f'g * {stats.ROUNDS} + r')}) AS salts FROM range(0, 1000) r(g)),
+t AS (SELECT sum(x) AS sx, sum(y) AS sy, avg((x - y) / 1000000000) AS d, 2 * count(*) AS m FROM p)
+SELECT round(any_value(d), 6) AS diff, round(avg(CASE WHEN abs(2 * first - sx - sy) >= abs(sx - sy) THEN 1 ELSE 0 END), 6) AS p FROM (
+ SELECT g, sum(v) FILTER (place < m // 2) AS first FROM (SELECT g, v, m, {_DEALT} AS place FROM v, s, (SELECT CAST(m AS BIGINT) AS m FROM t)) GROUP BY g), t)""")
 def _(f: Frames):
     return rounded(stats.permutation_test(f.two_arms, "a", "b"))
 
@@ -86,6 +101,52 @@ def _(f: Frames):
     return rounded(grid.select("n", "effect", stats.power_paired(F.col("effect"), F.col("n")).alias("power"), stats.required_n(F.col("effect")).cast("long").alias("required"), stats.detectable(F.col("n")).alias("detectable")))
 
 
+def _tail(z: str) -> str:
+    """Upper normal tail of an expression of few characters."""
+    top, bottom = (" * {x} + ".join([("(" * (len(c) - 2)) + str(c[0]), *[str(v) + ")" for v in c[1:-1]], str(c[-1])]) for c in (distributions.TAIL_TOP, distributions.TAIL_BOTTOM))
+    x = f"abs({z})"
+    fraction = f"({x} + 0.65)"
+    for k in (4, 3, 2, 1):
+        fraction = f"({x} + {k} / {fraction})"
+    upper = f"exp(-{x} * {x} / 2) * CASE WHEN {x} < {distributions.FAR} THEN ({top.replace('{x}', x)}) / ({bottom.replace('{x}', x)}) ELSE 1 / ({fraction} * {distributions.ROOT}) END"
+    return f"(CASE WHEN {z} >= 0 THEN {upper} ELSE 1 - {upper} END)"
+
+
+def _over_s(df: str, of: str) -> str:
+    """Mean of an expression of s over the grid of the operator."""
+    low, high = f"-(32 / {df} + 8 / sqrt(2 * {df}))", f"8 / sqrt(2 * {df})"
+    grid = f"list_transform(range(0, {distributions.POINTS + 1}), lambda j: {low} + ({high} - ({low})) * j / {distributions.POINTS})"
+    weight = f"exp({df} * u - {df} * (exp(2 * u) - 1) / 2)"
+    return f"(list_sum(list_transform({grid}, lambda u: {weight} * {of.replace('$s', 'exp(u)')})) / list_sum(list_transform({grid}, lambda u: {weight})))"
+
+
+_CRITICAL = f"list_reduce(list_prepend({_Z}::DOUBLE, list_transform(range(0, {distributions.NEWTON}), lambda j: 0::DOUBLE)), lambda t, k: t + ({_over_s('df', _tail('(t * $s)'))} - 0.025) / {_over_s('df', f'$s * exp(-t * t * $s * $s / 2) / {distributions.ROOT}')})"
+_GROUPS = "SELECT user_id % 9 AS g, count(*) AS n, round(coalesce(avg(a - b) / nullif(stddev_samp(a - b), 0), 0), 9) AS d, coalesce(avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0), 0) AS t FROM two_arms GROUP BY 1 HAVING count(*) > 1"
+
+
+@query("power_exact", f"""
+SELECT g, n, round(d, 6) AS d, round(c, 6) AS critical, round(2 * {_over_s('df', _tail('(abs(t) * $s)'))}, 6) AS p,
+ round(CASE WHEN d = 0 THEN 0.05 ELSE {_over_s('df', f"({_tail('(c * $s - shift)')} + {_tail('(c * $s + shift)')})")} END, 6) AS power
+FROM (SELECT *, d * sqrt(n) AS shift, {_CRITICAL} AS c FROM (SELECT *, CAST(n - 1 AS DOUBLE) AS df FROM ({_GROUPS})))""")
+def _(f: Frames):
+    rows, df = _groups(f), (F.col("n") - 1).cast("double")
+    return rounded(rows.select("g", "n", "d", distributions.t_critical(df).alias("critical"), distributions.t_two_sided(F.col("t"), df).alias("p"), distributions.power_paired(F.col("d"), F.col("n")).alias("power")))
+
+
+@query("power_plan")
+def _(f: Frames):
+    """Pairs that each group's effect needs, and the effect that its pairs would find. SQL would nest three searches."""
+    rows = _groups(f).withColumn("critical", distributions.t_critical((F.col("n") - 1).cast("double")))
+    return rounded(rows.select("g", "n", "d", distributions.required_pairs(F.col("d")).alias("required"), distributions.detectable_effect(F.col("n"), F.col("critical")).alias("detectable")))
+
+
+def _groups(f: Frames):
+    d = F.col("a") - F.col("b")
+    spread = F.nullif(F.stddev_samp(d), F.lit(0.0))
+    g = f.two_arms.groupBy((F.col("user_id") % 9).alias("g")).agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(d) / spread, F.lit(0.0)), 9).alias("d"), F.coalesce(F.avg(d) / (spread / F.sqrt(F.count("*"))), F.lit(0.0)).alias("t"))
+    return g.where("n > 1")
+
+
 _OLS = "SELECT a AS y, CAST(n_hist AS DOUBLE) AS x1, b AS x2 FROM two_arms"
 
 

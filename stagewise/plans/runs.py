@@ -94,6 +94,42 @@ def _(f: Frames):
     return detector.jumps(trace(f))
 
 
+def stairs(f: Frames):
+    """Runs whose value climbs and falls by stairs of 300 events."""
+    k = F.col("event_id")
+    return f.table("events").select((k % 3).alias("run_id"), k.alias("step"), (F.floor(k / 300) % 4 + (F.col("value") - 50) / 1000).alias("value"))
+
+
+_STAIRS = "SELECT event_id % 3 AS run_id, event_id AS step, (event_id // 300) % 4 + (value - 50) / 1000 AS value FROM events"
+
+
+@query("plateau_leaps", f"""
+SELECT run_id, start AS plateau_start, step, step - start AS duration, round(before, 6) AS before, round(value, 6) AS after FROM (
+ SELECT *, last_value(CASE WHEN flat AND NOT was THEN step END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS start FROM (
+  SELECT *, coalesce(lag(flat) OVER (PARTITION BY run_id ORDER BY step), false) AS was FROM (
+   SELECT *, pl >= 40 AND sd < 0.5 AND abs(slope) < 0.5 / 20 AS flat FROM (
+    SELECT *, lag(value, 39) OVER w AS before, stddev_pop(value) OVER rest AS sd, coalesce(regr_slope(value, pl) OVER rest, 0) AS slope, avg(value) OVER late AS now,
+     avg(value) OVER early AS base, stddev_pop(value) OVER early AS dev, count(value) OVER early AS n, coalesce(regr_slope(value, pl) OVER tail, 0) AS ending
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY step) AS DOUBLE) AS pl FROM ({_STAIRS}))
+    WINDOW w AS (PARTITION BY run_id ORDER BY step), rest AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), late AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+     early AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 79 PRECEDING AND 20 PRECEDING), tail AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)))))
+WHERE NOT flat AND was AND step - start >= 20 AND n >= 10 AND dev >= 1e-6 AND (now - base) / dev > 2 AND (pl < 10 OR ending >= -0.5 / 10)""")
+def _(f: Frames):
+    return rounded(detector.leaps(stairs(f), detector.LeapRule(window=40, delta=0.5, patience=20, sustain=10)))
+
+
+@query("checkpoint_store", _LAST)
+def _(f: Frames):
+    """The event table streamed into a store, and its last record per user."""
+    from stagewise.functions.lineage import folder
+    from stagewise.sources.store import CheckpointStore
+
+    events = f.table("events")
+    store = CheckpointStore(f.spark, folder(f.spark, "store"), events.schema)
+    store.save_stream(logs.table_stream(f.spark, f"{f.sf_dir}/events.parquet*", events.schema)).awaitTermination()
+    return store.finalise(folder(f.spark, "events")).select(F.col("user_id").cast("string").alias("user_id"), "event_id", "value")
+
+
 @query("emergence_points", f"SELECT run_id, step, round(rise, 6) AS rise FROM (SELECT run_id, step, count(*) OVER w AS n, value - avg(value) OVER w AS rise FROM ({_TRACE}) WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)) WHERE n >= 5 AND rise > 0.1")
 def _(f: Frames):
     return detector.emergence(trace(f))

@@ -1,6 +1,7 @@
-"""Plateau-then-jump detection on a metric trace, as a stream with bounded state and as a batch.
+"""Plateau-then-jump detection on a metric trace, as streams with bounded state and as batches.
 
-A point is flat if, over the last ``window`` points, the standard deviation is below
+``leaps`` enters and leaves plateaus and asks for a lasting rise. ``jumps`` is a quicker rule
+for deviations either way: a point is flat if, over the last ``window`` points, the standard deviation is below
 ``spread`` and the absolute trend below ``spread`` / ``patience``. When a flat stretch of
 ``patience`` points or more ends, the point that ends it is a jump if it lies more than
 ``z`` standard deviations from the stretch's mean.
@@ -111,3 +112,90 @@ def half_jump(trace: DataFrame, window: int = 500) -> DataFrame:
     v = F.col("value")
     g = rows.groupBy("run_id").agg(F.avg(F.when(late, v)).alias("late"), F.avg(F.when(~late, v)).alias("early"), F.stddev_pop(F.when(~late, v)).alias("sd"))
     return g.select("run_id", F.round((F.col("late") - F.col("early")) / (F.col("sd") + 1e-10), 6).alias("z"))
+
+
+@dataclass(frozen=True)
+class LeapRule:
+    """``window`` points before anything is judged, twice as many remembered; plateaus of ``patience``, in points to be
+    recognised and in steps to count; ``z`` deviations of rise; the last ``sustain`` points must not fall."""
+
+    window: int = 500
+    delta: float = 0.05
+    patience: int = 200
+    z: float = 2.0
+    sustain: int = 100
+
+    def __post_init__(self) -> None:
+        if not 2 <= self.patience <= 2 * self.window:
+            raise ValueError("patience lies between 2 and twice the window")
+
+    @property
+    def late(self) -> int:
+        """Points that are held against those before them."""
+        return (self.window + 1) // 2
+
+
+LEAPS = "run_id long, plateau_start long, step long, duration long, before double, after double"
+
+
+def leaps(trace: DataFrame, rule: LeapRule = LeapRule()) -> DataFrame:
+    """Ends of plateaus that rise: run_id, plateau_start, step, duration, before, after. trace: run_id, step, value.
+
+    A run is on a plateau where its last ``patience`` points neither spread by ``delta`` nor
+    trend by ``delta / patience``. The step that leaves one is a leap if it lasted ``patience``
+    steps, the later half window exceeds what came before by ``z`` deviations (10 points a
+    side, deviation not under 1e-6), and the last ``sustain`` points don't decline. before is
+    the value one window ago. Steps of a run are distinct; null values are left out.
+    """
+    w = W.partitionBy("run_id").orderBy("step")
+    back = lambda far, near=0: w.rowsBetween(1 - far, -near)
+    rest, late, tail, early = back(rule.patience), back(rule.late), back(rule.sustain), back(2 * rule.window, rule.late)
+    slope = lambda over: F.coalesce(F.regr_slope("value", "at").over(over), F.lit(0.0))
+    rows = trace.where("value is not null").select("run_id", "step", "value", F.row_number().over(w).cast("double").alias("at"))
+    rows = rows.select(
+        "run_id", "step", "value", F.lag("value", rule.window - 1).over(w).alias("before"),
+        ((F.col("at") >= rule.window) & (F.stddev_pop("value").over(rest) < rule.delta) & (F.abs(slope(rest)) < rule.delta / rule.patience)).alias("flat"),
+        F.avg("value").over(late).alias("now"), F.avg("value").over(early).alias("base"), F.stddev_pop("value").over(early).alias("dev"), F.count("value").over(early).alias("n"),
+        ((F.col("at") < rule.sustain) | (slope(tail) >= -rule.delta / rule.sustain) | F.lit(rule.sustain > 2 * rule.window)).alias("holds"),
+    )
+    rows = rows.withColumn("was", F.coalesce(F.lag("flat").over(w), F.lit(False)))
+    rows = rows.withColumn("plateau_start", F.last(F.when(F.col("flat") & ~F.col("was"), F.col("step")), ignorenulls=True).over(w))
+    rises = (F.col("n") >= 10) & F.lit(rule.late >= 10) & (F.col("dev") >= 1e-6) & ((F.col("now") - F.col("base")) / F.col("dev") > rule.z)
+    left = rows.where(~F.col("flat") & F.col("was") & (F.col("step") - F.col("plateau_start") >= rule.patience) & rises & F.col("holds"))
+    return left.select("run_id", "plateau_start", "step", (F.col("step") - F.col("plateau_start")).alias("duration"), "before", F.col("value").alias("after"))
+
+
+def _trend(y: np.ndarray) -> float:
+    x = np.arange(len(y)) - (len(y) - 1) / 2
+    return float((x * (y - y.mean())).sum() / (x * x).sum()) if len(y) > 1 else 0.0
+
+
+def _rises(seen: np.ndarray, rule: LeapRule) -> bool:
+    early, late = seen[: -rule.late], seen[-rule.late :]
+    if min(len(early), len(late)) < 10 or early.std() < 1e-6 or (late.mean() - early.mean()) / early.std() <= rule.z:
+        return False
+    return len(seen) < rule.sustain or _trend(seen[-rule.sustain :]) >= -rule.delta / rule.sustain
+
+
+def stream_leaps(trace: DataFrame, rule: LeapRule = LeapRule()) -> DataFrame:
+    """``leaps`` as a stream. State per run: its last two windows of values and where the open plateau began.
+
+    Steps of a run arrive in order from one batch to the next, in any order within one.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, flat, begin = state.get if state.exists else ([], False, 0)
+        rows = pd.concat(list(batches)).dropna(subset=["value"]).sort_values("step")
+        values, offset, found = np.concatenate([np.asarray(recent, float), rows["value"].to_numpy(float)]), len(recent), []
+        for i, step in enumerate(rows["step"].tolist(), offset + 1):
+            seen = values[max(0, i - 2 * rule.window) : i]
+            rest = seen[-rule.patience :]
+            now = bool(len(seen) >= rule.window and rest.std() < rule.delta and abs(_trend(rest)) < rule.delta / rule.patience)
+            if flat and not now and step - begin >= rule.patience and _rises(seen, rule):
+                found.append((key[0], begin, step, step - begin, float(seen[-rule.window]), float(seen[-1])))
+            flat, begin = now, (step if now and not flat else begin)
+        state.update((values[-2 * rule.window :].tolist(), flat, begin))
+        yield pd.DataFrame(found, columns=["run_id", "plateau_start", "step", "duration", "before", "after"])
+
+    return trace.groupBy("run_id").applyInPandasWithState(update, LEAPS, "recent array<double>, flat boolean, begin long", "append", GroupStateTimeout.NoTimeout)
