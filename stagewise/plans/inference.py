@@ -93,12 +93,14 @@ def _(f: Frames):
 
 
 _Z = "1.959963984540054"
+_GROUPS = "SELECT user_id % 9 AS g, count(*) AS n, round(coalesce(avg(a - b) / nullif(stddev_samp(a - b), 0), 0), 9) AS d, coalesce(avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0), 0) AS t FROM two_arms GROUP BY 1 HAVING count(*) > 1"
 
 
-@query("power_normal", f"SELECT n, effect, round({_phi(f'(effect * sqrt(n) - {_Z})')} + {_phi(f'(-effect * sqrt(n) - {_Z})')}, 6) AS power, CAST(ceil((({_Z} + 0.8416212335729143) / effect) * (({_Z} + 0.8416212335729143) / effect)) AS BIGINT) AS required, round(({_Z} + 0.8416212335729143) / sqrt(n), 6) AS detectable FROM (VALUES (100), (500), (2000)) a(n), (VALUES (0.05::DOUBLE), (0.126), (0.5)) b(effect)")
+@query("power_normal", f"SELECT g, n, round(effect, 6) AS effect, round({_phi(f'(effect * sqrt(n) - {_Z})')} + {_phi(f'(-effect * sqrt(n) - {_Z})')}, 6) AS power, CAST(ceil((({_Z} + 0.8416212335729143) / effect) * (({_Z} + 0.8416212335729143) / effect)) AS BIGINT) AS required, round(({_Z} + 0.8416212335729143) / sqrt(n), 6) AS detectable FROM (SELECT g, n, d AS effect FROM ({_GROUPS}) WHERE d <> 0)")
 def _(f: Frames):
-    grid = f.spark.range(1).select(F.explode(F.array(F.lit(100), F.lit(500), F.lit(2000))).alias("n")).select("n", F.explode(F.array(F.lit(0.05), F.lit(0.126), F.lit(0.5))).alias("effect"))
-    return rounded(grid.select("n", "effect", stats.power_paired(F.col("effect"), F.col("n")).alias("power"), stats.required_n(F.col("effect")).cast("long").alias("required"), stats.detectable(F.col("n")).alias("detectable")))
+    rows = _groups(f).where("d <> 0")
+    return rounded(rows.select("g", "n", F.col("d").alias("effect"), stats.power_paired(F.col("d"), F.col("n")).alias("power"), stats.required_n(F.col("d")).cast("long").alias("required"), stats.detectable(F.col("n")).alias("detectable")))
+
 
 
 def _tail(z: str) -> str:
@@ -121,7 +123,6 @@ def _over_s(df: str, of: str) -> str:
 
 
 _CRITICAL = f"list_reduce(list_prepend({_Z}::DOUBLE, list_transform(range(0, {distributions.NEWTON}), lambda j: 0::DOUBLE)), lambda t, k: t + ({_over_s('df', _tail('(t * $s)'))} - 0.025) / {_over_s('df', f'$s * exp(-t * t * $s * $s / 2) / {distributions.ROOT}')})"
-_GROUPS = "SELECT user_id % 9 AS g, count(*) AS n, round(coalesce(avg(a - b) / nullif(stddev_samp(a - b), 0), 0), 9) AS d, coalesce(avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0), 0) AS t FROM two_arms GROUP BY 1 HAVING count(*) > 1"
 
 
 @query("power_exact", f"""

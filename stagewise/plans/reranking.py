@@ -309,3 +309,30 @@ def _(f: Frames):
     history = g.select("user_id", F.array_join(F.transform("h", lambda x: x["text"]), ", ").alias("history"))
     rows = rows.join(history, "user_id").join(f.item_text, "item_id")
     return rows.select("user_id", "item_id", "label", parse.pointwise_prompt(F.col("history"), F.col("text")).alias("prompt"), F.when(F.col("label") == 1, "yes").otherwise("no").alias("answer"))
+
+
+_GATE = ((0.3, 1.0, -0.5), (0.2, -2.0, 0.1), (-0.4, 0.5, 1.0), (0.1, 0.1, 0.1))
+_LOGITS = ", ".join(f"{a} * ln(n_hist) + {b} * a + {c}" for a, b, c in _GATE)
+
+
+@query("gate_topk", f"""
+SELECT user_id, expert, nth, round(p / sum(p) OVER (PARTITION BY user_id), 6) AS weight FROM (
+ SELECT user_id, expert, p, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 12) DESC, expert) AS nth FROM (
+  SELECT user_id, generate_subscripts(z, 1) - 1 AS expert, exp(unnest(z)) AS p FROM (SELECT user_id, [{_LOGITS}] AS z FROM two_arms))) WHERE nth <= 2""")
+def _(f: Frames):
+    """Two of four experts a user and their weights, by a given gate on activity and NDCG."""
+    from stagewise.operators import gate
+
+    rows = f.two_arms.select("user_id", F.array(F.log("n_hist"), "a").alias("x"))
+    routed = gate.route(rows, "x", gate.Gate(_GATE), 2)
+    return rounded(routed.select("user_id", F.posexplode(F.arrays_zip("experts", "weights")).alias("at", "r")).select("user_id", F.col("r.experts").alias("expert"), (F.col("at") + 1).alias("nth"), F.col("r.weights").alias("weight")))
+
+
+@query("gate_trained")
+def _(f: Frames):
+    """Usage of two rankings under a gate that learned from activity which of them serves a user better (learned: no SQL)."""
+    from stagewise.operators import gate
+
+    rows = f.two_arms.select("user_id", F.array(F.log("n_hist")).alias("x"), F.array("a", "b").alias("y"))
+    learned, _ = gate.train_gate(rows, "x", "y", steps=10, rate=2.0, balance=0.05)
+    return rounded(gate.usage_entropy(gate.route(rows, "x", learned, 1)), 3)
