@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from stagewise.functions import parse
 from stagewise.operators import prepare, rerank, split
-from stagewise.plans.base import F, Frames, W, pair_hash_sql, query, rounded
+from stagewise.plans.base import F, Frames, W, hash_sql, pair_hash_sql, query, rounded
 
 
 def _order(order: str, cand: str = "cand", where: str = "rank <= 30") -> str:
@@ -187,7 +187,14 @@ def _(f: Frames):
     return rerank.attention_smoothed(rows)
 
 
-@query("denoised_scores")
+_DRAWS = [f"({hash_sql('(user_id * 1000003 + item_id * 7919) % 2000000011', 42 + t)} / 4294967296.0::DOUBLE - 0.5) * sqrt(12.0::DOUBLE) * {0.1 * t / 5}" for t in range(1, 6)]
+_NOISED = f"score + {1 / 5 * 2 / 5 * 3 / 5 * 4 / 5} * ({' + '.join(_DRAWS)})"
+
+
+@query("denoised_scores", f"""
+SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(final, 9) DESC, rank) AS rank FROM (
+ SELECT user_id, unnest(items) AS item_id, unnest(ranks) AS rank, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda done, x: list_append(done, x[1] + 0.05 * list_min(list_transform(done, lambda y: abs(x[1] - y)))))) AS final FROM (
+  SELECT user_id, list(item_id ORDER BY rank) AS items, list(rank ORDER BY rank) AS ranks, list({_NOISED} ORDER BY rank) AS l FROM cand WHERE rank <= 30 GROUP BY user_id))""")
 def _(f: Frames):
     return _out(rerank.denoised(_w(f)))
 

@@ -194,3 +194,68 @@ def _(f: Frames):
 @query("softmax_shares", "SELECT user_id, item_id, round(e / sum(e) OVER (PARTITION BY user_id), 6) AS share FROM (SELECT user_id, item_id, exp((score - max(score) OVER (PARTITION BY user_id)) / 0.5) AS e FROM cand)")
 def _(f: Frames):
     return rounded(f.cand.select("user_id", "item_id", softmax("score", 0.5, "user_id").alias("share")))
+
+
+@query("dataset_listing", """
+SELECT 'counted' AS name, 'a' AS domain, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_train, (SELECT count(*) FROM truth) AS n_test, round(100 * count(*) / (count(DISTINCT user_id) * count(DISTINCT item_id)), 6) AS density, true AS present FROM train
+UNION ALL SELECT 'told', 'a', count(DISTINCT user_id), count(DISTINCT event_type), count(*), 0, 12.5, true FROM events UNION ALL SELECT 'missing', 'b', 0, 0, 0, 0, 0.0, false""")
+def _(f: Frames):
+    """One dataset that is counted, one that its statistics file answers for, one that isn't there."""
+    from stagewise.functions.lineage import folder
+
+    counted, told = folder(f.spark, "counted"), folder(f.spark, "told")
+    tables.write_splits(f.loo, counted)
+    f.table("events").select("user_id").write.parquet(f"{told}/train.parquet")
+    numbers = f.table("events").agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct("event_type").alias("n_items"), F.count("*").alias("n_train"), F.lit(12.5).alias("density_pct"))
+    numbers.coalesce(1).write.json(f"{told}/dataset_stats.json")
+    registry = tables.Registry()
+    for name, path, domain in (("counted", counted, "a"), ("told", told, "a"), ("missing", f"{told}/none", "b")):
+        registry.add(tables.Dataset(name, path, domain=domain))
+    return rounded(tables.listing(f.spark, registry))
+
+
+@query("loo_preferred", "SELECT user_id, item_id FROM truth")
+def _(f: Frames):
+    """The test split is read from the leave-one-out file where a dataset has one beside another test file."""
+    from stagewise.functions.lineage import folder
+
+    path = folder(f.spark, "loo")
+    rows = f.multi.select("user_id", "item_id", "ts", "split").unionByName(f.loo.where("split = 'test'").select("user_id", "item_id", "ts", F.lit("test_loo").alias("split")))
+    tables.write_splits(rows, path)
+    return tables.split_scan(f.spark, tables.Dataset("both", path, has_loo=True), "test").select("user_id", "item_id")
+
+
+@query("ratings_scan", "SELECT user_id, item_id, CAST(rating AS DOUBLE) AS rating, CAST(k1 AS BIGINT) AS timestamp FROM inter")
+def _(f: Frames):
+    from stagewise.functions.lineage import folder
+
+    path = folder(f.spark, "ratings")
+    f.inter.select(F.col("user_id").alias("userId"), F.col("item_id").alias("movieId"), F.col("rating").cast("double").alias("rating"), F.col("k1").alias("timestamp")).write.option("header", True).csv(path)
+    return tables.ratings_csv(f.spark, path)
+
+
+@query("checkpoint_append", "SELECT CAST(user_id AS VARCHAR) AS user_id, round(CASE WHEN user_id % 2 = 0 THEN min(value) ELSE max(value) END, 6) AS ndcg FROM events GROUP BY events.user_id")
+def _(f: Frames):
+    """Records appended twice; of users in both, the later record holds."""
+    from stagewise.functions.lineage import folder
+
+    path = folder(f.spark, "log")
+    events = f.table("events").groupBy("user_id")
+    named = F.col("user_id").cast("string").alias("user_id")
+    runs.append_checkpoint(events.agg(F.max("value").alias("ndcg")).select(named, "ndcg"), path)
+    runs.append_checkpoint(events.agg(F.min("value").alias("ndcg")).where("user_id % 2 = 0").select(named, "ndcg"), path)
+    return rounded(runs.read_checkpoint(f.spark, path).select("user_id", "ndcg"))
+
+
+@query("history_round_trip", f"SELECT run_id, step, round(value, 6) AS value FROM ({_TRACE})")
+def _(f: Frames):
+    from stagewise.functions.lineage import folder
+
+    path = folder(f.spark, "history")
+    runs.history_csv(trace(f), path)
+    return rounded(f.spark.read.schema("run_id long, step long, value double").csv(path, header=True))
+
+
+@query("checkpoint_log", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
+def _(f: Frames):
+    return logs.latest_per_user(f.table("events")).select("user_id", "event_id", "value")

@@ -64,6 +64,39 @@ def write_splits(df: DataFrame, path: str) -> None:
         df.where(F.col("split") == name).select("user_id", "item_id", "ts").write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
 
+STATS = "n_users long, n_items long, n_train long, n_test long, density double, density_pct double"
+
+
+def listing(spark: SparkSession, registry: Registry) -> DataFrame:
+    """name, domain, n_users, n_items, n_train, n_test, density (percent) and whether the data exist, a row a dataset.
+
+    A dataset's ``dataset_stats.json`` answers for it; without one its id columns are read
+    (counts of rows come from the footers). Datasets without training data are all zeros.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+
+    def exists(path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(conf).exists(at)
+
+    out = None
+    for name in [n for names in registry.groups().values() for n in names]:
+        d = registry.resolve(name)
+        there = exists(f"{d.path}/train.parquet")
+        if there and exists(f"{d.path}/dataset_stats.json"):
+            row = spark.read.schema(STATS).option("multiLine", True).json(f"{d.path}/dataset_stats.json").withColumn("density", F.coalesce("density", "density_pct"))
+        elif there:
+            test = split_scan(spark, d, "test").agg(F.count("*").alias("n_test"))
+            train = split_scan(spark, d, "train").agg(F.count("*").alias("n_train"), F.count_distinct("user_id").alias("n_users"), F.count_distinct("item_id").alias("n_items"))
+            row = train.join(F.broadcast(test)).withColumn("density", 100 * F.col("n_train") / F.nullif(F.col("n_users") * F.col("n_items"), F.lit(0)))
+        else:
+            row = spark.range(1).select(*[F.lit(None).alias(c) for c in ("n_users", "n_items", "n_train", "n_test", "density")])
+        counts = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("n_users", "n_items", "n_train", "n_test")]
+        row = row.select(F.lit(d.name).alias("name"), F.lit(d.domain).alias("domain"), *counts, F.coalesce(F.col("density").cast("double"), F.lit(0.0)).alias("density"), F.lit(there).alias("present"))
+        out = row if out is None else out.unionByName(row)
+    return out if out is not None else spark.createDataFrame([], "name string, domain string, n_users long, n_items long, n_train long, n_test long, density double, present boolean")
+
+
 def raw_reviews(df: DataFrame) -> DataFrame:
     """user_id, item_id, rating, timestamp; the item is parent_asin, or asin where that is missing."""
     items = [F.col(c) for c in ("parent_asin", "asin") if c in df.columns]
