@@ -13,10 +13,13 @@ Markup is a feature of a node: navigation, headers, footers, asides, forms and e
 whose class, id or role names a menu, an advert, a notice, comments and the like have
 ``ROLE`` taken off their importance, and so has what stands beside the article or main
 element of a page with one. That is more than any entropy makes up for, so such lines
-aren't counted at all. Of the others
+aren't counted at all. A name is judged as a whole (``is_mark``): "share-price" and
+"has-sidebar" mark nothing. A heading is never marked by its own names, nor a header
+inside an article. Of the others
 
 * all lines of a node are removed whose importance is ``LOW`` or less, and
-* a line of any node is removed if its own importance, 1 - log m / log(n + PRIOR), is.
+* a line of any node is removed if its own importance, 1 - log m / log(n + LINE_PRIOR),
+  is: one on every page goes from seven pages on.
 
 A page that would lose more than half of its text so is a copy of what its host repeats
 (an article under several addresses), no page around a template: it loses nothing.
@@ -33,7 +36,6 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -54,22 +56,47 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = ("article", "main")
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in class, id or role that say what an element is.
+#: Words that say what an element is, if its class, id or role consists of them and of words of LAYOUT.
 MARKS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar widget aside cookie cookies consent notice alert popup modal newsletter subscribe signup login share sharing social comment comments disqus reply replies related recommended pagination pager search complementary contentinfo".split())
 
-#: Importance up to which a node or line is template, pages that the prior weighs, and what markup takes off.
-LOW, PRIOR, ROLE = 0.07, 8, 0.95
+#: Words of MARKS that say so at the end of a name whatever qualifies them ("post-comments", but not "lunch-menu").
+CLEAR = frozenset("ad ads advert advertisement advertising nav navbar breadcrumb breadcrumbs masthead footer sidebar popup newsletter comments disqus pagination pager".split())
+LAYOUT = frozenset("site page top bottom left right main global primary secondary bar box block list wrap wrapper container inner outer area section panel slot unit zone row link links item items icon icons button buttons form posts stories articles media".split())
+#: Words that make a name say what stands beside an element, and words of MARKS that may head an article.
+BESIDE, TITLES = frozenset("has no not with without is hide".split()), frozenset("header banner masthead".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: Importance up to which a node or line is template, pages that the prior weighs for either, and what markup takes off.
+LOW, PRIOR, LINE_PRIOR, ROLE = 0.07, 8, 1, 0.95
 #: Bytes of template hashes up to which they are sent to every executor, and parts of a host beyond.
 SENT_BYTES, DEALT = 8 << 20, 64
 _SPACE = re.compile(r"[\s\xa0]+")
 _NAME = re.compile(r"[a-z]+")
 
 
+def is_mark(name: str) -> bool:
+    """Whether a class, id or role names page furniture.
+
+    Its words are all of MARKS or LAYOUT, one of MARKS ("cookie-notice", "sidebar-2"), or
+    the last one before words of LAYOUT is of CLEAR ("post-comments-list"). What an element
+    has or lacks beside it ("has-sidebar") names nothing.
+    """
+    words = _NAME.findall(name.lower())
+    if MARKS.isdisjoint(words) or not BESIDE.isdisjoint(words):
+        return False
+    if all(w in MARKS or w in LAYOUT or len(w) == 1 for w in words):
+        return True
+    while words and words[-1] in LAYOUT:
+        words.pop()
+    return bool(words) and words[-1] in CLEAR
+
+
 @dataclass
 class Node:
     tag: str
     style: str
     marked: bool = False
+    title: bool = False
     children: list[Node | str] = field(default_factory=list)
 
 
@@ -95,9 +122,10 @@ class _Builder(HTMLParser):
             if self.open[scope].tag == "p":
                 self._close(scope)
         own = dict(attrs)
-        names = [w for a in ("class", "id", "role") for w in _NAME.findall((own.get(a) or "").lower())]
+        marks = [n for a in ("class", "id", "role") for n in (own.get(a) or "").split() if is_mark(n)]
         classes = ".".join(sorted((own.get("class") or "").lower().split()))
-        node = Node(tag, f"{tag}.{classes}" if classes else tag, not MARKS.isdisjoint(names) and tag not in ("html", "body", "article", "main"))
+        marked = bool(marks) and tag not in ("html", "body", "article", "main") and tag not in HEADINGS
+        node = Node(tag, f"{tag}.{classes}" if classes else tag, marked, marked and all(n.lower() in TITLES for n in marks))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -176,7 +204,8 @@ def lines_of(html: str | None) -> tuple[list[tuple[int, str]], set[tuple[int, in
             if inside:
                 line.append(node)
             continue
-        if node.tag in RAW or node.marked or node.tag in OUTSIDE and not (inside and mains and node.tag == "header"):
+        within = inside and mains
+        if node.tag in RAW or node.marked and not (within and node.title) or node.tag in OUTSIDE and not (within and node.tag == "header"):
             continue
         inside = inside or id(node) in mains
         if node.tag in BLOCKS:
@@ -249,21 +278,22 @@ def style_tree(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
     return own.join(every, "path").select("host", "path", "pages", ((seen * F.col("importance") + prior * F.col("usual")) / (seen + prior)).alias("importance"))
 
 
-def templates(counts: DataFrame, low: float = LOW, prior: float = PRIOR) -> DataFrame:
+def templates(counts: DataFrame, low: float = LOW, prior: float = PRIOR, line_prior: float = LINE_PRIOR) -> DataFrame:
     """host, paths and features: the style nodes and the lines of low importance."""
     nodes = style_tree(counts, prior).where(F.col("importance") <= low).select("host", F.col("path").alias("node"), F.lit(None).cast("long").alias("line"))
     lines = counts.where("kind = 2").select("host", "path", "feature", "m")
     size = counts.where("kind = 0").groupBy("host").agg(F.max("m").alias("n"))
-    often = lines.where(F.ln("m") >= F.lit((1 - low) * math.log(prior + 1))).join(size, "host")
-    often = often.where(1 - F.ln("m") / F.ln(F.col("n") + prior) <= low).select("host", F.lit(None).cast("long").alias("node"), F.col("feature").alias("line"))
+    # n is m at least
+    often = lines.where(F.ln("m") >= (1 - low) * F.ln(F.col("m") + line_prior)).join(size, "host")
+    often = often.where(1 - F.ln("m") / F.ln(F.col("n") + line_prior) <= low).select("host", F.lit(None).cast("long").alias("node"), F.col("feature").alias("line"))
     return nodes.unionAll(often).groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("paths"), F.array_sort(F.collect_set("line")).alias("features"))
 
 
-def extract_main_text(df: DataFrame, low: float = LOW, prior: float = PRIOR) -> DataFrame:
+def extract_main_text(df: DataFrame, low: float = LOW, prior: float = PRIOR, line_prior: float = LINE_PRIOR) -> DataFrame:
     """page_id, url, text, n_chars of every row, and n_removed: the lines that the tree took out."""
     pages = stored(page_lines(df), "page-lines")
     counts = stored(feature_counts(pages), "style-features")
-    removed = stored(templates(counts, low, prior), "templates")
+    removed = stored(templates(counts, low, prior, line_prior), "templates")
     discard(counts)
     # sent whole while small, else a host's rows are dealt to DEALT joins
     size = removed.agg(F.sum(8 * (F.size("paths") + F.size("features")) + F.length("host") + 64)).first()[0] or 0

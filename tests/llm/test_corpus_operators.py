@@ -595,6 +595,30 @@ def test_lines_of_a_page():
     assert _lines("<div class='w-1/2'>x</div>") == ["x"]
 
 
+@pytest.mark.parametrize(
+    "name, mark",
+    [("ad", True), ("cookie-notice", True), ("sidebar-2", True), ("site-header", True), ("share-buttons", True), ("post-comments-list", True), ("blog-sidebar", True)]
+    + [(x, False) for x in ("entry-header", "post-header", "related-work", "share-price", "menu-prices", "lunch-menu", "has-sidebar", "content", "w-1/2", "", "-")],
+)
+def test_names_are_judged_whole(name, mark):
+    assert site_style.is_mark(name) is mark
+
+
+def test_markup_keeps_the_article_whole():
+    assert _lines('<article><header class="entry-header"><h1>A</h1></header><p>b</p></article>') == ["A", "b"]
+    assert _lines('<article><div class="post-header"><h1>A</h1></div><div class="header"><h2 class="header">B</h2></div></article>') == ["A", "B"]
+    assert _lines('<article><p class="related-work">a</p><p class="share-price">b</p><ul class="menu-prices"><li>c</ul><div class="ad">x</div></article>') == ["a", "b", "c"]
+    assert _lines('<div class="content has-sidebar"><p>a</p><div class="sidebar">x</div></div><div class="header">y</div>') == ["a"]
+
+
+def test_lines_of_small_hosts(spark):
+    """A footer on all of 25 pages goes, on all of seven too, on six pages it stays; a line of half of the pages stays."""
+    rows = [(100 * h + i, f"https://h{h}.example/{i}", f"<h1>Title {h} {i}</h1><p>text {h} {i} with words</p><p>{'even' if i % 2 else f'odd {h} {i}'}</p><p>All rights reserved by us</p>") for h, n in ((0, 25), (1, 25), (2, 7), (3, 6)) for i in range(n)]
+    got = {r["page_id"]: r["text"].split("\n") for r in _rows(site_style.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert all(("All rights reserved by us" in text) == (i >= 300) for i, text in got.items())
+    assert all(len(text) == (4 if i >= 300 else 3) for i, text in got.items())
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "core" + "</div>" * 20_000
     lines, shapes = site_style.lines_of(deep)
