@@ -43,4 +43,4 @@ def test_each_stage_keeps_the_columns(spark, folder):
 
 def test_registered_queries():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
