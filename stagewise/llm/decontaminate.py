@@ -35,6 +35,8 @@ WINDOW = 13
 SLOP = WINDOW
 #: Characters of benchmark text that one pass carries to the executors.
 BLOCK_CHARS = 4_000_000
+#: Postings that one vectorised step follows, and bits of a position in a key of term and position.
+STEP_POSTINGS, PLACE_BITS = 1 << 20, 36
 INDEX = "segment long, doc_ids array<long>, word_at array<int>, terms binary, posting_at binary, positions binary"
 FOUND = "segment long, place int, doc_id long, n_words long, hits array<int>, items array<string>, near_items array<string>"
 
@@ -101,6 +103,43 @@ def _within(around: np.ndarray, lists: list[np.ndarray], slop: int) -> np.ndarra
     return around
 
 
+def _near(segment: Segment, keys: np.ndarray, place: np.ndarray, size: np.ndarray, places: np.ndarray, rows: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(window, postings of its rarest term that have one of each of its terms within ``reach``) of the windows ``rows`` with any.
+
+    ``keys`` are all postings as term << PLACE_BITS + position. Windows that overlap share
+    their rarest terms: terms are ranked from the rarest on, and each distinct beginning
+    of the ranked terms is answered once, from the postings left by the one before it.
+    """
+    ranked = np.take_along_axis(places[rows], np.lexsort((places[rows], size[places[rows]]), axis=1), 1)
+    order = np.lexsort(ranked.T[::-1])
+    rows, ranked = rows[order], ranked[order]
+    ends, lo = np.cumsum(size[ranked[:, 0]]), 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP_POSTINGS, "right")))
+        terms = ranked[lo:hi]
+        new = np.append(True, terms[1:, 0] != terms[:-1, 0])
+        own = [segment.positions[segment.posting_at[t] : segment.posting_at[t + 1]] for t in place[terms[new, 0]].tolist()]
+        at, bounds = np.concatenate(own), np.cumsum([0, *map(len, own)])
+        for r in range(1, terms.shape[1]):
+            parent = np.cumsum(new) - 1
+            new = new | np.append(True, terms[1:, r] != terms[:-1, r])
+            parent, v = parent[new], terms[new, r]
+            n = np.diff(bounds)[parent]
+            at = at[np.repeat(bounds[parent] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            node = np.repeat(np.arange(len(v)), n)
+            asked = ((place[v] << PLACE_BITS) - reach)[node] + at
+            key = keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)]
+            kept = (v < 0)[node] | ((key >= asked) & (key <= asked + 2 * reach))
+            at, bounds = at[kept], np.append(0, np.cumsum(np.bincount(node[kept], minlength=len(v))))
+            if not len(at):
+                break
+        else:
+            leaf = np.cumsum(new) - 1
+            for k in np.flatnonzero(np.diff(bounds)[leaf]).tolist():
+                yield int(rows[lo + k]), at[bounds[leaf[k]] : bounds[leaf[k] + 1]]
+        lo = hi
+
+
 def search(segment: Segment, asked: Windows, slop: int = 0) -> tuple[dict[int, np.ndarray], dict[int, set[str]], dict[int, set[str]]]:
     """Per document of the segment with any: hit word numbers, exact items, items in proximity."""
     hits: dict[int, list[np.ndarray]] = {}
@@ -119,32 +158,43 @@ def search(segment: Segment, asked: Windows, slop: int = 0) -> tuple[dict[int, n
     def docs_at(positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(begins, positions, "right") - 1
 
-    for k in np.flatnonzero((size[asked.places] > 0).all(axis=1)):
+    rows = np.flatnonzero((size[asked.places] > 0).all(axis=1))
+    if slop:
+        left = []
+        keys = np.repeat(np.arange(len(segment.terms)) << PLACE_BITS, np.diff(segment.posting_at)) + segment.positions
+        # all within slop of one posting are within twice that of the rarest term's, so most windows end here
+        for k, about in _near(segment, keys, place, size, asked.places, rows, 2 * slop):
+            left.append(k)
+            terms = asked.places[k]
+            ranked = sorted(range(int((terms >= 0).sum())), key=lambda o: (size[terms[o]], o))
+            lists = [postings(t) for t in dict.fromkeys(terms[o] for o in ranked)]
+            low = ((place[np.unique(terms[terms >= 0])] << PLACE_BITS) - slop)[:, None] + about
+            lo = np.searchsorted(keys, low.ravel())
+            n = np.searchsorted(keys, low.ravel() + 2 * slop, "right") - lo
+            # the postings, of whichever term, within slop of the rarest one's
+            around = np.unique(keys[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] & ((1 << PLACE_BITS) - 1))
+            for d in set(docs_at(_within(around, lists, slop)).tolist()):
+                near.setdefault(d, set()).update(asked.items[k])
+        if 2 * slop >= asked.size - 1:  # an exact match is one of those
+            rows = np.array(sorted(left), np.int64)
+    for k in rows.tolist():
         terms = asked.places[k]
         length = int((terms >= 0).sum())
         ranked = sorted(range(length), key=lambda o: (size[terms[o]], o))
         starts = postings(terms[ranked[0]]) - ranked[0]
-        if slop:
-            lists = [postings(t) for t in dict.fromkeys(terms[o] for o in ranked)]
-            # all within slop of one posting are within twice that of the rarest term's, so most windows end here
-            about = _within(lists[0], lists, 2 * slop)
-            if len(about):
-                for own in lists:
-                    at = np.minimum(np.searchsorted(about, own - slop), len(about) - 1)
-                    for d in set(docs_at(_within(own[np.abs(about[at] - own) <= slop], lists, slop)).tolist()):
-                        near.setdefault(d, set()).update(asked.items[k])
         for offset in ranked[1:]:
             if not len(starts):
                 break
             own = postings(terms[offset])
             at = np.minimum(np.searchsorted(own, starts + offset), len(own) - 1)
             starts = starts[own[at] == starts + offset]
-        if len(starts):
-            docs = docs_at(starts)
-            for d in set(docs.tolist()):
-                own = starts[docs == d] - begins[d]
-                hits.setdefault(d, []).append((own[:, None] + np.arange(length)).ravel())
-                items.setdefault(d, set()).update(asked.items[k])
+        if not len(starts):
+            continue
+        docs = docs_at(starts)
+        for d in set(docs.tolist()):
+            own = starts[docs == d] - begins[d]
+            hits.setdefault(d, []).append((own[:, None] + np.arange(length)).ravel())
+            items.setdefault(d, set()).update(asked.items[k])
     return {d: np.unique(np.concatenate(h)) for d, h in hits.items()}, items, near
 
 

@@ -701,3 +701,31 @@ def test_snapshots_collapse(spark):
     both = long.unionByName(long.where("turn < 2500").withColumn("conv_id", F.lit(8).cast("long")))
     assert [r["conv_id"] for r in _rows(chat.collapse_snapshots(both))] == [7]
     assert chat.collapse_snapshots(df.limit(0)).count() == 0
+
+
+def test_proximity_search_checks_a_window_once(monkeypatch):
+    """Centres of all terms are gathered before they are checked, and windows share what their rarest terms leave."""
+    rng = np.random.default_rng(3)
+    words = ["the", "of", "and", *[f"w{i}" for i in range(30)]]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(20)]
+    items = [(str(k), " ".join(rng.choice(words, 6))) for k in range(40)]
+    slop, size = 5, 4
+    asked = decontaminate.build_windows(items, size)
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    segment = decontaminate.build_segment(data, offsets, decontaminate.gap_of(size, slop))
+    calls, within = [], decontaminate._within
+    monkeypatch.setattr(decontaminate, "_within", lambda *a: calls.append(1) or within(*a))
+    near = decontaminate.search(segment, asked, slop)[2]
+    want: dict[int, set[str]] = {}
+    for d, text in enumerate(texts):
+        doc = text.split()
+        for item, question in items:
+            own = question.split()
+            for i in range(len(own) - size + 1):
+                ask = set(own[i : i + size])
+                if any(doc[c] in ask and ask <= set(doc[max(0, c - slop) : c + slop + 1]) for c in range(len(doc))):
+                    want.setdefault(d, set()).add(item)
+    assert near == want
+    assert want
+    assert len(calls) <= len(asked.places)
