@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from tokenizers import Tokenizer
 
@@ -32,13 +32,15 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = {b: ord(letter) for b, letter in _byte_letters().items()}
 #: Letters up to here are the same to every version of Unicode in use.
 _LATIN = "\u024f"
+#: Marks of which a run behind letters is one pre-token: the apostrophe may begin a contraction, so it isn't among them.
+MARKS = "".join(m for m in map(chr, range(33, 127)) if not m.isalnum() and m != "'")
 
 
 class _Pieces(dict):
     """Ids of pieces that follow ``prefix``, encoded when first met.
 
-    A run of Latin letters is one pre-token and goes to the library's model as it is; one
-    with a last mark is that run's ids and the mark's. A single line feed between two
+    A run of Latin letters is one pre-token and goes to the library's model as it is; with
+    ``MARKS`` behind it, it is that run's ids and theirs. A single line feed between two
     that aren't white space is a pre-token of its own.
     """
 
@@ -47,7 +49,7 @@ class _Pieces(dict):
         self.tokenizer, self.tokenize, self.prefix = tokenizer, tokenizer.model.tokenize, prefix
         self.older: dict[str, bytes] = {}
         self.start = prefix.translate(_LETTERS)
-        self.marks = {m: self._whole(m, "") for m in ".,;:!?"}
+        self.marks = lru_cache(1 << 14)(lambda run: self._whole(run, ""))
         self.line_feed = self._whole("\n", "")
 
     def _whole(self, piece: str, prefix: str) -> bytes:
@@ -60,8 +62,8 @@ class _Pieces(dict):
         elif piece.isalpha() and (piece.isascii() or max(piece) <= _LATIN):
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
             out = array("I", [t.id for t in self.tokenize(self.start + letters)]).tobytes()
-        elif piece and piece[-1] in self.marks and piece[:-1].isalpha() and (piece.isascii() or max(piece) <= _LATIN):
-            out = self[piece[:-1]] + self.marks[piece[-1]]
+        elif (word := piece.rstrip(MARKS)) != piece and word.isalpha() and (piece.isascii() or max(piece) <= _LATIN):
+            out = self[word] + self.marks(piece[len(word) :])
         elif "\n" in piece and all(r and not r[0].isspace() and not r[-1].isspace() for r in piece.split("\n")):
             first, *rest = piece.split("\n")
             return self.line_feed.join([self[first], *[self.plain[r] for r in rest]])
@@ -80,13 +82,17 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # the library's own cache only costs time here: every piece comes to it once
         tokenizer.model._resize_cache(1)
         self.plain = _Pieces(tokenizer, "")
         self.spaced = _Pieces(tokenizer, " ", self.plain)
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""

@@ -729,3 +729,15 @@ def test_proximity_search_checks_a_window_once(monkeypatch):
     assert near == want
     assert want
     assert len(calls) <= len(asked.places)
+
+
+def test_marks_behind_words_are_encoded_once(monkeypatch):
+    """Words with runs of marks cost the library's whole pass once a run, not once a word."""
+    encode = encoder(default_vocabulary())
+    words = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    text = " ".join(w + m for w in words for m in ("$$$", ".***", "_")) + " don't.' it's' é!! x$1"
+    calls, whole = [], type(encode.spaced)._whole
+    monkeypatch.setattr(type(encode.spaced), "_whole", lambda *a: calls.append(1) or whole(*a))
+    want = array("I", Tokenizer.from_file(default_vocabulary()).encode(text, add_special_tokens=False).ids).tobytes()
+    assert encode.encode(text) == want
+    assert len(calls) < 20
