@@ -42,15 +42,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import documents_of, put, ship, steps, stored, utf8
-from stagewise.llm.tokens import _LATIN, _LETTERS, default_vocabulary
+from stagewise.llm.common import documents_of, let_go, put, ship, steps, stored, utf8
+from stagewise.llm.tokens import _LATIN, _LETTERS, MARKS, default_vocabulary
 
 #: Chunks of one generation of the cache (two are kept per worker), and the longest chunk kept.
 CACHE_CHUNKS, CACHE_LENGTH = 60_000, 64
 #: Bytes of text aligned at a time (a longer text is a step of its own).
 STEP_BYTES = 1 << 20
+#: Links counted or looked up at a time (a longer text's are a step of their own).
+STEP_LINKS = 1 << 18
 #: Distinct keys a task holds before it merges its partial counts.
-HELD = 1 << 20
+HELD = 1 << 19
 SHARDS = 8
 _CUT = re.compile(r"(?<=\S)(?= )")
 _MIXED = re.compile(r"\s ")
@@ -88,7 +90,7 @@ class Aligner(dict):
         # how a token is written: inside its group, or at the end of its side
         self.written = [b"%d%s" % (i, end) for n, ends in ((len(self.bytes_a), (b",", b"|")), (len(pieces), (b",", b";"))) for end in ends for i in range(n)]
         self.space = [self.b.piece_to_id("▁")]
-        self.marks = {m: self.a.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
+        self.marks = lru_cache(1 << 14)(lambda run: self.a.encode(run, add_special_tokens=False).ids)
         self.older: dict[str, Chunk | None] = {}
 
     def __missing__(self, chunk: str) -> Chunk | None:
@@ -96,12 +98,11 @@ class Aligner(dict):
         return out
 
     def word(self, chunk: str) -> list[int] | None:
-        """A's ids of a space, a run of Latin letters and perhaps one mark; None for other chunks."""
-        word, mark = chunk[1:], []
-        if not word.isalpha() and word and (mark := self.marks.get(word[-1], [])):
-            word = word[:-1]
+        """A's ids of a space, a run of Latin letters and perhaps marks; None for other chunks."""
+        word = chunk[1:].rstrip(MARKS)
         if not word.isalpha() or not (word.isascii() or max(word) <= _LATIN):
             return None
+        mark = self.marks(chunk[1 + len(word) :]) if len(word) + 1 < len(chunk) else []
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
         return [t.id for t in self.a.model.tokenize(chr(_LETTERS[32]) + letters)] + mark
 
@@ -216,21 +217,23 @@ def _links(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary())
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, np.int64, len(column) + 1, column.offset * 8)
-    keys = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].tobytes() if data else b""
-    return np.frombuffer(keys, np.int64), (offsets - offsets[0]) // 8
+    keys = np.frombuffer(data, np.int64, (offsets[-1] - offsets[0]) // 8, offsets[0]) if data else np.zeros(0, np.int64)
+    return keys, (offsets - offsets[0]) // 8
 
 
 def pair_counts(encoded: DataFrame, shards: int = SHARDS) -> DataFrame:
     """shard, pair (B id << 32 | A id) and n of all links, sorted within each of ``shards`` ranges of pairs."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(aligner)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            keys, _ = _links(batch.column(0))
-            if len(keys):
-                held.append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD and len(held) > 1:
-                held = [_merge(held)]
+            for lo, hi in steps(_links(batch.column(0))[1], STEP_LINKS):
+                keys, _ = _links(batch.column(0).slice(lo, hi - lo))
+                if len(keys):
+                    held.append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD and len(held) > 1:
+                    held = [_merge(held)]
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, _merge(held))), ["pair", "n"])
 
@@ -285,8 +288,9 @@ def look_up(encoded: DataFrame, shards: list[tuple[int, str]]) -> DataFrame:
     firsts, names = np.array([k for k, _ in shards], np.int64), [n for _, n in shards]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(aligner)
         tables = [np.load(SparkFiles.get(n), mmap_mode="r") for n in names]
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in steps(_links(b.column(4))[1], STEP_LINKS)):
             keys, offsets = _links(batch.column(4))
             own, count, best = np.searchsorted(firsts, keys, "right") - 1, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             for s, table in enumerate(tables):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def let_go(*cached: Callable) -> None:
+    """Empty caches (``lru_cache``) that earlier tasks have left in this worker: Spark gives its workers to later stages."""
+    if any(c.cache_info().currsize for c in cached):
+        for c in cached:
+            c.cache_clear()
+        gc.collect()  # they hold cycles
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder the cluster shares (``spark.checkpoint.dir``).
 

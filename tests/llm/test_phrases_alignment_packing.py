@@ -242,3 +242,23 @@ def test_small_sequences_are_few(docs):
 
 def test_registered():
     assert {"op11_phrase_growth", "op12_tokenizer_alignment", "op13_first_fit_packing"} <= set(queries.queries())
+
+
+def test_counting_lets_the_encoders_memory_go(spark):
+    """Workers are used again: what encoding has cached must not stand beside the counting."""
+
+    class Frame:
+        first = None
+
+        def mapInArrow(self, run, ddl):
+            self.first = self.first or run
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    frame = Frame()
+    alignment.pair_counts(frame)
+    alignment.aligner(default_vocabulary(), alignment.piece_vocabulary()).texts(["some words"])
+    assert list(frame.first(iter([]))) == []
+    assert alignment.aligner.cache_info().currsize == 0
