@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import column, mix64, remainder, ship
+from stagewise.llm.common import column, let_go, mix64, remainder, ship
+from stagewise.llm.tokens import encoder
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: Labels whose rows fit in the driver and in each worker; more raise an error.
@@ -84,6 +85,7 @@ class NaiveBayes:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: (language, bucket, count); bucket -1 counts documents."""
+    let_go(encoder)
     counts: dict[str, np.ndarray] = {}
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -136,6 +138,7 @@ def identify(df: DataFrame, model: NaiveBayes) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(encoder)
         for batch in batches:
             labels, scores = shared.value.predict(column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -151,6 +154,7 @@ def keep_identified(df: DataFrame, model: NaiveBayes, least: float = 0.5) -> Dat
     shared, at = spark.sparkContext.broadcast(model), df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(encoder)
         for batch in batches:
             labels, scores = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(labels, scores, strict=True)], pa.bool_()))

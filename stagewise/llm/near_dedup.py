@@ -46,7 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import BASE, column, discard, documents_of, joined_hashes, mix64, ship, steps, stored, utf8, word_hashes
+from stagewise.llm.common import BASE, column, discard, documents_of, joined_hashes, let_go, mix64, ship, steps, stored, utf8, word_hashes
+from stagewise.llm.tokens import encoder
 
 VALUES, TREES, MIN_DEPTH, MAX_DEPTH, REGION = 128, 24, 4, 8, 16
 #: Differing bits of 128 beyond which a pair is no candidate: at similarity 0.8 a pair
@@ -104,6 +105,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(encoder)
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             sizes, firsts, seconds, signatures = [], [], [], []

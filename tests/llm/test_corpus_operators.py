@@ -741,3 +741,10 @@ def test_marks_behind_words_are_encoded_once(monkeypatch):
     want = array("I", Tokenizer.from_file(default_vocabulary()).encode(text, add_special_tokens=False).ids).tobytes()
     assert encode.encode(text) == want
     assert len(calls) < 20
+
+
+def test_later_stages_let_the_encoders_memory_go():
+    """Workers are used again: the packing's cache must not stand beside the next run's first stage."""
+    encoder(default_vocabulary()).encode("some words")
+    list(language_id._count(iter([])))
+    assert encoder.cache_info().currsize == 0
