@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ POINT = float(1 << 20)
 SHARD_TOKENS, PIECE = 1 << 21, 1 << 16
 #: Noise samples a word, rate, steps and pull to zero of the vectors within a class.
 INNER_NOISE, INNER_RATE, INNER_STEPS, INNER_PULL = 4, 0.3, 20, 1.0
+#: Words within a class that are trained at a time, beside all contexts.
+INNER_WORDS = 256
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,8 +85,24 @@ class Counts:
         """Place in the head and whether it is there."""
         if not len(self.words):
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return at, self.words[at] == tokens
+        bits, starts = self.leading
+        lead = tokens >> np.uint64(64 - bits)
+        at, end = starts.take(lead), starts[1:].take(lead)
+        np.minimum(at, len(self.words) - 1, out=at)
+        there = self.words.take(at) == tokens
+        left = np.flatnonzero(~there & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            there[left] = self.words[at[left]] == tokens[left]
+            left = left[~there[left] & (at[left] + 1 < end[left])]
+        return at, there
+
+    @cached_property
+    def leading(self) -> tuple[int, np.ndarray]:
+        """A number of bits, and where the words begin that lead with each value of them: two to four values a word."""
+        bits = len(self.words).bit_length() + 1
+        n = np.bincount((self.words >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        return bits, np.append(0, np.cumsum(n)).astype(np.int32)
 
     def ending(self, kinds: np.ndarray) -> np.ndarray:
         """Which of the ending classes."""
@@ -98,30 +117,41 @@ class Counts:
         return self.singles + self.endings
 
 
+def _tally(words: np.ndarray, kinds: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word once, ascending, with its kind and the sum of its ``n`` (or its number of places)."""
+    order = np.argsort(words)
+    ranked = words[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(words)])
+    return ranked[first], kinds[order[first]], np.diff(np.append(first, len(words))) if n is None else np.add.reduceat(n[order], first)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """word, kind, n of all tokens, ends included, stored in the shared folder."""
     schema = pa.schema([("word", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kinds, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _tally(*map(np.concatenate, zip(*held, strict=True)))
 
-        def out() -> pa.RecordBatch:
+        def out(words: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kinds, pa.int32()), pa.array(n)], schema=schema)
 
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             for i, j in steps(offsets):
-                tokens, kind, _ = tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                own, first, count = np.unique(tokens, return_index=True, return_counts=True)
-                all_, first_all, back = np.unique(np.concatenate([words, own]), return_index=True, return_inverse=True)
-                kinds = np.concatenate([kinds, kind[first]])[first_all]
-                n = np.bincount(back, np.concatenate([n, count]), len(all_)).astype(np.int64)
-                words = all_
-                if len(words) > 1 << 20:
-                    yield out()
-                    words, kinds, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(words):
-            yield out()
+                held.append(_tally(*tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[:2]))
+                size += len(held[-1][0])
+                # tables are merged once they hold twice what may stay, not one by one
+                if size > 1 << 21:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 1 << 20:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*merged())
 
     partial = docs.select("text").mapInArrow(run, "word long, kind int, n long")
     return stored(partial.groupBy("word", "kind").agg(F.sum("n").alias("n")), "word-counts")
@@ -186,9 +216,10 @@ class Bilinear:
         return np.concatenate([p.ravel() for p in self.parts()])
 
     def like(self, flat: np.ndarray) -> Bilinear:
+        """The parameters in ``flat``: views of it, if it has float32."""
         out, at = [], 0
         for p in self.parts():
-            out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
+            out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32, copy=False))
             at += p.size
         return Bilinear(*out)
 
@@ -203,11 +234,10 @@ def _scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In the place of ``x``."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + e^x) in the place of ``x``; 0 where e^x is beyond float32."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -216,33 +246,51 @@ class Trainer:
     """Noise-contrastive steps with per-parameter rates; noise follows the class shares and is shared by a batch."""
 
     def __init__(self, model: Bilinear, share: np.ndarray, seed: int) -> None:
-        self.model, self.rng = model, np.random.Generator(np.random.PCG64(seed))
+        self.values, self.rng = model.flat(), np.random.Generator(np.random.PCG64(seed))
+        self.model, self.slope = model.like(self.values), np.zeros_like(self.values)
+        self.slopes = model.like(self.slope).parts()
         self.cumulated = np.cumsum(share)
         self.offset = np.log(NOISE * share).astype(np.float32)
-        self.squares = [np.full(p.shape, 1e-6, np.float32) for p in model.parts()]
+        self.squares = np.full_like(self.values, 1e-6)
         self.steps = 0
 
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
         m, size = self.model, len(self.offset)
-        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), size - 1)
+        drawn = np.bincount(np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), size - 1), minlength=size)
+        # a class drawn several times is computed once and counts as often
+        noise = np.flatnonzero(drawn)
+        times = drawn[noise].astype(np.float32)[:, None]
         # products with the position matrices by class, not by token: there are fewer classes
         context = (m.r @ m.c1).take(c1, axis=0)
         context += (m.r @ m.c2).take(c2, axis=0)
+        minus = self.offset - m.b
         qw, qn = m.q.take(w, axis=0), m.q[noise]
-        real = _sigmoid((self.offset - m.b)[w] - np.einsum("ij,ij->i", context, qw))
-        fake = context @ qn.T
-        fake += m.b[noise] - self.offset[noise]
-        _sigmoid(fake)
-        dcontext = real[:, None] * qw
-        dcontext -= fake @ qn
-        dq = _scatter(w, real[:, None] * context, size) - _scatter(noise, fake.T @ context, size)
-        db = (np.bincount(w, real, size) - np.bincount(noise, fake.sum(axis=0), size)).astype(np.float32)
-        d1, d2 = _scatter(c1, dcontext, size + 1), _scatter(c2, dcontext, size + 1)
-        dr = d1 @ m.c1.T + d2 @ m.c2.T
-        for p, g, s in zip(m.parts(), (dr, m.r.T @ d1, m.r.T @ d2, dq, db), self.squares, strict=True):
-            g /= len(w)
-            s += g * g
-            p += RATE * g / np.sqrt(s)
+        real = np.einsum("ij,ij->i", context, qw)
+        real -= minus[w]
+        real = _sigmoid_of_minus(real)[:, None]
+        fake = context @ -qn.T
+        fake += minus[noise]
+        _sigmoid_of_minus(fake)
+        back = np.empty((3, len(w), WIDTH), np.float32)
+        np.multiply(real, context, out=back[0])
+        np.multiply(real, qw, out=back[1])
+        back[1] -= fake @ (times * qn)
+        back[2] = back[1]
+        sums = _scatter(np.concatenate([w, c1 + size, c2 + (2 * size + 1)]), back.reshape(-1, WIDTH), 3 * size + 2)
+        d1, d2 = sums[size : 2 * size + 1], sums[2 * size + 1 :]
+        dr, dc1, dc2, dq, db = self.slopes
+        dr[:] = d1 @ m.c1.T + d2 @ m.c2.T
+        dc1[:], dc2[:], dq[:], db[:] = m.r.T @ d1, m.r.T @ d2, sums[:size], np.bincount(w, real[:, 0], size)
+        dq[noise] -= times * (fake.T @ context)
+        db[noise] -= times[:, 0] * (np.ones(len(w), np.float32) @ fake)
+        g = self.slope
+        g /= len(w)
+        root = g * g
+        self.squares += root
+        np.sqrt(self.squares, out=root)
+        g *= RATE
+        g /= root
+        self.values += g
         self.steps += 1
 
 
@@ -337,7 +385,7 @@ def train(pieces: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
                 if first:
                     yield from out()
                     trainer = Trainer(start.like(start.flat()), share_, 7919 * shard + round_)
-                classes = np.concatenate(held).astype(np.int64)
+                classes = np.concatenate(held)
                 target = np.ones(len(classes), bool)
                 begins = np.cumsum([0, *map(len, held)])[:-1]
                 target[begins] = target[begins + 1] = False
@@ -345,7 +393,7 @@ def train(pieces: DataFrame, counts: Counts) -> tuple[Bilinear, np.ndarray]:
                 order = trainer.rng.permutation(w)
                 for k in range(0, len(order), BATCH):
                     pick = order[k : k + BATCH]
-                    trainer.step(classes[pick - 1], classes[pick - 2], classes[pick])
+                    trainer.step(*(classes[pick - back].astype(np.int64) for back in (1, 2, 0)))
             yield from out()
 
         # ranges deal shards evenly and never split one
@@ -400,23 +448,29 @@ def within_class(before: np.ndarray, word: np.ndarray, n: np.ndarray, uses: np.n
     the logarithm of how much likelier than that a word is.
     """
     u = np.zeros((len(uses), contexts_.shape[1]), np.float32)
-    squares = np.full(u.shape, 1e-6, np.float32)
     noise = (INNER_NOISE * uses / uses.sum()).astype(np.float32)
     there, at = np.unique(before, return_inverse=True)
     v = contexts_[there]
     total = np.bincount(at, n, len(there)).astype(np.float32)
     order = np.argsort(word, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(word[order]) > 0))
+    bounds = np.searchsorted(word[order], np.arange(0, len(uses) + INNER_WORDS, INNER_WORDS))
     log_noise = np.float32(np.log(INNER_NOISE))
-    for _ in range(INNER_STEPS):
-        fake = _sigmoid(u @ v.T - log_noise)
-        real = (n * (1 - fake[word, at])).astype(np.float32)
-        fake *= noise[:, None]
-        fake *= total[None, :]
-        g = -fake @ v - INNER_PULL * u
-        g[word[order][first]] += np.add.reduceat((real[:, None] * v[at])[order], first)
-        squares += g * g
-        u += INNER_RATE * g / np.sqrt(squares)
+    # no word's vector depends on another's
+    for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        own, pairs = slice(k * INNER_WORDS, (k + 1) * INNER_WORDS), order[i:j]
+        x = u[own]
+        seen = np.bincount((word[pairs] - own.start) * len(there) + at[pairs], n[pairs], len(x) * len(there)).reshape(len(x), -1).astype(np.float32)
+        mass = seen + noise[own, None] * total
+        squares = np.full(x.shape, 1e-6, np.float32)
+        for _ in range(INNER_STEPS):
+            fake = x @ -v.T
+            fake += log_noise
+            _sigmoid_of_minus(fake)
+            fake *= mass
+            g = np.subtract(seen, fake, out=fake) @ v
+            g -= INNER_PULL * x
+            squares += g * g
+            x += INNER_RATE * g / np.sqrt(squares)
     return u
 
 
@@ -432,7 +486,7 @@ class Inner:
         """Shares of tokens in ending classes; ``log_count`` is of their counts plus one."""
         fit = np.zeros(len(c1))
         k = np.flatnonzero(there)
-        fit[k] = np.einsum("ij,ij->i", self.u[at[k]].astype(np.float32), self.left[c1[k]])
+        fit[k] = np.einsum("ij,ij->i", self.u.take(at[k], axis=0).astype(np.float32, copy=False), self.left.take(c1[k], axis=0))
         return log_count + (fit - self.norm[ending, c1]) / np.log(10)
 
 
@@ -452,9 +506,8 @@ def train_within(pieces: DataFrame, counts: Counts, model: Bilinear) -> Inner:
         left_, ending_, members_, n_, norm_ = shared.value
         own = members_[ending_[members_] == key[0].as_py()]
         before, word, n = (rows.column(c).combine_chunks().to_numpy() for c in ("before", "word", "n"))
-        order = np.lexsort((word, before))
         uses = (n_[own] + 1).astype(np.float64)
-        vectors = within_class(before[order], np.searchsorted(own, word[order]), n[order].astype(np.float64), uses, left_).astype(np.float16)
+        vectors = within_class(before, np.searchsorted(own, word), n.astype(np.float64), uses, left_).astype(np.float16)
         fit = vectors.astype(np.float32) @ left_.T
         norms = np.log(norm_[key[0].as_py()] + uses @ np.expm1(fit.astype(np.float64)))
         return pa.table({"ending": pa.array([key[0].as_py()], pa.int32()), "vectors": pa.array([vectors.tobytes()], pa.binary()), "norms": pa.array([norms.astype(np.float32).tobytes()], pa.binary())})
@@ -487,7 +540,12 @@ class Scorer:
         return Scorer(first, second, model.b, norm)
 
     def log10(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return (self.first[c1, w] + self.second[c2, w] + self.bias[w] - self.norm[c1, c2]).astype(np.float64) / np.log(10)
+        size, contexts_ = len(self.bias), len(self.norm)
+        fit = self.first.take(c1 * size + w)
+        fit += self.second.take(c2 * size + w)
+        fit += self.bias.take(w)
+        fit -= self.norm.take(c1 * contexts_ + c2)
+        return fit.astype(np.float64) / np.log(10)
 
 
 _SCORED = "slot long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:long,tf:int>>"
@@ -500,6 +558,7 @@ def score_head(docs: DataFrame, counts: Counts, scorer: Scorer, inner: Inner) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, model, within = shared.value
+        within = Inner(within.u.astype(np.float32), within.left, within.norm)  # once a task, not for each token
         slot = TaskContext.get().partitionId() << 36
         plus = np.log10(own.n + 1.0) if len(own.n) else np.zeros(1)
         for batch in batches:

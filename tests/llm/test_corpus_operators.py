@@ -574,6 +574,61 @@ def test_training_step_equals_plain_gradient():
         assert p == pytest.approx(old + lm_score.RATE * g / np.sqrt(1e-6 + g * g), abs=1e-4)
 
 
+def test_noise_drawn_again_is_computed_once(monkeypatch):
+    made, exp = [], np.exp
+
+    def counted(x, *args, **more):
+        made.append(np.size(x))
+        return exp(x, *args, **more)
+
+    share = np.full(3, 1 / 3)
+    trainer = lm_score.Trainer(lm_score.Bilinear.start(share), share, 1)
+    monkeypatch.setattr(np, "exp", counted)
+    trainer.step(np.full(200, 3), np.full(200, 3), np.arange(200) % 3)
+    assert sum(made) <= 200 * (3 + 1)  # at most the three classes and the target of each token, however many are drawn
+
+
+def test_words_of_a_class_are_trained_as_by_plain_loops(monkeypatch):
+    monkeypatch.setattr(lm_score, "INNER_WORDS", 4, raising=False)
+    rng = np.random.Generator(np.random.PCG64(14))
+    uses, contexts_ = rng.integers(2, 50, 10).astype(float), rng.standard_normal((7, lm_score.WIDTH)).astype(np.float32)
+    before, word = np.divmod(rng.permutation(np.unique(rng.integers(0, 60, 40))), 10)
+    n = rng.integers(1, 9, len(word)).astype(float)
+    noise, total = lm_score.INNER_NOISE * uses / uses.sum(), np.bincount(before, n, 7)
+    want = np.zeros((10, lm_score.WIDTH))
+    for k in range(10):
+        squares = np.full(lm_score.WIDTH, 1e-6)
+        for _ in range(lm_score.INNER_STEPS):
+            g = -lm_score.INNER_PULL * want[k]
+            for c in range(7):
+                seen = n[(before == c) & (word == k)].sum()
+                fake = 1 / (1 + lm_score.INNER_NOISE * np.exp(-want[k] @ contexts_[c]))
+                g = g + (seen * (1 - fake) - noise[k] * total[c] * fake) * contexts_[c]
+            squares += g * g
+            want[k] += lm_score.INNER_RATE * g / np.sqrt(squares)
+    assert lm_score.within_class(before, word, n, uses, contexts_) == pytest.approx(want, abs=1e-3)
+
+
+@pytest.mark.parametrize("words", [[], [7], [0, 1, 2, 3, 2**63, 2**64 - 1], [5 << 40 | k for k in range(9)]])
+def test_words_are_found_whatever_their_leading_bits(words):
+    n = len(words)
+    counts = lm_score.Counts(np.array(words, np.uint64), np.ones(n, int), np.full(n, -1), np.zeros(n, int), 0, 1, n, n, np.zeros(1), np.zeros(1))
+    tokens = np.array([*words, 4, 6, 8, 5 << 40 | 9, 2**63 - 1, 2**63 + 1, 2**64 - 2], np.uint64)
+    at, there = counts.find(tokens)
+    assert there.tolist() == [t in words for t in tokens.tolist()]
+    assert counts.words[at[there]].tolist() == tokens[there].tolist() and (not n or (at >= 0).all() and (at < n).all())
+
+
+def test_tallies_are_merged():
+    rng = np.random.Generator(np.random.PCG64(15))
+    tokens = rng.integers(0, 40, 900).astype(np.uint64)
+    kinds = (tokens * np.uint64(7)).astype(np.int64)
+    held = [lm_score._tally(tokens[k : k + 300], kinds[k : k + 300]) for k in range(0, 900, 300)]
+    words, of, n = lm_score._tally(*map(np.concatenate, zip(*held, strict=True)))
+    assert dict(zip(words.tolist(), n.tolist(), strict=True)) == Counter(tokens.tolist()) and (of == words.astype(int) * 7).all()
+    assert [len(x) for x in lm_score._tally(tokens[:0], kinds[:0])] == [0, 0, 0]
+
+
 def test_rare_words_are_joined(spark, docs, monkeypatch):
     whole = {r["doc_id"]: r["base_score"] for r in _rows(lm_score.score_texts(docs))}
     monkeypatch.setattr(lm_score.head_of, "__defaults__", (5,))
