@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stagewise.functions import metrics
 from stagewise.functions import parse as replies
+from stagewise.functions.lineage import kept
 from stagewise.operators import prepare, rerank, retrieve
 from stagewise.plans.base import F, Frames, _metrics, _popularity, pair_hash_sql, query, rounded
 
@@ -143,11 +144,19 @@ _DENSITY = " UNION ALL ".join(f"SELECT * FROM (WITH tr AS (SELECT * FROM train W
 
 @query("density_sweep", _DENSITY)
 def _(f: Frames):
+    from stagewise.functions.arith import pair_hash32
+
     out = None
     for share in (1.0, 0.5, 0.25):
-        train = prepare.keep_share(f.train, share)
-        hit = rerank.flagged(f.truth, retrieve.popularity(train, 100))
-        part = hit.agg(F.avg("hit").alias("recall")).join(train.agg(F.count("*").alias("n_train"))).select(F.lit(share).alias("share"), "n_train", "recall")
+        # as keep_share; a user's items, candidates and truth meet in its row
+        below = F.filter("own", lambda x: pair_hash32(F.col("user_id"), x) < F.lit(int(share * 2**32)))
+        users = f.users.select("user_id", "truth", below.alias("own"))
+        train = users.where(F.size("own") > 0)
+        counts = kept(f.counts(train), "pop")
+        found = retrieve.popular_lists(train, counts, 100).select(F.size(F.array_intersect("truth", F.transform("list", lambda x: x["item_id"]))).alias("hits"))
+        hits = found.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+        part = hits.join(users.agg(F.sum(F.size("truth")).alias("n_truth"))).join(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_train")))
+        part = part.select(F.lit(share).alias("share"), "n_train", (F.col("hits") / F.col("n_truth")).alias("recall"))
         out = part if out is None else out.unionByName(part)
     return rounded(out)
 
