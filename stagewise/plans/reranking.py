@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stagewise.functions import parse
+from stagewise.functions.lineage import kept
 from stagewise.operators import prepare, rerank, split
 from stagewise.plans.base import F, Frames, W, hash_sql, pair_hash_sql, query, rounded
 
@@ -137,6 +138,11 @@ def groups(f: Frames):
     return f.groups.select("user_id", "rank", "item_id", "label", "group_size")
 
 
+def found_groups(f: Frames):
+    """The groups that have a positive, stored: a few rows of the lists, read more than once."""
+    return kept(f.labelled(f.found).select("user_id", "rank", "item_id", "label", "group_size"), "found-groups")
+
+
 @query("ltr_groups", _GROUPS)
 def _(f: Frames):
     return groups(f)
@@ -144,7 +150,7 @@ def _(f: Frames):
 
 @query("ranknet_pairs", f"SELECT p.user_id, p.item_id AS positive, n.item_id AS negative, n.nth FROM ({_GROUPS}) p JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS nth FROM ({_GROUPS}) WHERE label = 0) n USING (user_id) WHERE p.label = 1 AND n.nth <= 5")
 def _(f: Frames):
-    return rerank.preference_pairs(groups(f))
+    return rerank.preference_pairs(found_groups(f))
 
 
 _COSINE = """v AS (SELECT vec_id AS item_id, embedding FROM embeddings),
@@ -310,9 +316,10 @@ JOIN (SELECT user_id, string_agg(text, ', ' ORDER BY back DESC) AS h FROM (SELEC
 JOIN item_text x USING (item_id)""")
 def _(f: Frames):
     w = W.partitionBy("user_id", "label").orderBy("rank")
-    rows = groups(f).withColumn("nth", F.row_number().over(w)).withColumn("some", F.max("label").over(W.partitionBy("user_id"))).where("some = 1 and (label = 1 or nth <= 5)")
+    rows = found_groups(f).withColumn("nth", F.row_number().over(w)).where("label = 1 or nth <= 5")
     # the last training item is the label: the five before it are shown
-    g = split.history_tail(f.mtrain, 6).where("back > 1").join(f.item_text, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), "text"))).alias("h"))
+    shown = f.found.select("user_id", F.posexplode(F.slice("own", 1, 5)).alias("back", "item_id"))
+    g = shown.join(f.item_text, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), "text"))).alias("h"))
     history = g.select("user_id", F.array_join(F.transform("h", lambda x: x["text"]), ", ").alias("history"))
     rows = rows.join(history, "user_id").join(f.item_text, "item_id")
     return rows.select("user_id", "item_id", "label", parse.pointwise_prompt(F.col("history"), F.col("text")).alias("prompt"), F.when(F.col("label") == 1, "yes").otherwise("no").alias("answer"))
