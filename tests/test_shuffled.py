@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 #: Query and bytes allowed; what was shuffled before is behind each.
 BOUNDS = {
+    "sft_examples": 400_000,  # 1,403,840
     "ranknet_pairs": 400_000,  # 1,105,337
     "density_sweep": 400_000,  # 1,094,787
     "ltr_groups": 400_000,  # 1,100,689
