@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stagewise.operators.blocks import best_of_all
+from stagewise.operators.blocks import best_by_passes
 from stagewise.operators.pairwise import first_vectors
+from stagewise.operators.retrieve import own_items
 
 
 def squashed(s: np.ndarray) -> np.ndarray:
@@ -44,6 +45,14 @@ def route(vectors: np.ndarray, logits: np.ndarray, rounds: int) -> np.ndarray:
 
 def interests(history: DataFrame, vectors: DataFrame, n: int = 4, rounds: int = 3, last: int = 50, seed: int = 42) -> DataFrame:
     """user_id, capsule, vector. history: user_id, item_id, back (1 is the last); vectors: item_id, vector."""
+    rows = packed_interests(history, vectors, n, rounds, last, seed)
+    width = (F.size("vectors") / n).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.slice("vectors", c * width + 1, width))
+    return rows.select("user_id", F.posexplode(each).alias("capsule", "vector"))
+
+
+def packed_interests(history: DataFrame, vectors: DataFrame, n: int = 4, rounds: int = 3, last: int = 50, seed: int = 42) -> DataFrame:
+    """user_id, vectors: the capsules of a user, one after the other."""
     own = history.join(vectors.select("item_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null"), "item_id")
     w = W.partitionBy("user_id").orderBy("back", F.desc("item_id"))
     own = own.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= last)
@@ -52,16 +61,15 @@ def interests(history: DataFrame, vectors: DataFrame, n: int = 4, rounds: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            users, capsules = [], []
-            for user, items, x in zip(pdf["user_id"], pdf["items"], pdf["x"], strict=True):
+            capsules = []
+            for items, x in zip(pdf["items"], pdf["x"], strict=True):
                 items = np.asarray(items, np.int64)
-                users += [user] * n
-                capsules += list(route(np.asarray(x, np.float64).reshape(len(items), -1), first_vectors(items, 2, n, seed), rounds))
-            yield pd.DataFrame({"user_id": users, "capsule": list(range(n)) * len(pdf), "vector": capsules})
+                capsules.append(route(np.asarray(x, np.float64).reshape(len(items), -1), first_vectors(items, 2, n, seed), rounds).ravel())
+            yield pd.DataFrame({"user_id": pdf["user_id"], "vectors": capsules})
 
-    return packed.mapInPandas(run, "user_id long, capsule int, vector array<double>")
+    return packed.mapInPandas(run, "user_id long, vectors array<double>")
 
 
-def multi_interest(history: DataFrame, vectors: DataFrame, k: int = 100, **options: int) -> DataFrame:
-    """The best k unmet items of each user: an item counts with the interest it fits best."""
-    return best_of_all(interests(history, vectors, **options).select("user_id", "vector"), vectors, k, exclude=history)
+def multi_interest(history: DataFrame, vectors: DataFrame, k: int = 100, own: DataFrame | None = None, **options: int) -> DataFrame:
+    """The best k unmet items of each user: an item counts with the interest it fits best. own: user_id, own (items), where it is at hand."""
+    return best_by_passes(packed_interests(history, vectors, **options), vectors, k, exclude=own_items(history) if own is None else own)
