@@ -16,6 +16,16 @@ def _w(f: Frames):
     return f.cand.where("rank <= 30")
 
 
+def histories(f: Frames):
+    """user_id, item_id, back (1 is the last) from the stored rows of users."""
+    return f.users.select("user_id", F.posexplode("own").alias("at", "item_id")).select("user_id", "item_id", (F.col("at") + 1).alias("back"))
+
+
+def vector_candidates(f: Frames):
+    """The shown candidates; those without a vector have no features of it."""
+    return f.lists.select("user_id", F.explode(F.slice("list", 1, 30)).alias("x")).select("user_id", "x.item_id")
+
+
 def _out(df):
     return df.select("user_id", "rank", "item_id")
 
@@ -108,7 +118,7 @@ c AS (SELECT user_id, item_id FROM cand WHERE rank <= 30)
 SELECT c.user_id, c.item_id, round(sum(p.u * CAST(embedding[p.d] AS DOUBLE)) / sqrt(sum(p.u * p.u)) / sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_cos, round(sum(p.l * CAST(embedding[p.d] AS DOUBLE)), 6) AS f_late, round(sqrt(sum(CAST(embedding[p.d] AS DOUBLE) ** 2)), 6) AS f_norm
 FROM c JOIN v USING (item_id) JOIN p ON p.user_id = c.user_id GROUP BY c.user_id, c.item_id)""")
 def _(f: Frames):
-    return rounded(rerank.vector_features(_w(f), split.history_tail(f.train, 10**6), f.vectors))
+    return rounded(rerank.vector_features(vector_candidates(f), histories(f), f.vectors))
 
 
 @query("ltr_text_features", """
@@ -128,7 +138,7 @@ e AS (SELECT c.user_id, c.item_id, round(sum(u.x * CAST(v.embedding[u.d] AS DOUB
 al AS (SELECT c.user_id, c.item_id, coalesce(b.s, 0) AS bm, coalesce(e.s, 0) AS de FROM c LEFT JOIN b USING (user_id, item_id) LEFT JOIN e USING (user_id, item_id))
 SELECT user_id, item_id, round(bm, 6) AS f_bm25, round(de, 6) AS f_dense, round((row_number() OVER (PARTITION BY user_id ORDER BY bm DESC, item_id) - 1) / count(*) OVER (PARTITION BY user_id), 6) AS f_bm25_place, round((row_number() OVER (PARTITION BY user_id ORDER BY de DESC, item_id) - 1) / count(*) OVER (PARTITION BY user_id), 6) AS f_dense_place FROM al)""")
 def _(f: Frames):
-    return rounded(rerank.text_features(_w(f), split.history_tail(f.train, 20), f.item_text, f.vectors))
+    return rounded(rerank.text_features(_w(f), histories(f).where("back <= 20"), f.item_text, f.vectors))
 
 
 _GROUPS = "SELECT user_id, rank, item_id, label, group_size FROM groups"
@@ -160,7 +170,7 @@ co AS (SELECT c.user_id, c.item_id, round(sum(p.u * CAST(embedding[p.d] AS DOUBL
 
 def cosines(f: Frames):
     """Cosine of each shown item with the mean vector of the user's history, where both have vectors."""
-    return rerank.vector_features(_w(f), split.history_tail(f.train, 10**6), f.vectors).select("user_id", "item_id", F.round("f_cos", 9).alias("cosine"))
+    return rerank.vector_features(vector_candidates(f), histories(f), f.vectors).select("user_id", "item_id", F.round("f_cos", 9).alias("cosine"))
 
 
 @query("weighted_features", f"""
@@ -174,7 +184,7 @@ def _(f: Frames):
 
     most = f.pop.agg(F.max("n").alias("most"))
     words = f.item_text.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
-    own = split.history_tail(f.train, 10).join(words, "item_id").groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("hw"))
+    own = histories(f).where("back <= 10").join(words, "item_id").groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("hw"))
     rows = _w(f).join(f.pop, "item_id", "left").join(cosines(f), ["user_id", "item_id"], "left").join(words, "item_id", "left").join(own, "user_id", "left").join(F.broadcast(most))
     overlap = F.coalesce(F.size(F.array_intersect("w", "hw")) / F.nullif(F.size("w"), F.lit(0)), F.lit(0.0))
     return _out(rerank.weighted_features(rows.select("user_id", "item_id", "rank", "score", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), overlap.alias("overlap"), (F.coalesce("n", F.lit(0)) / F.col("most")).alias("pop"))))
@@ -189,8 +199,12 @@ x AS (SELECT *, exp(z - max(z) OVER (PARTITION BY user_id, item_id)) AS a FROM z
 s AS (SELECT user_id, item_id, rank, round(sum(a * y) / (sum(a) + 1e-10), 9) AS s FROM x GROUP BY user_id, item_id, rank)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, rank) AS rank, item_id FROM s)""")
 def _(f: Frames):
-    rows = _w(f).join(f.pop.withColumnRenamed("n", "pop"), "item_id", "left").join(cosines(f), ["user_id", "item_id"], "left")
-    return rerank.attention_smoothed(rows)
+    # the lists stay arrays; only cosines, which few pairs have, are joined, by user
+    found = cosines(f).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "cosine"))).alias("by_item"))
+    own = f.lists.select("user_id", F.slice("list", 1, 30).alias("list")).join(found, "user_id", "left")
+    cosine = F.transform("list", lambda x: F.element_at("by_item", x["item_id"]))
+    cosine = F.when(F.col("by_item").isNull(), F.transform("list", lambda x: F.lit(None).cast("double"))).otherwise(cosine)
+    return rerank.mixed_lists(own.select("user_id", F.col("list.item_id").alias("item_id"), F.col("list.score").alias("score"), cosine.alias("cosine"), F.transform("list", lambda x: x["pop"].cast("double")).alias("pop")))
 
 
 _DRAWS = [f"({hash_sql('(user_id * 1000003 + item_id * 7919) % 2000000011', 42 + t)} / 4294967296.0::DOUBLE - 0.5) * sqrt(12.0::DOUBLE) * {0.1 * t / 5}" for t in range(1, 6)]
