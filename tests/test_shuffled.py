@@ -11,7 +11,6 @@ SF = "/root/testdata/sf0.001"
 
 #: Query and bytes allowed; what was shuffled before is behind each.
 BOUNDS = {
-    "bm25_parts": 30_000,  # 39,170
     "knn_minmax": 400_000,  # 1,399,600
     "itemknn_top50": 400_000,  # 1,399,600
     "itemknn_profile": 400_000,  # 907,886
@@ -50,3 +49,14 @@ def test_lists_of_short_and_long_histories(spark):
         assert [(x.item_id, x.pop, x.score) for x in got[user]["list"]] == [(i, -n, -n / 7) for n, i in want] and got[user].other == user * 10
     rows = retrieve.unrolled(retrieve.popular_lists(u, c, 5), "other", "n", "pop")
     assert rows.columns == ["user_id", "rank", "item_id", "score", "other", "n", "pop"] and rows.where("n = 5 and rank = 5").count() == 3
+
+
+def test_equal_texts_are_scored_once(spark):
+    items = spark.range(2000).selectExpr("id AS item_id", "concat('word', id % 10, ' tail') AS text")
+    asked = spark.range(300).selectExpr("id AS query_id", "concat('word', id % 10) AS text")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    time.sleep(0.5)
+    before = store.executorSummary("driver").totalShuffleWrite()
+    assert retrieve.bm25(items, asked).count() == 300 * 200
+    time.sleep(0.5)
+    assert store.executorSummary("driver").totalShuffleWrite() - before < 250_000  # a row of each answer was shuffled before
